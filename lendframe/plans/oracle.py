@@ -139,3 +139,371 @@ SELECT t.LOAN_ID,
   round(coalesce(CASE WHEN t.CURRENCY IN ({_sql_list(TRUSTED_CURRENCIES)}) THEN d.LOAN_AMOUNT_DESC END,
                  e.LOAN_AMOUNT), {DIGITS}) AS LOAN_AMOUNT
 FROM test t LEFT JOIN ens e ON t.LOAN_ID = e.LOAN_ID LEFT JOIN desc2 d ON t.LOAN_ID = d.LOAN_ID"""
+
+
+# ---------------------------------------------------------------------------
+# Helpers for SQL text
+# ---------------------------------------------------------------------------
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# Python-equivalent whitespace for RE2 (\s there is ASCII only).
+WS_RE2 = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+
+
+def norm_sql(expr: str, lower: bool = True) -> str:
+    e = expr
+    for old, new in ESCAPE_REPLACEMENTS:
+        e = f"replace({e}, {lit(old)}, {lit(new)})"
+    e = f"regexp_replace({e}, '<[^\\n]*?>', '', 'g')"
+    e = f"regexp_replace({e}, '{WS_RE2}+', ' ', 'g')"
+    e = f"trim({e})"
+    return f"lower({e})" if lower else e
+
+
+def strip_sql(expr: str) -> str:
+    return f"regexp_replace({expr}, '^{WS_RE2}+|{WS_RE2}+$', '', 'g')"
+
+
+TAG_LIST = (f"list_transform(string_split(coalesce(TAGS, 'NA'), ','), "
+            f"lambda t: lower(replace({strip_sql('t')}, '#', '')))")
+
+
+def flag_name(tag: str) -> str:
+    import re
+    return "tag_" + re.sub(r"[^a-z0-9]+", "_", tag).strip("_")
+
+
+def col_name(variable: str) -> str:
+    import re
+    return re.sub(r"\s*>\s*", "__", variable)
+
+
+def category_sql(variable: str) -> str:
+    """Text value of a (possibly composite) category variable."""
+    from lendframe.functions.fixed import COMPOSITES
+    if variable in COMPOSITES:
+        parts = []
+        for p in COMPOSITES[variable]:
+            if p == "CURRENCY_EXCHANGE_COVERAGE_RATE":
+                parts.append(f"coalesce(CAST({p} AS VARCHAR), 'nan')")
+            else:
+                parts.append(p)
+        return " || ' > ' || ".join(parts)
+    return f"CAST({variable} AS VARCHAR)"
+
+
+def long_sql(source: str, variables) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT LOAN_ID, {i + 1} AS pos, {lit(v)} AS variable, {category_sql(v)} AS value FROM {source}"
+        for i, v in enumerate(variables))
+
+
+def dictionary_ctes(variables) -> str:
+    return f"""
+dlong AS ({long_sql('train', variables)}),
+dfirst AS (SELECT pos, variable, value, min(LOAN_ID) AS first_id FROM dlong GROUP BY pos, variable, value),
+dict AS (SELECT row_number() OVER (ORDER BY pos, first_id) AS id, variable, value FROM dfirst),
+ulong AS ({long_sql('loan', variables)}),
+enc AS (SELECT u.LOAN_ID, u.variable, coalesce(d.id, 0) AS id
+        FROM ulong u LEFT JOIN dict d ON u.variable = d.variable AND u.value IS NOT DISTINCT FROM d.value)"""
+
+
+# ---------------------------------------------------------------------------
+# Amounts
+# ---------------------------------------------------------------------------
+
+LOCAL_V1 = f"""
+sent1 AS (SELECT LOAN_ID, CURRENCY, unnest({SENTENCES_V1}) AS sentence FROM loan),
+m1 AS (SELECT LOAN_ID, unnest(regexp_extract_all(replace(sentence, ',', ''), '([0-9]+)', 1)) AS m
+       FROM sent1 WHERE contains(sentence, CURRENCY)),
+local1 AS (SELECT l.LOAN_ID, l.CURRENCY, max(CAST(m1.m AS DOUBLE)) AS LOAN_AMOUNT_LOCAL
+           FROM loan l LEFT JOIN m1 ON l.LOAN_ID = m1.LOAN_ID GROUP BY l.LOAN_ID, l.CURRENCY),
+rate1 AS (SELECT lo.CURRENCY, median(lo.LOAN_AMOUNT_LOCAL / t.LOAN_AMOUNT) AS rate
+          FROM local1 lo JOIN train t ON lo.LOAN_ID = t.LOAN_ID GROUP BY lo.CURRENCY),
+desc1 AS (SELECT lo.LOAN_ID, lo.LOAN_AMOUNT_LOCAL / r.rate AS LOAN_AMOUNT_DESC
+          FROM local1 lo LEFT JOIN rate1 r ON lo.CURRENCY = r.CURRENCY),
+ystats AS (SELECT avg(ln(LOAN_AMOUNT)) AS m, stddev_pop(ln(LOAN_AMOUNT)) AS s FROM train),
+feat1 AS (SELECT d.LOAN_ID, (ln(d.LOAN_AMOUNT_DESC + 1) - y.m) / y.s AS z FROM desc1 d, ystats y)"""
+
+
+@oracle("extract_amount", "loan")
+def _extract_amount():
+    return f""", {_cte(LOCAL_V2.split('rate2 AS')[0].rstrip().rstrip(','))}
+SELECT LOAN_ID, CURRENCY, round(LOAN_AMOUNT_LOCAL, {DIGITS}) AS LOAN_AMOUNT_LOCAL FROM local2"""
+
+
+@oracle("extract_amount_v1", "loan")
+def _extract_amount_v1():
+    return f""", {_cte(LOCAL_V1.split('rate1 AS')[0].rstrip().rstrip(','))}
+SELECT LOAN_ID, CURRENCY, round(LOAN_AMOUNT_LOCAL, {DIGITS}) AS LOAN_AMOUNT_LOCAL FROM local1"""
+
+
+@oracle("median_rate", "train")
+def _median_rate():
+    return f""", {_cte(LOCAL_V1)}
+SELECT CURRENCY, round(rate, 6) AS rate FROM rate1"""
+
+
+@oracle("median_rate_recent", "train")
+def _median_rate_recent():
+    return f""", {_cte(LOCAL_V2)}
+SELECT CURRENCY, round(rate, 6) AS rate FROM rate2"""
+
+
+@oracle("convert_usd", "train")
+def _convert_usd():
+    return f""", {_cte(LOCAL_V2)}
+SELECT LOAN_ID, CURRENCY, round(LOAN_AMOUNT_DESC, {DIGITS}) AS LOAN_AMOUNT_DESC FROM desc2"""
+
+
+@oracle("amount_feature", "train")
+def _amount_feature():
+    return f""", {_cte(LOCAL_V1)}
+SELECT LOAN_ID, round(coalesce(z, 0), 6) AS LOAN_AMOUNT_DESC_LOG_Z,
+       CASE WHEN z IS NULL THEN 1 ELSE 0 END AS LOAN_AMOUNT_DESC_LOG_Z_isna FROM feat1"""
+
+
+@oracle("currency_whitelist", "train", "test")
+def _currency_whitelist():
+    return f""", {_cte(LOCAL_V2)}
+SELECT t.LOAN_ID, d.CURRENCY,
+  round(CASE WHEN d.CURRENCY IN ({_sql_list(TRUSTED_CURRENCIES)}) THEN d.LOAN_AMOUNT_DESC END, {DIGITS})
+    AS LOAN_AMOUNT_DESC
+FROM test t LEFT JOIN desc2 d ON t.LOAN_ID = d.LOAN_ID"""
+
+
+@oracle("ensemble_mean", "predictions")
+def _ensemble_mean():
+    return f""", {_cte(ENSEMBLE)}
+SELECT LOAN_ID, round(LOAN_AMOUNT, {DIGITS}) AS LOAN_AMOUNT FROM ens"""
+
+
+# ---------------------------------------------------------------------------
+# Sentences
+# ---------------------------------------------------------------------------
+
+def _sentence_rows(split_expr: str) -> str:
+    return f"""
+SELECT LOAN_ID, CURRENCY, CAST(unnest(range(len(s))) AS INTEGER) AS sentence_no, unnest(s) AS sentence
+FROM (SELECT LOAN_ID, CURRENCY, {split_expr} AS s FROM loan)"""
+
+
+@oracle("sentences_v1", "loan")
+def _sentences_v1():
+    return _sentence_rows(SENTENCES_V1)
+
+
+@oracle("sentences", "loan")
+def _sentences():
+    return _sentence_rows(SENTENCES_V2)
+
+
+@oracle("sentences_with_currency", "loan")
+def _sentences_with_currency():
+    return f"SELECT * FROM ({_sentence_rows(SENTENCES_V2)}) WHERE contains(sentence, CURRENCY)"
+
+
+# ---------------------------------------------------------------------------
+# Sources and text
+# ---------------------------------------------------------------------------
+
+_LOAN_COLUMNS = ["LOAN_ID", "LOAN_AMOUNT", "DESCRIPTION", "DESCRIPTION_TRANSLATED", "LOAN_USE", "IMAGE_ID",
+                 "ORIGINAL_LANGUAGE", "SECTOR_NAME", "ACTIVITY_NAME", "COUNTRY_CODE", "COUNTRY_NAME",
+                 "TOWN_NAME", "CURRENCY_POLICY", "CURRENCY_EXCHANGE_COVERAGE_RATE", "CURRENCY",
+                 "REPAYMENT_INTERVAL", "DISTRIBUTION_MODEL", "TAGS"]
+_NUMERIC = {"LOAN_ID", "LOAN_AMOUNT", "IMAGE_ID", "CURRENCY_EXCHANGE_COVERAGE_RATE"}
+
+
+@oracle("scan_project", "loan")
+def _scan_project():
+    cols = []
+    for c in _LOAN_COLUMNS:
+        if c == "CURRENCY_EXCHANGE_COVERAGE_RATE":
+            cols.append(f"round({c}, {DIGITS}) AS {c}")
+        elif c in _NUMERIC:
+            cols.append(c)
+        else:
+            cols.append(f"CASE WHEN {c} IN ({_sql_list(NA_TOKENS)}) THEN NULL ELSE {c} END AS {c}")
+    return "SELECT " + ", ".join(cols) + " FROM loan"
+
+
+@oracle("coalesce_description", "loan")
+def _coalesce_description():
+    return f"SELECT LOAN_ID, {DESC_TEXT} AS DESCRIPTION_TRANSLATED FROM loan"
+
+
+@oracle("normalize_text", "loan")
+def _normalize_text():
+    return (f"SELECT LOAN_ID, {norm_sql(DESC_TEXT)} AS DESCRIPTION_TRANSLATED, "
+            f"{norm_sql('LOAN_USE')} AS LOAN_USE FROM loan")
+
+
+@oracle("normalize_text_keep_case", "loan")
+def _normalize_text_keep_case():
+    return (f"SELECT LOAN_ID, {norm_sql(DESC_TEXT, False)} AS DESCRIPTION_TRANSLATED, "
+            f"{norm_sql('LOAN_USE', False)} AS LOAN_USE FROM loan")
+
+
+@oracle("token_window", "loan")
+def _token_window():
+    return f"""
+, norm AS (SELECT LOAN_ID, 'DESCRIPTION_TRANSLATED' AS field, {norm_sql(DESC_TEXT)} AS text FROM loan
+           UNION ALL SELECT LOAN_ID, 'LOAN_USE' AS field, {norm_sql('LOAN_USE')} AS text FROM loan),
+tok AS (SELECT LOAN_ID, field, list_filter(string_split(coalesce(text, ''), ' '), lambda w: w <> '') AS w
+        FROM norm)
+SELECT LOAN_ID, field, CAST(least(len(w), 256) AS BIGINT) AS n_tokens,
+       CAST(256 - least(len(w), 256) AS BIGINT) AS n_pad,
+       CASE WHEN len(w) > 0 THEN w[least(len(w), 256)] END AS last_token
+FROM tok"""
+
+
+# ---------------------------------------------------------------------------
+# Categories
+# ---------------------------------------------------------------------------
+
+@oracle("composite_categories", "loan")
+def _composite_categories():
+    from lendframe.functions.fixed import COMPOSITES
+    cols = ", ".join(f"{category_sql(v)} AS {col_name(v)}" for v in COMPOSITES)
+    return f"SELECT LOAN_ID, {cols} FROM loan"
+
+
+@oracle("category_dictionary", "train")
+def _category_dictionary():
+    from lendframe.functions.fixed import CATEGORY_VARIABLES_10
+    return f""", {_cte(dictionary_ctes(CATEGORY_VARIABLES_10))}
+SELECT id, variable, value FROM dict"""
+
+
+@oracle("dictionary_size", "train")
+def _dictionary_size():
+    from lendframe.functions.fixed import CATEGORY_VARIABLES_10
+    return f""", {_cte(dictionary_ctes(CATEGORY_VARIABLES_10))}
+SELECT count(*) + 1 AS num_embeddings FROM dict"""
+
+
+@oracle("category_encode", "train")
+def _category_encode():
+    from lendframe.functions.fixed import CATEGORY_VARIABLES_10
+    return f""", {_cte(dictionary_ctes(CATEGORY_VARIABLES_10))}
+SELECT LOAN_ID, variable, id FROM enc"""
+
+
+@oracle("category_encode_wide", "train")
+def _category_encode_wide():
+    from lendframe.functions.fixed import CATEGORY_VARIABLES_9
+    cols = ", ".join(f"max(CASE WHEN variable = {lit(v)} THEN id END) AS {col_name(v)}"
+                     for v in sorted(CATEGORY_VARIABLES_9))
+    return f""", {_cte(dictionary_ctes(CATEGORY_VARIABLES_9))}
+SELECT LOAN_ID, {cols} FROM enc GROUP BY LOAN_ID"""
+
+
+# ---------------------------------------------------------------------------
+# Tags
+# ---------------------------------------------------------------------------
+
+@oracle("tags_onehot", "loan")
+def _tags_onehot():
+    flags = ", ".join(f"CAST(list_contains(tags, {lit(t)}) AS DOUBLE) AS {flag_name(t)}" for t in MASTER_TAGS)
+    return f"SELECT LOAN_ID, {flags} FROM (SELECT LOAN_ID, {TAG_LIST} AS tags FROM loan)"
+
+
+@oracle("tag_frequency", "loan")
+def _tag_frequency():
+    return f"""SELECT tag, count(*) AS n_loans
+FROM (SELECT unnest(list_distinct({TAG_LIST})) AS tag FROM loan) GROUP BY tag"""
+
+
+# ---------------------------------------------------------------------------
+# Target
+# ---------------------------------------------------------------------------
+
+@oracle("target_stats", "train")
+def _target_stats():
+    return """SELECT round(avg(ln(LOAN_AMOUNT)), 9) AS y_log_mean, round(stddev_pop(ln(LOAN_AMOUNT)), 9) AS y_log_std,
+  count(LOAN_AMOUNT) AS n_train FROM train"""
+
+
+@oracle("target_zscore", "train")
+def _target_zscore():
+    return """, ys AS (SELECT avg(ln(LOAN_AMOUNT)) AS m, stddev_pop(ln(LOAN_AMOUNT)) AS s FROM train)
+SELECT LOAN_ID, round((ln(LOAN_AMOUNT) - m) / s, 6) AS y_log_z FROM train, ys"""
+
+
+@oracle("denormalize_roundtrip", "train")
+def _denormalize_roundtrip():
+    return f""", ys AS (SELECT avg(ln(LOAN_AMOUNT)) AS m, stddev_pop(ln(LOAN_AMOUNT)) AS s FROM train),
+rt AS (SELECT LOAN_ID, LOAN_AMOUNT AS y, exp(((ln(LOAN_AMOUNT) - m) / s) * s + m) AS back FROM train, ys)
+SELECT LOAN_ID, round(back, {DIGITS}) AS LOAN_AMOUNT,
+       CASE WHEN abs(back - y) <= y * 1e-9 THEN 1 ELSE 0 END AS exact FROM rt"""
+
+
+@oracle("union_train_test", "train", "test")
+def _union_train_test():
+    return """SELECT LOAN_ID, CURRENCY, LOAN_AMOUNT, 1 AS is_train FROM train
+UNION ALL SELECT LOAN_ID, CURRENCY, CAST(NULL AS DOUBLE) AS LOAN_AMOUNT, 0 AS is_train FROM test"""
+
+
+# ---------------------------------------------------------------------------
+# Metrics and split
+# ---------------------------------------------------------------------------
+
+@oracle("mae_by_model", "train", "predictions")
+def _mae_by_model():
+    return f"""SELECT p.model_id, round(avg(abs(t.LOAN_AMOUNT - p.LOAN_AMOUNT)), {DIGITS}) AS mae
+FROM predictions p JOIN train t ON p.LOAN_ID = t.LOAN_ID GROUP BY p.model_id"""
+
+
+@oracle("running_mae", "metrics_log")
+def _running_mae():
+    return """, x AS (SELECT epoch, step, CAST(round(mae * 100) AS BIGINT) AS c FROM metrics_log),
+r AS (SELECT epoch, step, count(*) OVER w AS n, sum(c) OVER w AS s1, sum(c * c) OVER w AS s2
+      FROM x WINDOW w AS (PARTITION BY epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT epoch, step, round(CAST(s1 AS DOUBLE) / n / 100, 6) AS mae_mean,
+       round(sqrt(CAST(n * s2 - s1 * s1 AS DOUBLE)) / n / 100, 6) AS mae_std
+FROM r WHERE (step + 1) % 10 = 0"""
+
+
+def md5_bucket_sql(key: str, buckets: str, seed: int = 0) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}-' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT) % {buckets})"
+
+
+@oracle("holdout_split", "train")
+def _holdout_split():
+    return f"""SELECT LOAN_ID, CASE WHEN {md5_bucket_sql('LOAN_ID', '100')} >= 80 THEN 1 ELSE 0 END AS is_holdout
+FROM train"""
+
+
+# ---------------------------------------------------------------------------
+# Images and additional features
+# ---------------------------------------------------------------------------
+
+PRESENCE = """
+pres AS (SELECT l.LOAN_ID, l.IMAGE_ID, CASE WHEN i.IMAGE_ID IS NULL THEN 0 ELSE 1 END AS has_image
+         FROM loan l LEFT JOIN (SELECT DISTINCT IMAGE_ID FROM images) i ON l.IMAGE_ID = i.IMAGE_ID),
+boxes AS (SELECT IMAGE_ID, count(*) AS n FROM detections GROUP BY IMAGE_ID),
+faces AS (SELECT p.LOAN_ID, CAST(CASE WHEN p.has_image = 1 THEN coalesce(b.n, 0) ELSE 0 END AS INTEGER) AS NUM_FACES
+          FROM pres p LEFT JOIN boxes b ON p.IMAGE_ID = b.IMAGE_ID)"""
+
+
+@oracle("image_presence", "images")
+def _image_presence():
+    return f""", {_cte(PRESENCE)}
+SELECT LOAN_ID, IMAGE_ID, has_image FROM pres"""
+
+
+@oracle("detection_count", "images", "detections")
+def _detection_count():
+    return f""", {_cte(PRESENCE)}
+SELECT LOAN_ID, NUM_FACES FROM faces"""
+
+
+@oracle("join_additional_features", "train", "images", "detections")
+def _join_additional_features():
+    return f""", {_cte(PRESENCE, LOCAL_V1)}
+SELECT l.LOAN_ID, f.NUM_FACES, round(coalesce(a.z, 0), 6) AS LOAN_AMOUNT_DESC_LOG_Z,
+       CASE WHEN a.z IS NULL THEN 1 ELSE 0 END AS LOAN_AMOUNT_DESC_LOG_Z_isna
+FROM loan l LEFT JOIN faces f ON l.LOAN_ID = f.LOAN_ID LEFT JOIN feat1 a ON l.LOAN_ID = a.LOAN_ID"""

@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.functions import fixed
+from lendframe.functions import text as TX
 from lendframe.operators import amount as A
+from lendframe.operators import category as C
 from lendframe.operators import ensemble as E
+from lendframe.operators import images as IMG
+from lendframe.operators import metrics as M
+from lendframe.operators import tags as TAGS
 from lendframe.operators import target as TG
+from lendframe.sources import files as FILES
 from lendframe.sources import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +58,281 @@ def corrected_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = E.ensemble_mean(fx.predictions(spark, sf_dir, loans))
     out = E.corrected_submission(test.select("LOAN_ID"), mean, test, desc)
     return out.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+@query
+def extract_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = A.extract_local_amount(fx.loan(spark, sf_dir), version=2)
+    return local.select("LOAN_ID", "CURRENCY", _r(A.LOCAL).alias(A.LOCAL))
+
+
+@query
+def extract_amount_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    local = A.extract_local_amount(fx.loan(spark, sf_dir), version=1)
+    return local.select("LOAN_ID", "CURRENCY", _r(A.LOCAL).alias(A.LOCAL))
+
+
+@query
+def median_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate base of the stated-amount feature: v1 amounts, all training loans."""
+    loans = fx.loan(spark, sf_dir)
+    rate = A.median_rate(A.extract_local_amount(loans, 1), fx.train(loans))
+    return rate.select("CURRENCY", _r("rate", 6).alias("rate"))
+
+
+@query
+def median_rate_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate base of the override: v2 amounts, recent training loans only."""
+    _, rate, _ = _recent_desc(spark, sf_dir, fx.loan(spark, sf_dir))
+    return rate.select("CURRENCY", _r("rate", 6).alias("rate"))
+
+
+@query
+def convert_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, desc = _recent_desc(spark, sf_dir, fx.loan(spark, sf_dir))
+    return desc.select("LOAN_ID", "CURRENCY", _r(A.DESC).alias(A.DESC))
+
+
+def _amount_feature(spark, sf_dir, loans):
+    train = fx.train(loans)
+    local = A.extract_local_amount(loans, version=1)
+    desc = A.convert_usd(local, A.median_rate(local, train))
+    mean, std = TG.stat_columns(train)
+    return A.amount_feature(desc, mean, std)
+
+
+@query
+def amount_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _amount_feature(spark, sf_dir, fx.loan(spark, sf_dir))
+    return f.select("LOAN_ID", _r("LOAN_AMOUNT_DESC_LOG_Z", 6).alias("LOAN_AMOUNT_DESC_LOG_Z"),
+                    "LOAN_AMOUNT_DESC_LOG_Z_isna")
+
+
+@query
+def currency_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    _, _, desc = _recent_desc(spark, sf_dir, loans)
+    test_desc = fx.test(loans).select("LOAN_ID").join(desc, "LOAN_ID", "left")
+    out = A.trusted_amount(test_desc)
+    return out.select("LOAN_ID", "CURRENCY", _r(A.DESC).alias(A.DESC))
+
+
+@query
+def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = E.ensemble_mean(fx.predictions(spark, sf_dir))
+    return mean.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+# ---------------------------------------------------------------------------
+# Sentences
+# ---------------------------------------------------------------------------
+
+@query
+def sentences_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sentence_rows(fx.loan(spark, sf_dir), version=1)
+
+
+@query
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sentence_rows(fx.loan(spark, sf_dir), version=2)
+
+
+@query
+def sentences_with_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sentences_with_currency(fx.loan(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Sources, projections and text
+# ---------------------------------------------------------------------------
+
+@query
+def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan table as a CSV reader would deliver it: null tokens applied
+    to every text column, the columns of the train/test schema."""
+    loans = fx.loan(spark, sf_dir).select(*FILES.LOAN_COLUMNS)
+    out = FILES.apply_null_tokens(loans, FILES.LOAN_TEXT_COLUMNS)
+    return out.withColumn("CURRENCY_EXCHANGE_COVERAGE_RATE", _r("CURRENCY_EXCHANGE_COVERAGE_RATE"))
+
+
+@query
+def coalesce_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.loan(spark, sf_dir).select("LOAN_ID", TX.fill_description().alias("DESCRIPTION_TRANSLATED"))
+
+
+def _normalized(spark, sf_dir, lower):
+    return fx.loan(spark, sf_dir).select(
+        "LOAN_ID",
+        TX.normalize_text(TX.fill_description(), lower).alias("DESCRIPTION_TRANSLATED"),
+        TX.normalize_text("LOAN_USE", lower).alias("LOAN_USE"))
+
+
+@query
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir, True)
+
+
+@query
+def normalize_text_keep_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir, False)
+
+
+@query
+def token_window(spark: SparkSession, sf_dir: str, max_len: int = 256) -> DataFrame:
+    """Per loan and text field: tokens kept, padding and the last kept
+    token of the fixed-length window."""
+    norm = _normalized(spark, sf_dir, True)
+    long = norm.select("LOAN_ID", F.explode(F.array(
+        F.struct(F.lit("DESCRIPTION_TRANSLATED").alias("field"), F.col("DESCRIPTION_TRANSLATED").alias("text")),
+        F.struct(F.lit("LOAN_USE").alias("field"), F.col("LOAN_USE").alias("text")))).alias("t"))
+    toks = TX.words(F.col("t.text"))
+    window = TX.token_window(toks, max_len)
+    mask = TX.attention_mask(toks, max_len)
+    n = F.aggregate(mask, F.lit(0), lambda acc, m: acc + m)
+    return long.select(
+        "LOAN_ID", F.col("t.field").alias("field"),
+        n.cast("bigint").alias("n_tokens"),
+        (F.lit(max_len) - n).cast("bigint").alias("n_pad"),
+        F.when(n > 0, F.element_at(window, F.greatest(n, F.lit(1)))).alias("last_token"))
+
+
+# ---------------------------------------------------------------------------
+# Categories
+# ---------------------------------------------------------------------------
+
+@query
+def composite_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    return loans.select("LOAN_ID", *[C.composite(parts).alias(C.column_name(name))
+                                     for name, parts in fixed.COMPOSITES.items()])
+
+
+def _dictionary(spark, sf_dir, loans=None, variables=None):
+    loans = loans if loans is not None else fx.loan(spark, sf_dir)
+    return loans, C.fit_dictionary(fx.train(loans), variables)
+
+
+@query
+def category_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dictionary(spark, sf_dir)[1]
+
+
+@query
+def dictionary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.dictionary_size(_dictionary(spark, sf_dir)[1])
+
+
+@query
+def category_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans, d = _dictionary(spark, sf_dir)
+    return C.encode_long(loans, d)
+
+
+@query
+def category_encode_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine-variable family (policy and rate merged), one id column per
+    variable."""
+    loans, d = _dictionary(spark, sf_dir, variables=fixed.CATEGORY_VARIABLES_9)
+    return C.encode_wide(loans, d, fixed.CATEGORY_VARIABLES_9)
+
+
+# ---------------------------------------------------------------------------
+# Tags
+# ---------------------------------------------------------------------------
+
+@query
+def tags_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TAGS.onehot(fx.loan(spark, sf_dir))
+
+
+@query
+def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TAGS.tag_frequency(fx.loan(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Target
+# ---------------------------------------------------------------------------
+
+@query
+def target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = TG.target_stats(fx.train(fx.loan(spark, sf_dir)))
+    return s.select(_r("y_log_mean", 9).alias("y_log_mean"), _r("y_log_std", 9).alias("y_log_std"), "n_train")
+
+
+@query
+def target_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    z = TG.with_target_zscore(fx.train(fx.loan(spark, sf_dir)))
+    return z.select("LOAN_ID", _r("y_log_z", 6).alias("y_log_z"))
+
+
+@query
+def denormalize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = fx.train(fx.loan(spark, sf_dir))
+    mean, std = TG.stat_columns(train)
+    back = TG.denormalize(TG.zscore(F.col("LOAN_AMOUNT"), mean, std), mean, std)
+    return train.select("LOAN_ID", _r(back).alias("LOAN_AMOUNT"),
+                        (F.abs(back - F.col("LOAN_AMOUNT")) <= F.col("LOAN_AMOUNT") * 1e-9)
+                        .cast("int").alias("exact"))
+
+
+@query
+def union_train_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    cols = ["LOAN_ID", "CURRENCY", "LOAN_AMOUNT"]
+    train = fx.train(loans).select(*cols)
+    test = fx.test(loans).select("LOAN_ID", "CURRENCY")
+    both = train.unionByName(test, allowMissingColumns=True)
+    return both.select("LOAN_ID", "CURRENCY", "LOAN_AMOUNT",
+                       F.col("LOAN_AMOUNT").isNotNull().cast("int").alias("is_train"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics and split
+# ---------------------------------------------------------------------------
+
+@query
+def mae_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    m = M.mae_by_model(fx.predictions(spark, sf_dir, loans), fx.train(loans))
+    return m.select("model_id", _r("mae").alias("mae"))
+
+
+@query
+def running_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = fx.metrics_log_base(spark, sf_dir)
+    r = M.running_mean_std(log, group="epoch", order="event_id", value="mae", scale=100, number_steps=True)
+    return r.select("epoch", "step", _r("mae_mean", 6).alias("mae_mean"), _r("mae_std", 6).alias("mae_std"))
+
+
+@query
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.holdout_split(fx.train(fx.loan(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Images and additional features
+# ---------------------------------------------------------------------------
+
+@query
+def image_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    return IMG.image_presence(loans, fx.images(spark, sf_dir, loans))
+
+
+@query
+def detection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loans = fx.loan(spark, sf_dir)
+    return IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
+
+
+@query
+def join_additional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans left-joined with the face counts and the stated-amount feature."""
+    loans = fx.loan(spark, sf_dir)
+    faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
+    feat = _amount_feature(spark, sf_dir, loans)
+    out = loans.select("LOAN_ID").join(faces, "LOAN_ID", "left").join(feat, "LOAN_ID", "left")
+    return out.select("LOAN_ID", "NUM_FACES",
+                      _r("LOAN_AMOUNT_DESC_LOG_Z", 6).alias("LOAN_AMOUNT_DESC_LOG_Z"),
+                      "LOAN_AMOUNT_DESC_LOG_Z_isna")

@@ -54,11 +54,13 @@ def _pair_keys(batched: DataFrame, batch_size: int) -> tuple[DataFrame, DataFram
     sizes = batched.groupBy("bucket").agg(
         F.ceil(F.count(F.when(~F.col("is_test"), 1)) / batch_size).alias("_k"),
         F.ceil(F.count(F.when(F.col("is_test"), 1)) / batch_size).alias("_m"))
-    train = batched.where(~F.col("is_test"))
-    test = batched.where(F.col("is_test")).join(sizes, "bucket")
-    test = test.where(F.col("batch") < F.col("_k")).select(
-        "vec_id", "x", "y", "bucket",
-        F.explode(F.sequence(F.col("batch"), F.col("_k") - 1, F.col("_m"))).alias("batch"))
+    train = batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
+    test = (batched.where(F.col("is_test")).alias("t")
+            .join(sizes.alias("z"), F.col("t.bucket") == F.col("z.bucket"))
+            .where(F.col("t.batch") < F.col("z._k"))
+            .select(F.col("t.vec_id").alias("vec_id"), F.col("t.bucket").alias("bucket"),
+                    F.explode(F.sequence(F.col("t.batch"), F.col("z._k") - 1, F.col("z._m"))).alias("batch"),
+                    F.col("t.x").alias("x")))
     return train, test
 
 
@@ -123,8 +125,8 @@ def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
             "vec_id": tr["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
             "kernel_width": gamma, "kappa": kappa, "weight": weight})
 
-    return (train.select("vec_id", "bucket", "batch", "x").groupBy("bucket", "batch")
-            .cogroup(test.select("vec_id", "bucket", "batch", "x").groupBy("bucket", "batch"))
+    return (train.groupBy("bucket", "batch")
+            .cogroup(test.groupBy("bucket", "batch"))
             .applyInPandas(fn, "vec_id long, bucket long, batch long, kernel_width double, "
                                "kappa double, weight double"))
 

@@ -507,3 +507,70 @@ def _join_additional_features():
 SELECT l.LOAN_ID, f.NUM_FACES, round(coalesce(a.z, 0), 6) AS LOAN_AMOUNT_DESC_LOG_Z,
        CASE WHEN a.z IS NULL THEN 1 ELSE 0 END AS LOAN_AMOUNT_DESC_LOG_Z_isna
 FROM loan l LEFT JOIN faces f ON l.LOAN_ID = f.LOAN_ID LEFT JOIN feat1 a ON l.LOAN_ID = a.LOAN_ID"""
+
+
+# ---------------------------------------------------------------------------
+# Covariate shift: batches of 128 training rows in buckets of ~256 rows
+# ---------------------------------------------------------------------------
+
+def _sq(a: str, b: str) -> str:
+    return (f"list_sum(list_transform(range(1, len({a}.x) + 1), "
+            f"lambda k: ({a}.x[k] - {b}.x[k]) * ({a}.x[k] - {b}.x[k])))")
+
+
+SHIFT_BATCHES = f"""
+nb AS (SELECT greatest(1, ceil(count(*) / 256)) AS nb FROM shift WHERE NOT is_test),
+b0 AS (SELECT s.*, {md5_bucket_sql('vec_id', 'CAST(nb AS BIGINT)')} AS bucket FROM shift s, nb),
+bt AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY is_test, bucket ORDER BY vec_id) - 1) / 128) AS BIGINT)
+         AS batch FROM b0),
+tr AS (SELECT * FROM bt WHERE NOT is_test),
+te AS (SELECT * FROM bt WHERE is_test),
+sizes AS (SELECT bucket, CAST(ceil(count(*) FILTER (WHERE is_test) / 128) AS BIGINT) AS m FROM bt GROUP BY bucket),
+ntr AS (SELECT bucket, batch, count(*) AS n_tr FROM tr GROUP BY bucket, batch),
+nte AS (SELECT bucket, batch, count(*) AS n_te FROM te GROUP BY bucket, batch),
+tt AS (SELECT a.bucket, a.batch, a.vec_id AS i, c.vec_id AS j, {_sq('a', 'c')} AS d2
+       FROM tr a JOIN tr c ON a.bucket = c.bucket AND a.batch = c.batch),
+width AS (SELECT bucket, batch, quantile_cont(sqrt(d2), 0.01) AS w FROM tt WHERE i < j GROUP BY bucket, batch),
+kte AS (SELECT a.vec_id, a.bucket, a.batch, exp(-w.w * {_sq('a', 'c')}) AS kv
+        FROM tr a JOIN sizes z ON a.bucket = z.bucket
+        JOIN te c ON c.bucket = a.bucket AND c.batch = a.batch % z.m
+        JOIN width w ON w.bucket = a.bucket AND w.batch = a.batch),
+ktr AS (SELECT t.i AS vec_id, avg(exp(-w.w * t.d2)) AS mk FROM tt t
+        JOIN width w ON w.bucket = t.bucket AND w.batch = t.batch GROUP BY t.i),
+rowk AS (SELECT k.vec_id, k.bucket, k.batch, sum(k.kv) AS sk, avg(k.kv) AS mte, count(*) AS n_te
+         FROM kte k GROUP BY k.vec_id, k.bucket, k.batch),
+ratio AS (SELECT t.vec_id, t.bucket, t.batch, r.sk, r.n_te,
+            least(greatest(r.mte / kt.mk, 0.0), {50.0}) AS q
+          FROM tr t LEFT JOIN rowk r ON t.vec_id = r.vec_id LEFT JOIN ktr kt ON t.vec_id = kt.vec_id),
+weights AS (SELECT ra.vec_id, ra.bucket, ra.batch,
+              -(CAST(n.n_tr AS DOUBLE) / ra.n_te) * ra.sk AS kappa,
+              CASE WHEN ra.q IS NULL THEN 1.0
+                   ELSE ra.q * n.n_tr / sum(ra.q) OVER (PARTITION BY ra.bucket, ra.batch) END AS weight
+            FROM ratio ra JOIN ntr n ON ra.bucket = n.bucket AND ra.batch = n.batch)"""
+
+
+@oracle("kernel_width", "shift")
+def _kernel_width():
+    return f""", {_cte(SHIFT_BATCHES)}
+SELECT n.bucket, n.batch, round(w.w, 6) AS kernel_width
+FROM ntr n LEFT JOIN width w ON n.bucket = w.bucket AND n.batch = w.batch"""
+
+
+@oracle("kernel_row_sums", "shift")
+def _kernel_row_sums():
+    return f""", {_cte(SHIFT_BATCHES)}
+SELECT vec_id, round(kappa, 6) AS kappa FROM weights"""
+
+
+@oracle("density_ratio", "shift")
+def _density_ratio():
+    return f""", {_cte(SHIFT_BATCHES)}
+SELECT vec_id, round(weight, 6) AS weight FROM weights"""
+
+
+@oracle("weighted_loss", "shift")
+def _weighted_loss():
+    return f""", {_cte(SHIFT_BATCHES)},
+p AS (SELECT avg(y) AS p FROM shift WHERE NOT is_test)
+SELECT w.bucket, w.batch, round(avg(w.weight * (p.p - t.y) * (p.p - t.y)), 6) AS weighted_loss
+FROM weights w JOIN tr t ON w.vec_id = t.vec_id, p GROUP BY w.bucket, w.batch"""

@@ -20,6 +20,7 @@ from lendframe.operators import category as C
 from lendframe.operators import ensemble as E
 from lendframe.operators import images as IMG
 from lendframe.operators import metrics as M
+from lendframe.operators import shift as SH
 from lendframe.operators import tags as TAGS
 from lendframe.operators import target as TG
 from lendframe.sources import files as FILES
@@ -336,3 +337,44 @@ def join_additional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("LOAN_ID", "NUM_FACES",
                       _r("LOAN_AMOUNT_DESC_LOG_Z", 6).alias("LOAN_AMOUNT_DESC_LOG_Z"),
                       "LOAN_AMOUNT_DESC_LOG_Z_isna")
+
+
+# ---------------------------------------------------------------------------
+# Covariate shift (bounded batches)
+# ---------------------------------------------------------------------------
+
+SHIFT_BATCH = 128
+SHIFT_BUCKET_ROWS = 256
+
+
+def _batched(spark, sf_dir):
+    return SH.assign_batches(fx.shift(spark, sf_dir), SHIFT_BATCH, SHIFT_BUCKET_ROWS)
+
+
+def _null_nan(c: str):
+    return F.when(F.isnan(F.col(c)), F.lit(None)).otherwise(F.col(c))
+
+
+@query
+def kernel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = SH.kernel_width(_batched(spark, sf_dir))
+    return w.select("bucket", "batch", _r(_null_nan("kernel_width"), 6).alias("kernel_width"))
+
+
+@query
+def kernel_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH)
+    return w.select("vec_id", _r(_null_nan("kappa"), 6).alias("kappa"))
+
+
+@query
+def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH)
+    return w.select("vec_id", _r("weight", 6).alias("weight"))
+
+
+@query
+def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batched = _batched(spark, sf_dir)
+    loss = SH.weighted_loss(SH.batch_weights(batched, SHIFT_BATCH), batched)
+    return loss.select("bucket", "batch", _r("weighted_loss", 6).alias("weighted_loss"))

@@ -20,6 +20,7 @@ from lendframe.operators import category as C
 from lendframe.operators import ensemble as E
 from lendframe.operators import images as IMG
 from lendframe.operators import metrics as M
+from lendframe.operators import model as MD
 from lendframe.operators import shift as SH
 from lendframe.operators import tags as TAGS
 from lendframe.operators import target as TG
@@ -378,3 +379,67 @@ def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = _batched(spark, sf_dir)
     loss = SH.weighted_loss(SH.batch_weights(batched, SHIFT_BATCH), batched)
     return loss.select("bucket", "batch", _r("weighted_loss", 6).alias("weighted_loss"))
+
+
+# ---------------------------------------------------------------------------
+# Spark ML
+# ---------------------------------------------------------------------------
+
+NUMERIC_FEATURES = ["LOAN_AMOUNT_DESC_LOG_Z", "LOAN_AMOUNT_DESC_LOG_Z_isna", "NUM_FACES"]
+
+
+def _features(spark, sf_dir):
+    loans = fx.loan(spark, sf_dir)
+    train = fx.train(loans)
+    dictionary = C.fit_dictionary(train)
+    faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
+    extra = _amount_feature(spark, sf_dir, loans).join(faces, "LOAN_ID", "left")
+    return loans, train, dictionary, MD.feature_table(loans, dictionary, extra=extra)
+
+
+@query
+def feature_vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Width of the assembled feature vector, block by block: one-hot ids
+    (largest id of each variable + 1, plus one slot for unseen), hashed text,
+    tag flags and numeric features."""
+    loans = fx.loan(spark, sf_dir)
+    d = C.fit_dictionary(fx.train(loans))
+    cat = d.groupBy("variable").agg((F.max("id") + 2).alias("w")).agg(F.sum("w").alias("category_block"))
+    text_block = len(MD.TEXT_FIELDS) * MD.TEXT_DIM
+    return cat.select(
+        F.col("category_block").cast("bigint").alias("category_block"),
+        F.lit(text_block).cast("bigint").alias("text_block"),
+        F.lit(len(fixed.MASTER_TAGS)).cast("bigint").alias("tag_block"),
+        F.lit(len(NUMERIC_FEATURES)).cast("bigint").alias("numeric_block"),
+        (F.col("category_block") + text_block + len(fixed.MASTER_TAGS) + len(NUMERIC_FEATURES))
+        .cast("bigint").alias("width"))
+
+
+@query
+def text_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashed term counts of the normalised description (rows-only check:
+    the hash function is Spark's own)."""
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+    loans = fx.loan(spark, sf_dir)
+    words = loans.select("LOAN_ID", *MD.text_columns(loans))
+    tf = HashingTF(inputCol="words_DESCRIPTION_TRANSLATED", outputCol="tf", numFeatures=MD.TEXT_DIM)
+    arr = vector_to_array(F.col("tf"))
+    return tf.transform(words).select(
+        "LOAN_ID", F.size("words_DESCRIPTION_TRANSLATED").alias("n_words"),
+        F.size(F.filter(arr, lambda x: x != 0)).alias("n_buckets"))
+
+
+@query
+def regress_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit the pipeline on the training loans, predict the test loans in USD."""
+    from lendframe.session import ensure_checkpoint_dir
+    loans, train, _, features = _features(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    # The fit makes several passes; cut the lineage once (checkpoint folder
+    # is the cluster's shared spark.checkpoint.dir when it is set).
+    features = features.checkpoint()
+    model = MD.fit_regressor(features.where(F.col("LOAN_AMOUNT").isNotNull()), MD.id_columns(),
+                             NUMERIC_FEATURES)
+    pred = MD.predict_amount(model, features.where(F.col("LOAN_AMOUNT").isNull()), train)
+    return pred.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))

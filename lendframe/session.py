@@ -53,13 +53,13 @@ def get_session(cpus: int | str = "*", app: str = "lendframe", shuffle_partition
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh scratch folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        path = configured
-    else:
-        path = tempfile.mkdtemp(prefix="lendframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    """Use the checkpoint folder already set, else the cluster's shared
+    ``spark.checkpoint.dir``; only when neither exists (local tests) fall
+    back to a fresh scratch folder."""
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lendframe-ckpt-")
+    sc.setCheckpointDir(path)
     return path

@@ -23,18 +23,21 @@ def ensemble_mean(predictions: DataFrame, out_col: str = "LOAN_AMOUNT") -> DataF
             .select("LOAN_ID", F.when(F.col("_k") == n_models, F.col("_mean")).alias(out_col)))
 
 
-def corrected_submission(scaffold: DataFrame, mean: DataFrame, test: DataFrame,
-                         desc: DataFrame, currencies=None) -> DataFrame:
+def corrected_submission(scaffold: DataFrame, mean: DataFrame, desc: DataFrame,
+                         test: DataFrame | None = None, currencies=None) -> DataFrame:
     """(LOAN_ID, LOAN_AMOUNT): the ensemble mean, replaced by the stated USD
     amount where one was found and the currency is trusted.
 
-    ``scaffold`` lists the loans to submit (LOAN_ID), ``test`` gives their
-    CURRENCY, ``desc`` the converted stated amounts (LOAN_ID, LOAN_AMOUNT_DESC).
-    All joins are left joins on the unique LOAN_ID.
+    ``scaffold`` lists the loans to submit (LOAN_ID), ``desc`` the converted
+    stated amounts (LOAN_ID, CURRENCY, LOAN_AMOUNT_DESC).  The currency is
+    taken from ``test`` when given, else from ``desc``.  All joins are left
+    joins on the unique LOAN_ID.
     """
-    out = (scaffold.select("LOAN_ID")
-           .join(mean, "LOAN_ID", "left")
-           .join(test.select("LOAN_ID", "CURRENCY"), "LOAN_ID", "left")
-           .join(desc.select("LOAN_ID", DESC), "LOAN_ID", "left"))
+    out = scaffold.select("LOAN_ID").join(mean, "LOAN_ID", "left")
+    if test is not None:
+        out = (out.join(test.select("LOAN_ID", "CURRENCY"), "LOAN_ID", "left")
+               .join(desc.select("LOAN_ID", DESC), "LOAN_ID", "left"))
+    else:
+        out = out.join(desc.select("LOAN_ID", "CURRENCY", DESC), "LOAN_ID", "left")
     out = trusted_amount(out, currencies)
     return out.select("LOAN_ID", F.coalesce(F.col(DESC), F.col("LOAN_AMOUNT")).alias("LOAN_AMOUNT"))

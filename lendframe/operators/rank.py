@@ -27,6 +27,12 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    from lendframe.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
@@ -41,6 +47,11 @@ def with_global_index(df: DataFrame, order_cols, index_col: str = "idx",
     order = _cols(order_cols)
     r = (df.repartitionByRange(p, *order).sortWithinPartitions(*order)
          .withColumn("_mid", F.monotonically_increasing_id()))
+    # The per-partition counts and the rows must come from the same range
+    # partitioning.  A range exchange samples its bounds each time it runs
+    # (the seed depends on the RDD id), so the tagged rows are written once
+    # to the checkpoint folder and both branches read that copy.
+    r = _materialize(r)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     r = r.withColumn("_pid", pid)
@@ -56,15 +67,26 @@ def with_global_index(df: DataFrame, order_cols, index_col: str = "idx",
 
 
 def exact_median(df: DataFrame, group_col: str, value_col: str, out_col: str = "median",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, eager: bool = True) -> DataFrame:
     """Exact median per group, nulls skipped; with an even count the mean of
     the two middle values, ``(a + b) / 2``.  Groups with no value are absent.
 
     Scales with a hot group: the group is split by the range exchange and
     only the one or two middle rows of each group are joined back.
+
+    The range exchange samples its input before shuffling it, so the input
+    would be computed twice.  With ``eager`` (default) the (group, value)
+    pairs are persisted only while the ranked copy is written (see
+    ``with_global_index``), then released.
     """
+    from pyspark import StorageLevel
+
     vals = df.select(group_col, value_col).where(F.col(value_col).isNotNull())
+    if eager:
+        vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     ranked = with_global_index(vals, [group_col, value_col], "_idx", num_partitions)
+    if eager:
+        vals.unpersist()
     bounds = ranked.groupBy(group_col).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
     middle = bounds.select(
         F.explode(F.array_distinct(F.array(
@@ -91,6 +113,9 @@ def running_totals(df: DataFrame, group_cols, order_cols, value_cols, prefix: st
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.select("*", F.count(F.lit(1)).over(w).alias("_ln"),
                  *[F.sum(v).over(w).alias(f"_l_{v}") for v in value_cols])
+    # Totals and rows must see the same range partitioning (see
+    # with_global_index): write the tagged rows once.
+    r = _materialize(r)
     # One row per (range partition, group): at most P + G rows.
     totals = r.groupBy("_pid", *groups).agg(
         F.count(F.lit(1)).alias("_tn"), *[F.sum(v).alias(f"_t_{v}") for v in value_cols])

@@ -47,18 +47,21 @@ def _r(col, digits: int = DIGITS):
 # ---------------------------------------------------------------------------
 
 def _recent_desc(spark, sf_dir, loans):
-    local = A.extract_local_amount(loans, version=2)
-    rate = A.median_rate(local, fx.train(loans), min_loan_id=fx.recent_cutoff(sf_dir))
+    """v2 amounts of all loans (target kept), the recent median rate and
+    the converted amounts: one extraction pass, no join back to the loans."""
+    local = A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"])
+    rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(sf_dir))
     return local, rate, A.convert_usd(local, rate)
 
 
 @query
 def corrected_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     loans = fx.loan(spark, sf_dir)
-    test = fx.test(loans)
     _, _, desc = _recent_desc(spark, sf_dir, loans)
+    # Test loans are the rows without a target; their currency is in desc.
+    test_desc = desc.where(F.col("LOAN_AMOUNT").isNull())
     mean = E.ensemble_mean(fx.predictions(spark, sf_dir, loans))
-    out = E.corrected_submission(test.select("LOAN_ID"), mean, test, desc)
+    out = E.corrected_submission(test_desc, mean, test_desc)
     return out.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 
 
@@ -78,7 +81,7 @@ def extract_amount_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def median_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate base of the stated-amount feature: v1 amounts, all training loans."""
     loans = fx.loan(spark, sf_dir)
-    rate = A.median_rate(A.extract_local_amount(loans, 1), fx.train(loans))
+    rate = A.median_rate(A.extract_local_amount(loans, 1, keep=["LOAN_AMOUNT"]))
     return rate.select("CURRENCY", _r("rate", 6).alias("rate"))
 
 
@@ -96,10 +99,9 @@ def convert_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _amount_feature(spark, sf_dir, loans):
-    train = fx.train(loans)
-    local = A.extract_local_amount(loans, version=1)
-    desc = A.convert_usd(local, A.median_rate(local, train))
-    mean, std = TG.stat_columns(train)
+    local = A.extract_local_amount(loans, version=1, keep=["LOAN_AMOUNT"])
+    desc = A.convert_usd(local, A.median_rate(local))
+    mean, std = TG.stat_columns(fx.train(loans))
     return A.amount_feature(desc, mean, std)
 
 
@@ -114,8 +116,7 @@ def amount_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def currency_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     loans = fx.loan(spark, sf_dir)
     _, _, desc = _recent_desc(spark, sf_dir, loans)
-    test_desc = fx.test(loans).select("LOAN_ID").join(desc, "LOAN_ID", "left")
-    out = A.trusted_amount(test_desc)
+    out = A.trusted_amount(desc.where(F.col("LOAN_AMOUNT").isNull()))
     return out.select("LOAN_ID", "CURRENCY", _r(A.DESC).alias(A.DESC))
 
 

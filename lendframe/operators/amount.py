@@ -28,14 +28,15 @@ LOCAL = "LOAN_AMOUNT_LOCAL"
 DESC = "LOAN_AMOUNT_DESC"
 
 
-def extract_local_amount(loans: DataFrame, version: int = 2, keep=()) -> DataFrame:
+def extract_local_amount(loans: DataFrame, version: int = 2, keep=(),
+                         sort_by_currency: bool = True) -> DataFrame:
     """(LOAN_ID, CURRENCY, LOAN_AMOUNT_LOCAL, *keep): the largest amount
     stated in the (filled) description, null when none is stated.  ``keep``
     passes columns through (e.g. LOAN_AMOUNT, to build the rate base without
     joining the loans back)."""
     text = T.fill_description()
     sentences = T.sentences_v2(text) if version == 2 else T.sentences_v1(text)
-    if version == 2:
+    if version == 2 and sort_by_currency:
         # The v2 pattern is built from the row's currency, and the regex is
         # recompiled whenever it changes from one row to the next.  A local
         # sort by currency (no shuffle) makes that once per currency and

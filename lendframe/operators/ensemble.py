@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lendframe.operators.amount import DESC, trusted_amount
 
 
-def ensemble_mean(predictions: DataFrame, out_col: str = "LOAN_AMOUNT") -> DataFrame:
+def ensemble_mean(predictions: DataFrame, out_col: str = "LOAN_AMOUNT",
+                  n_models: int | None = None) -> DataFrame:
     """(LOAN_ID, mean prediction) over all prediction sets.
 
     Input rows are (model_id, LOAN_ID, LOAN_AMOUNT), one per set and loan.  A
@@ -16,8 +17,15 @@ def ensemble_mean(predictions: DataFrame, out_col: str = "LOAN_AMOUNT") -> DataF
     adding a missing value would.  Keyed by LOAN_ID, so the
     order of the sets and of the rows does not matter; the group-by runs with
     map-side partial aggregation.
+
+    ``n_models`` is the number of prediction sets when the caller knows it
+    (the number of files read); otherwise it is counted from the data, which
+    costs one more pass over the predictions.
     """
-    n_models = predictions.select(F.countDistinct("model_id")).scalar()
+    if n_models is None:
+        n_models = predictions.select(F.countDistinct("model_id")).scalar()
+    else:
+        n_models = F.lit(n_models)
     return (predictions.groupBy("LOAN_ID")
             .agg(F.avg("LOAN_AMOUNT").alias("_mean"), F.count("LOAN_AMOUNT").alias("_k"))
             .select("LOAN_ID", F.when(F.col("_k") == n_models, F.col("_mean")).alias(out_col)))

@@ -580,7 +580,7 @@ FROM weights w JOIN tr t ON w.vec_id = t.vec_id, p GROUP BY w.bucket, w.batch"""
 def _feature_vector_width():
     from lendframe.functions.fixed import CATEGORY_VARIABLES_10
     return f""", {_cte(dictionary_ctes(CATEGORY_VARIABLES_10))},
-cb AS (SELECT sum(w) AS category_block FROM (SELECT variable, max(id) + 2 AS w FROM dict GROUP BY variable))
+cb AS (SELECT sum(w) AS category_block FROM (SELECT variable, count(*) + 2 AS w FROM dict GROUP BY variable))
 SELECT CAST(category_block AS BIGINT) AS category_block, CAST(2048 AS BIGINT) AS text_block,
        CAST({len(MASTER_TAGS)} AS BIGINT) AS tag_block, CAST(3 AS BIGINT) AS numeric_block,
        CAST(category_block + 2048 + {len(MASTER_TAGS)} + 3 AS BIGINT) AS width FROM cb"""

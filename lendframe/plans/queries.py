@@ -37,6 +37,13 @@ def query(fn):
     return fn
 
 
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a DataFrame that several branches of one plan read (memory, then
+    local disk; a lost block is recomputed from its lineage)."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _r(col, digits: int = DIGITS):
     c = F.col(col) if isinstance(col, str) else col
     return F.round(c, digits)
@@ -49,7 +56,8 @@ def _r(col, digits: int = DIGITS):
 def _recent_desc(spark, sf_dir, loans):
     """v2 amounts of all loans (target kept), the recent median rate and
     the converted amounts: one extraction pass, no join back to the loans."""
-    local = A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"])
+    # The amounts feed the rate and the conversion: extract them once.
+    local = reuse(A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"]))
     rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(sf_dir))
     return local, rate, A.convert_usd(local, rate)
 
@@ -60,7 +68,7 @@ def corrected_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, desc = _recent_desc(spark, sf_dir, loans)
     # Test loans are the rows without a target; their currency is in desc.
     test_desc = desc.where(F.col("LOAN_AMOUNT").isNull())
-    mean = E.ensemble_mean(fx.predictions(spark, sf_dir, loans))
+    mean = E.ensemble_mean(fx.predictions(spark, sf_dir, loans), n_models=fx.N_MODELS)
     out = E.corrected_submission(test_desc, mean, test_desc)
     return out.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 
@@ -99,7 +107,7 @@ def convert_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _amount_feature(spark, sf_dir, loans):
-    local = A.extract_local_amount(loans, version=1, keep=["LOAN_AMOUNT"])
+    local = reuse(A.extract_local_amount(loans, version=1, keep=["LOAN_AMOUNT"]))
     desc = A.convert_usd(local, A.median_rate(local))
     mean, std = TG.stat_columns(fx.train(loans))
     return A.amount_feature(desc, mean, std)
@@ -122,7 +130,7 @@ def currency_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = E.ensemble_mean(fx.predictions(spark, sf_dir))
+    mean = E.ensemble_mean(fx.predictions(spark, sf_dir), n_models=fx.N_MODELS)
     return mean.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 
 
@@ -390,7 +398,9 @@ NUMERIC_FEATURES = ["LOAN_AMOUNT_DESC_LOG_Z", "LOAN_AMOUNT_DESC_LOG_Z_isna", "NU
 
 
 def _features(spark, sf_dir):
-    loans = fx.loan(spark, sf_dir)
+    # Read by the dictionary fit, the encoding, the tags, the text, the
+    # stated amounts and the face counts: build the loan rows once.
+    loans = reuse(fx.loan(spark, sf_dir))
     train = fx.train(loans)
     dictionary = C.fit_dictionary(train)
     faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
@@ -401,11 +411,11 @@ def _features(spark, sf_dir):
 @query
 def feature_vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of the assembled feature vector, block by block: one-hot ids
-    (largest id of each variable + 1, plus one slot for unseen), hashed text,
-    tag flags and numeric features."""
+    (values of each variable + 1 for id 0, plus one slot for an invalid
+    id), hashed text, tag flags and numeric features."""
     loans = fx.loan(spark, sf_dir)
     d = C.fit_dictionary(fx.train(loans))
-    cat = d.groupBy("variable").agg((F.max("id") + 2).alias("w")).agg(F.sum("w").alias("category_block"))
+    cat = d.groupBy("variable").agg((F.count(F.lit(1)) + 2).alias("w")).agg(F.sum("w").alias("category_block"))
     text_block = len(MD.TEXT_FIELDS) * MD.TEXT_DIM
     return cat.select(
         F.col("category_block").cast("bigint").alias("category_block"),

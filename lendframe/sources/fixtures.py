@@ -138,8 +138,11 @@ def test(loans: DataFrame) -> DataFrame:
     return loans.where(F.col("LOAN_AMOUNT").isNull()).drop("LOAN_AMOUNT")
 
 
+N_MODELS = 16
+
+
 def predictions(spark: SparkSession, sf_dir: str, loans: DataFrame | None = None,
-                n_models: int = 16) -> DataFrame:
+                n_models: int = N_MODELS) -> DataFrame:
     """Sixteen prediction sets (``model_id`` 0..15), every loan once per model.
 
     Generated per loan with ``explode`` (no join): each loan row fans out to

@@ -441,6 +441,21 @@ def text_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter(arr, lambda x: x != 0)).alias("n_buckets"))
 
 
+@query
+def holdout_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout error in USD (rows-only check): the pipeline is fitted on the
+    hashed 80 % of the training loans and scored on the other 20 %, next to
+    the constant predictor exp(mean ln y)."""
+    from lendframe.session import ensure_checkpoint_dir
+    loans, train, _, features = _features(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    labelled = (features.where(F.col("LOAN_AMOUNT").isNotNull())
+                .withColumn("is_holdout", M.holdout_flag(F.col("LOAN_ID"))).checkpoint())
+    out = MD.evaluate_variants(labelled.where("is_holdout = 0"), labelled.where("is_holdout = 1"), train,
+                               MD.id_columns(), NUMERIC_FEATURES)
+    return out.select("variant", _r("mae").alias("mae"))
+
+
 @query
 def regress_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit the pipeline on the training loans, predict the test loans in USD."""

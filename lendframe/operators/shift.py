@@ -86,7 +86,7 @@ def _width(x: np.ndarray, q: float) -> float | None:
 
 def kernel_width(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE) -> DataFrame:
     """(bucket, batch, kernel_width) per training batch."""
-    def fn(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, pdf):
         width = _width(_matrix(pdf), quantile)
         return pd.DataFrame({"bucket": [key[0]], "batch": [key[1]], "kernel_width": [width]})
 
@@ -104,7 +104,7 @@ def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
     """
     train, test = _pair_keys(batched, batch_size)
 
-    def fn(key, tr: pd.DataFrame, te: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, tr, te):
         if len(tr) == 0:
             return pd.DataFrame({c: [] for c in ["vec_id", "bucket", "batch", "kernel_width", "kappa", "weight"]})
         x = _matrix(tr)

@@ -68,7 +68,9 @@ def corrected_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, desc = _recent_desc(spark, sf_dir, loans)
     # Test loans are the rows without a target; their currency is in desc.
     test_desc = desc.where(F.col("LOAN_AMOUNT").isNull())
-    mean = E.ensemble_mean(fx.predictions(spark, sf_dir, loans), n_models=fx.N_MODELS)
+    # Prediction files hold the loans to submit, the test loans; averaging
+    # only those skips the training loans' predictions before the shuffle.
+    mean = E.ensemble_mean(fx.predictions(spark, sf_dir, fx.test(loans)), n_models=fx.N_MODELS)
     out = E.corrected_submission(test_desc, mean, test_desc)
     return out.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 

@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.sources.tables import read_table
+from lendframe.sources.tables import read_table, spread
 
 BS = "\\"
 
@@ -49,8 +49,8 @@ def _bigint_text(c: Column) -> Column:
 def loan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``loan`` view: train and test after their union
     (``LOAN_AMOUNT`` null for the test fifth)."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")

@@ -86,7 +86,9 @@ def convert_usd(local: DataFrame, rate: DataFrame) -> DataFrame:
     prediction.  The rate table has one row per currency.
     """
     keep = [c for c in local.columns if c not in ("LOAN_ID", "CURRENCY", LOCAL)]
-    return (local.join(rate, "CURRENCY", "left")
+    # One row per currency code: bounded by the code space (three letters),
+    # well under a megabyte, so it is broadcast and the amounts never shuffle.
+    return (local.join(F.broadcast(rate), "CURRENCY", "left")
             .select("LOAN_ID", "CURRENCY", *keep, F.try_divide(F.col(LOCAL), F.col("rate")).alias(DESC)))
 
 

@@ -1,0 +1,23 @@
+"""Join helpers: broadcast a side only when its size is known to be small.
+
+``F.broadcast`` on a side whose size grows with the data fails (or thrashes
+executor memory) at scale; AQE's runtime broadcast only happens after the
+other side's shuffle may already have been spent.  ``broadcast_if_small``
+counts the rows first — one cheap job over a side that is usually small and
+already materialised — and hints the broadcast only under the bound; above
+it the join stays a shuffle join, where AQE can still split skewed keys.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# About 10-20 MB for the narrow (variable, value, id) rows of a dictionary.
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

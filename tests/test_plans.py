@@ -3,6 +3,7 @@ the JVM, small sides are broadcast only after their size is measured, and
 no order statistic funnels a whole table through one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lendframe.plans.queries import QUERIES
@@ -57,3 +58,13 @@ def test_filters_reach_the_scan(spark):
     local = A.extract_local_amount(fx.loan(spark, SF_SMALL), version=2, keep=["LOAN_AMOUNT"])
     plan = local.where("LOAN_ID > 500")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,500)" in plan
+
+
+def test_dictionary_broadcast_only_under_the_bound(spark):
+    from lendframe.operators.joins import broadcast_if_small
+    small = spark.range(10)
+    big = spark.range(1000)
+    left = spark.range(100).withColumnRenamed("id", "k")
+    p1 = left.join(broadcast_if_small(small, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
+    p2 = left.join(broadcast_if_small(big, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in p1.lower() and "broadcast" not in p2.lower()

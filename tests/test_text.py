@@ -76,6 +76,8 @@ def amounts(spark, text, cur="PHP", version=2):
     ("PHP1 , 234 ", [1234.0]),                # spaces around the comma
     ("PHP 1234567890 ", []),                  # ten digits: no form fits
     ("PHP 12 PHP 34 ", [12.0, 34.0]),         # two amounts
+    ("PHP 12 34 PHP ", [12.0]),               # the space after 12 is used up by the first match
+    ("x 12 PHP 34 PHP ", [12.0, 34.0]),
     ("we are 12 people ", []),                # no code
     ("PHP 100.5 ", []),                       # one decimal digit: no match
 ])
@@ -102,3 +104,9 @@ def test_token_window_and_mask(spark):
     assert r["w"] == ["a", "b", "c", "", ""]
     assert r["m"] == [1, 1, 1, 0, 0]
     assert r["w2"] == ["a", "b"]
+
+
+def test_amount_at_sentence_end_gets_its_trailing_space(spark):
+    df = spark.createDataFrame([("Total PHP 100. Thanks", "PHP"), ("Total PHP 100", "PHP")], "t string, c string")
+    got = [r["m"] for r in df.select(T.max_stated_amount(T.sentences_v2(F.col("t")), F.col("c")).alias("m")).collect()]
+    assert got == [100.0, 100.0]

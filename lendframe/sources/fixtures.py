@@ -143,14 +143,14 @@ N_MODELS = 16
 
 def predictions(spark: SparkSession, sf_dir: str, loans: DataFrame | None = None,
                 n_models: int = N_MODELS) -> DataFrame:
-    """Sixteen prediction sets (``model_id`` 0..15), every loan once per model.
+    """Sixteen prediction sets (``model_id`` int 0..15), every loan once per model.
 
     Generated per loan with ``explode`` (no join): each loan row fans out to
     its ``n_models`` predictions in the same task.
     """
     loans = loans if loans is not None else loan(spark, sf_dir)
     return (loans.select("LOAN_ID", "AMT",
-                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_models - 1).cast("bigint")))
+                         F.explode(F.sequence(F.lit(0), F.lit(n_models - 1)))
                          .alias("model_id"))
             # SQL literals are exact decimals, as in the SQL definition.
             .select("model_id", "LOAN_ID",

@@ -37,3 +37,24 @@ def test_entry_contract(spark):
     assert df.columns == ["LOAN_ID", "LOAN_AMOUNT"]
     assert df.count() == 300
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+SPARK_TO_DUCKDB = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                   "boolean": "BOOLEAN", "array<string>": "VARCHAR[]", "array<double>": "DOUBLE[]"}
+
+
+def test_column_types_match_the_oracle(spark):
+    import duckdb
+
+    from lendframe.sources.tables import TABLES, table_path
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{table_path(SF_SMALL, t)}')")
+    bad = {}
+    for name, sql in ORACLES.items():
+        s = {c: SPARK_TO_DUCKDB.get(t, t) for c, t in QUERIES[name](spark, SF_SMALL).dtypes}
+        rel = con.sql(sql)
+        o = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        if s != o:
+            bad[name] = (s, o)
+    assert not bad, bad

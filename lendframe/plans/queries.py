@@ -402,7 +402,7 @@ NUMERIC_FEATURES = ["LOAN_AMOUNT_DESC_LOG_Z", "LOAN_AMOUNT_DESC_LOG_Z_isna", "NU
 def _features(spark, sf_dir):
     # Read by the dictionary fit, the encoding, the tags, the text, the
     # stated amounts and the face counts: build the loan rows once.
-    loans = reuse(fx.loan(spark, sf_dir))
+    loans = reuse(fx.loan(spark, sf_dir).drop(*fx.HELPER_COLUMNS))
     train = fx.train(loans)
     dictionary = C.fit_dictionary(train)
     faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))

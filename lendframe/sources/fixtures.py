@@ -130,6 +130,10 @@ def loan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Columns of the loan view that only build other columns (FIXTURES.md).
+HELPER_COLUMNS = ["AMT", "TAG1", "QS", "QC"]
+
+
 def train(loans: DataFrame) -> DataFrame:
     return loans.where(F.col("LOAN_AMOUNT").isNotNull())
 

@@ -28,6 +28,25 @@ SQL_SETTINGS = {
 }
 
 
+def scale_settings(input_bytes: int, split_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a run over ``input_bytes`` of parquet.
+
+    Scan splits of ``split_bytes``; the shuffle starts with about one
+    partition per split (each holds roughly what one scan task read, well
+    within an executor's memory), and AQE then merges partitions smaller
+    than the advisory size and splits skewed ones.  Apply with
+    ``spark.conf.set`` before the job; all are runtime SQL settings.
+    """
+    n = max(200, int(input_bytes // split_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }
+
+
 def apply_sql_settings(spark: SparkSession) -> None:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)

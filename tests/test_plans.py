@@ -68,3 +68,10 @@ def test_dictionary_broadcast_only_under_the_bound(spark):
     p1 = left.join(broadcast_if_small(small, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
     p2 = left.join(broadcast_if_small(big, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in p1.lower() and "broadcast" not in p2.lower()
+
+
+def test_scale_settings_size_partitions_from_the_input():
+    from lendframe.session import scale_settings
+    s = scale_settings(100 * (1 << 40))
+    assert int(s["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert int(scale_settings(1 << 20)["spark.sql.shuffle.partitions"]) == 200

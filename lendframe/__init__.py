@@ -12,3 +12,13 @@ streaming  the row-local enrichment as a Structured Streaming job
 """
 
 __version__ = "0.1.0"
+
+# Functions that run in Python workers (grouped pandas functions, the encoder
+# hook) are shipped by value, so the workers need not have this package on
+# their path: it works the same when the package is shipped with --py-files
+# and when only the driver can import it.
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

@@ -58,3 +58,24 @@ def test_column_types_match_the_oracle(spark):
         if s != o:
             bad[name] = (s, o)
     assert not bad, bad
+
+
+def test_entry_file_works_from_another_directory(tmp_path):
+    """The driver loads the entry file from elsewhere; Python workers then
+    cannot import the package, so their functions must travel by value."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import importlib.util\n"
+        f"spec = importlib.util.spec_from_file_location('e', {os.path.join(repo, '__spark_entry__.py')!r})\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"print('ROWS', m.queries()['kernel_row_sums'](s, {SF_SMALL!r}).count(), m.entry(s).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 400 300" in out.stdout, out.stderr[-3000:]

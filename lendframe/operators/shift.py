@@ -87,10 +87,10 @@ def _width(x: np.ndarray, q: float) -> float | None:
 def kernel_width(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE) -> DataFrame:
     """(bucket, batch, kernel_width) per training batch."""
     def fn(key, pdf):
-        width = _width(_matrix(pdf), quantile)
+        width = _width(_matrix(pdf.sort_values("vec_id")), quantile)
         return pd.DataFrame({"bucket": [key[0]], "batch": [key[1]], "kernel_width": [width]})
 
-    return (batched.where(~F.col("is_test")).select("bucket", "batch", "x")
+    return (batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
             .groupBy("bucket", "batch")
             .applyInPandas(fn, "bucket long, batch long, kernel_width double"))
 
@@ -107,6 +107,10 @@ def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
     def fn(key, tr, te):
         if len(tr) == 0:
             return pd.DataFrame({c: [] for c in ["vec_id", "bucket", "batch", "kernel_width", "kappa", "weight"]})
+        # Rows reach a group in no fixed order; sorting makes every float sum
+        # run in the same order, so reruns give bit-equal results.
+        tr = tr.sort_values("vec_id")
+        te = te.sort_values("vec_id")
         x = _matrix(tr)
         n_tr = len(x)
         gamma = _width(x, quantile)

@@ -75,7 +75,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the checkpoint folder already set, else the cluster's shared
     ``spark.checkpoint.dir``; only when neither exists (local tests) fall
     back to a fresh scratch folder."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's own checkpoint folder applies
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()

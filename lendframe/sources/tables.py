@@ -39,7 +39,10 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     ``scan`` must be a plain file scan: counting its splits runs no job.
     """
     spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+    try:
+        if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+            return scan
+    except Exception:  # no RDD view of the plan (Spark Connect): leave it as read
         return scan
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return scan.repartition(n, *keys) if keys else scan.repartition(n)

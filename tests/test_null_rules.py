@@ -144,3 +144,14 @@ def test_n10_missing_text_yields_no_amount(spark, translated, original, expected
     df = spark.createDataFrame([(1, "KES", translated, original)],
                                "LOAN_ID long, CURRENCY string, DESCRIPTION_TRANSLATED string, DESCRIPTION string")
     assert A.extract_local_amount(df, version=2).first()[A.LOCAL] == expected
+
+
+def test_approximate_median_option_is_close(spark):
+    from conftest import SF_ORACLE
+    from lendframe.sources import fixtures as fx
+    local = A.extract_local_amount(fx.loan(spark, SF_ORACLE), version=2, keep=["LOAN_AMOUNT"])
+    exact = {r["CURRENCY"]: r["rate"] for r in A.median_rate(local).collect()}
+    approx = {r["CURRENCY"]: r["rate"] for r in A.median_rate(local, approx_accuracy=100000).collect()}
+    assert set(exact) == set(approx)
+    for c, v in exact.items():
+        assert abs(approx[c] - v) <= 0.01 * abs(v)

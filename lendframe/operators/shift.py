@@ -13,8 +13,8 @@ clipped to [0, 50] and rescaled to mean 1 within the batch (an
 approximation of the same matching objective, not the QP's solution).
 
 Batches are formed without any global ordering: rows are hashed into
-buckets of about ``rows_per_bucket`` training rows (the bucket count is a
-scalar subquery over the data), numbered inside their bucket, and cut into
+buckets of about ``rows_per_bucket`` rows of the larger side (the bucket
+count is a scalar subquery over the data), numbered inside their bucket, and cut into
 batches of ``batch_size``.  Test batch t of a bucket serves the training
 batches s with s mod m == t (m = test batches in that bucket), so test rows
 are copied only to the batches they serve.  Each (bucket, batch) group is
@@ -39,8 +39,11 @@ ROWS_PER_BUCKET = 8192
 def assign_batches(shift: DataFrame, batch_size: int = BATCH_SIZE,
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``bucket`` and ``batch`` to (vec_id, is_test, x, y)."""
-    n_train = shift.where(~F.col("is_test")).select(F.count(F.lit(1))).scalar()
-    n_buckets = F.greatest(F.lit(1), F.ceil(n_train / F.lit(rows_per_bucket)))
+    # Sized by the larger side, so neither side puts more than about
+    # ``rows_per_bucket`` rows into one bucket (the numbering below is one
+    # window per bucket).
+    n_rows = shift.select(F.greatest(F.count_if(~F.col("is_test")), F.count_if(F.col("is_test")))).scalar()
+    n_buckets = F.greatest(F.lit(1), F.ceil(n_rows / F.lit(rows_per_bucket)))
     with_bucket = shift.withColumn("bucket", F.pmod(
         F.conv(F.substring(F.md5(F.concat(F.lit("0-"), F.col("vec_id").cast("string"))), 1, 8), 16, 10)
         .cast("bigint"), n_buckets.cast("bigint")))

@@ -519,7 +519,8 @@ def _sq(a: str, b: str) -> str:
 
 
 SHIFT_BATCHES = f"""
-nb AS (SELECT greatest(1, ceil(count(*) / 256)) AS nb FROM shift WHERE NOT is_test),
+nb AS (SELECT greatest(1, ceil(greatest(count(*) FILTER (WHERE NOT is_test), count(*) FILTER (WHERE is_test)) / 256))
+       AS nb FROM shift),
 b0 AS (SELECT s.*, {md5_bucket_sql('vec_id', 'CAST(nb AS BIGINT)')} AS bucket FROM shift s, nb),
 bt AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY is_test, bucket ORDER BY vec_id) - 1) / 128) AS BIGINT)
          AS batch FROM b0),

@@ -100,3 +100,24 @@ def test_stated_amount_stream_equals_the_batch_job(spark, scratch):
     want = A.trusted_amount(A.convert_usd(local, rate)).select("LOAN_ID", "CURRENCY", A.DESC)
     assert got.count() == loans.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stated_amount_stream_restarts_from_its_checkpoint(spark, scratch):
+    """A second run with the same checkpoint picks up only the files that
+    arrived since; nothing is written twice."""
+    from lendframe.streaming.enrich import start_stated_amount_job, stated_amount_stream
+    loans = fx.loan(spark, SF_SMALL).select("LOAN_ID", "CURRENCY", "DESCRIPTION", "DESCRIPTION_TRANSLATED",
+                                            "LOAN_AMOUNT")
+    src = os.path.join(scratch, "incoming")
+    sink, ckpt = os.path.join(scratch, "sink"), os.path.join(scratch, "ckpt")
+    rate = A.median_rate(A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"]))
+    loans.where("LOAN_ID < 500").write.parquet(os.path.join(src, "a"))
+    start_stated_amount_job(stated_amount_stream(spark, os.path.join(src, "*"), loans.schema, rate),
+                            sink, ckpt).awaitTermination(300)
+    first = spark.read.parquet(sink).count()
+    loans.where("LOAN_ID >= 500").write.parquet(os.path.join(src, "b"))
+    start_stated_amount_job(stated_amount_stream(spark, os.path.join(src, "*"), loans.schema, rate),
+                            sink, ckpt).awaitTermination(300)
+    got = spark.read.parquet(sink)
+    assert first == loans.where("LOAN_ID < 500").count()
+    assert got.count() == loans.count() == got.select("LOAN_ID").distinct().count()

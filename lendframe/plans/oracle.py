@@ -330,6 +330,10 @@ def _scan_project():
     return "SELECT " + ", ".join(cols) + " FROM loan"
 
 
+# The CSV round trip reads back exactly what the projection delivers.
+ORACLES["scan_csv"] = ORACLES["scan_project"]
+
+
 @oracle("coalesce_description", "loan")
 def _coalesce_description():
     return f"SELECT LOAN_ID, {DESC_TEXT} AS DESCRIPTION_TRANSLATED FROM loan"

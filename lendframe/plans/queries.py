@@ -168,6 +168,17 @@ def scan_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("CURRENCY_EXCHANGE_COVERAGE_RATE", _r("CURRENCY_EXCHANGE_COVERAGE_RATE"))
 
 
+@query
+def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loan reader end to end: the loan rows are written as one CSV
+    dataset (header, quoted multi-line-safe fields) and read back through the
+    text schema, null tokens and typing.  Same result as ``scan_project``."""
+    path = FILES.scratch_path(spark, "loans-csv")
+    FILES.write_loans_csv(fx.loan(spark, sf_dir).select(*FILES.LOAN_COLUMNS), path)
+    back = FILES.read_loans_csv(spark, path)
+    return back.withColumn("CURRENCY_EXCHANGE_COVERAGE_RATE", _r("CURRENCY_EXCHANGE_COVERAGE_RATE"))
+
+
 @query
 def coalesce_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.loan(spark, sf_dir).select("LOAN_ID", TX.fill_description().alias("DESCRIPTION_TRANSLATED"))

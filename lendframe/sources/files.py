@@ -68,6 +68,26 @@ def read_loans_csv(spark: SparkSession, path, with_target: bool = True) -> DataF
     return type_loans(raw)
 
 
+def write_loans_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
+    """Loan rows as CSV the way a pandas writer lays them out: a header,
+    fields quoted when needed, quotes doubled inside quotes, nulls empty,
+    and leading or trailing spaces kept (Spark's writer trims by default)."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(out))
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint folder (the cluster's
+    shared ``spark.checkpoint.dir``), for intermediate files a job writes and
+    reads back."""
+    import os
+    import uuid
+
+    from lendframe.session import ensure_checkpoint_dir
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def csv_to_parquet(spark: SparkSession, path, out: str, with_target: bool = True) -> DataFrame:
     read_loans_csv(spark, path, with_target).write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

@@ -121,3 +121,16 @@ def test_stated_amount_stream_restarts_from_its_checkpoint(spark, scratch):
     got = spark.read.parquet(sink)
     assert first == loans.where("LOAN_ID < 500").count()
     assert got.count() == loans.count() == got.select("LOAN_ID").distinct().count()
+
+
+def test_loan_csv_writer_and_reader_round_trip_awkward_text(spark, scratch):
+    schema = FILES.loan_schema()
+    row = {c: None for c in FILES.LOAN_COLUMNS}
+    row.update({"LOAN_ID": "1", "DESCRIPTION": ' two\nlines, a "quote" and a trailing space ',
+                "TAGS": " #Parent", "COUNTRY_CODE": "NA", "LOAN_AMOUNT": "12.5"})
+    df = spark.createDataFrame([tuple(row[c] for c in FILES.LOAN_COLUMNS)], schema)
+    out = os.path.join(scratch, "loans")
+    FILES.write_loans_csv(df, out)
+    back = FILES.read_loans_csv(spark, out).first()
+    assert back["DESCRIPTION"] == row["DESCRIPTION"] and back["TAGS"] == " #Parent"
+    assert back["COUNTRY_CODE"] is None and back["LOAN_AMOUNT"] == 12.5 and back["LOAN_ID"] == 1

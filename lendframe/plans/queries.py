@@ -136,6 +136,17 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 
 
+@query
+def ensemble_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ensemble as the original ran it, from files: the 16 prediction
+    sets are written as CSV (one folder per model) and read back in one
+    scan; the number of sets is counted from what was read."""
+    path = FILES.scratch_path(spark, "predictions")
+    FILES.write_prediction_sets(fx.predictions(spark, sf_dir), path)
+    mean = E.ensemble_mean(FILES.read_prediction_sets(spark, path))
+    return mean.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
 # ---------------------------------------------------------------------------
 # Sentences
 # ---------------------------------------------------------------------------

@@ -108,6 +108,20 @@ def read_predictions(spark: SparkSession, paths) -> DataFrame:
         "LOAN_ID", "LOAN_AMOUNT")
 
 
+def write_prediction_sets(df: DataFrame, out: str, mode: str = "overwrite") -> None:
+    """(model_id, LOAN_ID, LOAN_AMOUNT) as one CSV folder per model
+    (``model_id=k/``).  Every task writes its own rows of each model, so no
+    model is funnelled through one task."""
+    df.write.mode(mode).option("header", True).partitionBy("model_id").csv(out)
+
+
+def read_prediction_sets(spark: SparkSession, base: str) -> DataFrame:
+    """A folder written by ``write_prediction_sets``: the model id comes
+    from partition discovery."""
+    return (spark.read.schema("LOAN_ID long, LOAN_AMOUNT double, model_id int").option("header", True)
+            .csv(base).select("model_id", "LOAN_ID", "LOAN_AMOUNT"))
+
+
 def list_image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path) of every ``*.jpg`` below ``folder``; content is not read
     because only ``path`` is selected."""

@@ -47,3 +47,17 @@ def test_stated_amount_job_equals_the_feature_query(spark, scratch):
     got = {r["LOAN_ID"]: (round(r[1], 6), r[2]) for r in rows}
     want = {r["LOAN_ID"]: (r[1], r[2]) for r in QUERIES["amount_feature"](spark, SF_SMALL).collect()}
     assert got == want and len(got) == 1500
+
+
+def test_jobs_read_the_parquet_copy_too(spark, scratch):
+    train_p, test_p, sample_p, paths = _write_inputs(spark, scratch)
+    train_q = os.path.join(scratch, "train.parquet")
+    test_q = os.path.join(scratch, "test.parquet")
+    FILES.csv_to_parquet(spark, train_p, train_q, with_target=True)
+    FILES.csv_to_parquet(spark, test_p, test_q, with_target=False)
+    a = jobs.submission_job(spark, train_p, test_p, sample_p, paths, os.path.join(scratch, "a"), 500)
+    b = jobs.submission_job(spark, train_q, test_q, sample_p, paths, os.path.join(scratch, "b"), 500)
+    schema = "LOAN_ID long, LOAN_AMOUNT double"
+    ra = spark.read.option("header", True).schema(schema).csv(a)
+    rb = spark.read.option("header", True).schema(schema).csv(b)
+    assert ra.count() == 300 and ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0

@@ -6,11 +6,12 @@ mini-batch and, inside that pair only, computes
     the training rows of the batch (passed on unchanged as the RBF gamma);
   * kernel sums  kappa_i = -(n_tr / n_te) * sum_j exp(-gamma * |x_i - t_j|^2);
   * importance weights for the loss.
-The original solves a quadratic program for the weights; here the weights
-are the closed-form kernel density ratio
+The original solves a quadratic program for the weights (kernel mean
+matching); ``batch_weights(method="kmm")`` solves the same program per batch
+with NumPy.  The default is the closed-form kernel density ratio
   w_i = mean_j K(x_i, t_j) / mean_k K(x_i, x_k),
-clipped to [0, 50] and rescaled to mean 1 within the batch (an
-approximation of the same matching objective, not the QP's solution).
+clipped to [0, 50] and rescaled to mean 1 within the batch, which SQL can
+express (it has an oracle); it approximates the same matching objective.
 
 Batches are formed without any global ordering: rows are hashed into
 buckets of about ``rows_per_bucket`` rows of the larger side (the bucket
@@ -98,11 +99,61 @@ def kernel_width(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE)
             .applyInPandas(fn, "bucket long, batch long, kernel_width double"))
 
 
+def _project_box_band(v: np.ndarray, upper: float, lo: float, hi: float) -> np.ndarray:
+    """Euclidean projection onto {0 <= b <= upper, lo <= sum(b) <= hi}: clip
+    v - lam, with lam = 0 if the clipped sum is inside the band, else found
+    by bisection (the clipped sum falls as lam grows)."""
+    z = np.clip(v, 0.0, upper)
+    s = z.sum()
+    if lo <= s <= hi:
+        return z
+    target = hi if s > hi else lo
+    a, b = float(v.min()) - upper, float(v.max())
+    for _ in range(200):
+        m = 0.5 * (a + b)
+        if np.clip(v - m, 0.0, upper).sum() > target:
+            a = m
+        else:
+            b = m
+    return np.clip(v - 0.5 * (a + b), 0.0, upper)
+
+
+def kmm_solve(k_tr: np.ndarray, kappa: np.ndarray, upper: float = WEIGHT_UPPER_BOUND,
+              ridge: float = 1e-5, max_iter: int = 50000, tol: float = 1e-12) -> np.ndarray:
+    """Kernel mean matching weights of one batch: the minimiser of
+    1/2 b'(K + ridge I)b + kappa'b  subject to  0 <= b <= upper  and
+    |sum(b) - n| <= n (sqrt(n) - 1) / sqrt(n).
+
+    Accelerated projected gradient with restarts; the problem is strongly
+    convex (ridge > 0), so the minimiser is unique.
+    """
+    n = len(kappa)
+    p = k_tr + ridge * np.eye(n)
+    eps = (np.sqrt(n) - 1.0) / np.sqrt(n)
+    lo, hi = n * (1.0 - eps), n * (1.0 + eps)
+    step = 1.0 / float(np.linalg.eigvalsh(p)[-1])
+    beta = _project_box_band(np.ones(n), upper, lo, hi)
+    y, t = beta.copy(), 1.0
+    for _ in range(max_iter):
+        nxt = _project_box_band(y - step * (p @ y + kappa), upper, lo, hi)
+        if np.max(np.abs(nxt - beta)) <= tol * max(1.0, np.max(np.abs(nxt))):
+            return nxt
+        if np.dot(y - nxt, nxt - beta) > 0:  # momentum points uphill: restart
+            t = 1.0
+        t_next = 0.5 * (1.0 + np.sqrt(1.0 + 4.0 * t * t))
+        y = nxt + ((t - 1.0) / t_next) * (nxt - beta)
+        beta, t = nxt, t_next
+    return beta
+
+
 def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
                   quantile: float = KERNEL_DISTANCE_QUANTILE,
-                  upper: float = WEIGHT_UPPER_BOUND) -> DataFrame:
+                  upper: float = WEIGHT_UPPER_BOUND, method: str = "ratio") -> DataFrame:
     """Per training row: (vec_id, bucket, batch, kernel_width, kappa, weight).
 
+    ``method="ratio"``: the closed-form kernel density ratio, clipped and
+    rescaled to mean 1.  ``method="kmm"``: the kernel-mean-matching
+    quadratic program of the original, solved per batch (``kmm_solve``).
     A training batch without a test partner gets kappa null and weight 1.
     """
     train, test = _pair_keys(batched, batch_size)
@@ -124,10 +175,13 @@ def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
             k_te = np.exp(-gamma * _sq_dist(x, t))
             k_tr = np.exp(-gamma * _sq_dist(x, x))
             kappa = -(float(n_tr) / float(len(t))) * k_te.sum(axis=1)
-            ratio = k_te.mean(axis=1) / k_tr.mean(axis=1)
-            ratio = np.clip(ratio, 0.0, upper)
-            total = ratio.sum()
-            weight = ratio * n_tr / total if total > 0 else np.ones(n_tr)
+            if method == "kmm":
+                weight = kmm_solve(k_tr, kappa, upper)
+            else:
+                ratio = k_te.mean(axis=1) / k_tr.mean(axis=1)
+                ratio = np.clip(ratio, 0.0, upper)
+                total = ratio.sum()
+                weight = ratio * n_tr / total if total > 0 else np.ones(n_tr)
         return pd.DataFrame({
             "vec_id": tr["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
             "kernel_width": gamma, "kappa": kappa, "weight": weight})

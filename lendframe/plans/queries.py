@@ -407,6 +407,14 @@ def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("vec_id", _r("weight", 6).alias("weight"))
 
 
+@query
+def density_ratio_kmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel-mean-matching weights, the quadratic program solved per batch
+    (rows-only check; the tests check optimality conditions instead)."""
+    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH, method="kmm")
+    return w.select("vec_id", _r("weight", 6).alias("weight"))
+
+
 @query
 def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = _batched(spark, sf_dir)

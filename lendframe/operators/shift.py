@@ -203,3 +203,24 @@ def weighted_loss(weights: DataFrame, batched: DataFrame, prediction=None) -> Da
     j = weights.select("vec_id", "weight").join(train.select("vec_id", "bucket", "batch", "y"), "vec_id")
     return j.groupBy("bucket", "batch").agg(
         F.avg(F.col("weight") * F.pow(p - F.col("y"), 2)).alias("weighted_loss"))
+
+
+def fit_weighted_regression(batched: DataFrame, weights: DataFrame, reg_param: float = 0.01):
+    """Importance-weighted least squares on the training rows: each row's
+    squared error counts with its density-ratio weight (the weighted loss of
+    the original, minimised by Spark ML instead of a gradient loop).
+    Returns the fitted ``LinearRegressionModel``; features are ``x``."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import LinearRegression
+    train = (batched.where(~F.col("is_test")).select("vec_id", array_to_vector("x").alias("features"), "y")
+             .join(weights.select("vec_id", "weight"), "vec_id"))
+    lr = LinearRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=reg_param,
+                          maxIter=50, tol=1e-6)
+    return lr.fit(train)
+
+
+def predict_shifted(model, batched: DataFrame) -> DataFrame:
+    """(vec_id, prediction) for the test rows."""
+    from pyspark.ml.functions import array_to_vector
+    test = batched.where(F.col("is_test")).select("vec_id", array_to_vector("x").alias("features"))
+    return model.transform(test).select("vec_id", "prediction")

@@ -415,6 +415,16 @@ def density_ratio_kmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("vec_id", _r("weight", 6).alias("weight"))
 
 
+@query
+def weighted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-row predictions of a regression trained with the matching
+    weights on the training rows (rows-only check: Spark ML values)."""
+    batched = _batched(spark, sf_dir)
+    weights = SH.batch_weights(batched, SHIFT_BATCH, method="kmm")
+    model = SH.fit_weighted_regression(batched, weights)
+    return SH.predict_shifted(model, batched).select("vec_id", _r("prediction", 6).alias("prediction"))
+
+
 @query
 def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = _batched(spark, sf_dir)

@@ -53,3 +53,17 @@ def test_kmm_query_gives_one_feasible_weight_per_training_row(spark):
     n_train = fx.shift(spark, SF_SMALL).where(~F.col("is_test")).count()
     stats = w.agg(F.count(F.lit(1)), F.min("weight"), F.max("weight")).first()
     assert stats[0] == n_train and stats[1] >= 0 and stats[2] <= 50
+
+
+def test_weighted_regression_honours_the_weights(spark):
+    from lendframe.plans import queries as Q
+    batched = SH.assign_batches(fx.shift(spark, SF_SMALL), 128, 256)
+    w = SH.batch_weights(batched, 128, method="kmm")
+    ones = w.withColumn("weight", F.lit(1.0))
+    doubled = w.withColumn("weight", F.lit(2.0))
+    a = SH.fit_weighted_regression(batched, ones).coefficients.toArray()
+    b = SH.fit_weighted_regression(batched, doubled).coefficients.toArray()
+    assert np.max(np.abs(a - b)) < 1e-6          # a constant factor changes nothing
+    out = Q.QUERIES["weighted_regression"](spark, SF_SMALL)
+    n_test = fx.shift(spark, SF_SMALL).where(F.col("is_test")).count()
+    assert out.count() == n_test and out.where(F.col("prediction").isNull()).count() == 0

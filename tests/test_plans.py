@@ -11,7 +11,7 @@ from lendframe.plans.queries import QUERIES
 # Queries that run Python on purpose: NumPy over bounded batches (shift)
 # and Spark ML (model).
 PYTHON_ALLOWED = {"kernel_width", "kernel_row_sums", "density_ratio", "density_ratio_kmm", "weighted_loss"}
-ML = {"text_hash_features", "regress_predict", "holdout_mae"}
+ML = {"text_hash_features", "regress_predict", "holdout_mae", "weighted_regression"}
 
 
 def executed_plan(df) -> str:

@@ -26,6 +26,7 @@ from lendframe.operators import tags as TAGS
 from lendframe.operators import target as TG
 from lendframe.sources import files as FILES
 from lendframe.sources import fixtures as fx
+from lendframe.sources.tables import write_and_read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -441,8 +442,9 @@ NUMERIC_FEATURES = ["LOAN_AMOUNT_DESC_LOG_Z", "LOAN_AMOUNT_DESC_LOG_Z_isna", "NU
 
 def _features(spark, sf_dir):
     # Read by the dictionary fit, the encoding, the tags, the text, the
-    # stated amounts and the face counts: build the loan rows once.
-    loans = reuse(fx.loan(spark, sf_dir).drop(*fx.HELPER_COLUMNS))
+    # stated amounts and the face counts, each for its own columns: build
+    # the loan rows once as a parquet table, which every reader prunes.
+    loans = write_and_read(fx.loan(spark, sf_dir).drop(*fx.HELPER_COLUMNS), "loans")
     train = fx.train(loans)
     dictionary = C.fit_dictionary(train)
     faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))

@@ -48,6 +48,21 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan.repartition(n, *keys) if keys else scan.repartition(n)
 
 
+def write_and_read(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as parquet under the session's checkpoint folder (the
+    cluster's shared ``spark.checkpoint.dir``) and read it back.
+
+    For a wide table that several jobs read different columns of: unlike a
+    cached copy, the parquet copy is columnar, so every reader scans only
+    its columns and pushes its filters into the scan; it also cuts the
+    lineage, so a lost executor costs a re-read, not a recomputation.
+    """
+    from lendframe.sources.files import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     """Register the driver tables as temp views (for SQL users)."""
     for name in names or TABLES:

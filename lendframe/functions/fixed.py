@@ -122,9 +122,9 @@ AMOUNT_NUMBER_FORMS = [
     "[0-9]{1,3} ?, ?[0-9]{3} ?, ?[0-9]{3}",
     "[0-9]{1,3} ?, ?[0-9]{3}",
     "[0-9]{1,9}",
-    "[0-9]{1,3} ?, ?[0-9]{3} ?, ?[0-9]{3}[.][0-9]{2}",
-    "[0-9]{1,3} ?, ?[0-9]{3}[.][0-9]{2}",
-    "[0-9]{1,9}[.][0-9]{2}",
+    r"[0-9]{1,3} ?, ?[0-9]{3} ?, ?[0-9]{3}\.[0-9]{2}",
+    r"[0-9]{1,3} ?, ?[0-9]{3}\.[0-9]{2}",
+    r"[0-9]{1,9}\.[0-9]{2}",
 ]
 
 # Loans newer than this id are the base of the exchange-rate median.

@@ -51,20 +51,19 @@ TRUSTED_CURRENCIES = [
 # --- fixed values: text normalisation.  The texts carry escape sequences as
 # literal characters (a backslash followed by letters), not the control
 # characters themselves.  Applied in this order, literally. --------------------
-BS = "\\"
 ESCAPE_REPLACEMENTS = [
-    (BS + "r", " "),
-    (BS + "n", " "),
-    (BS + "u2028", " "),
-    (BS + "t", " "),
-    (BS + "xa0", " "),
-    (BS + "u200b", " "),
-    (BS + "xad", ""),
-    (BS + "u2060", ""),
-    (BS + "u200e", " "),
-    (BS + "u200f", " "),
-    (BS + BS, " "),
-    (BS + "'", "'"),
+    ("\\r", " "),
+    ("\\n", " "),
+    ("\\u2028", " "),
+    ("\\t", " "),
+    ("\\xa0", " "),
+    ("\\u200b", " "),
+    ("\\xad", ""),
+    ("\\u2060", ""),
+    ("\\u200e", " "),
+    ("\\u200f", " "),
+    ("\\\\", " "),
+    ("\\'", "'"),
 ]
 
 # --- fixed values: tokens that a default CSV reader turns into null ---------

@@ -62,3 +62,15 @@ def test_running_totals_keep_a_null_group(spark):
     got = {(r["g"], r["o"]): (r["r_n"], r["r_v"])
            for r in running_totals(df, ["g"], ["o"], ["v"], prefix="r_", num_partitions=3).collect()}
     assert got == {(None, 1): (1, 1), (None, 2): (2, 3), ("x", 1): (1, 5)}
+
+
+def test_hot_group_is_split_across_tasks(spark, skewed):
+    """Group 0 holds about two thirds of the rows; after the range exchange
+    no task holds more than a small multiple of an even share."""
+    total = skewed.count()
+    hot = skewed.where("g = 0").count()
+    assert hot > total / 2
+    r = with_global_index(skewed, ["g", "event_id"], "idx", num_partitions=16)
+    sizes = [row[1] for row in r.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 12
+    assert max(sizes) <= 3 * total / 16

@@ -99,16 +99,21 @@ def exact_median(df: DataFrame, group_col: str, value_col: str, out_col: str = "
 
 
 def running_totals(df: DataFrame, group_cols, order_cols, value_cols, prefix: str = "run_",
-                   num_partitions: int | None = None) -> DataFrame:
+                   num_partitions: int | None = None, eager: bool = True) -> DataFrame:
     """Running count and running sums of ``value_cols`` within each group,
     in ``order_cols`` order, current row included.
 
-    Adds ``{prefix}n`` and ``{prefix}{v}`` for each value column.
+    Adds ``{prefix}n`` and ``{prefix}{v}`` for each value column.  With
+    ``eager`` the input is persisted while the range exchange samples and
+    shuffles it (see ``exact_median``), then released.
     """
+    from pyspark import StorageLevel
+
     p = _num_partitions(df, num_partitions)
     groups = list(group_cols)
     order = _cols(order_cols)
-    r = df.repartitionByRange(p, *_cols(groups), *order).withColumn("_pid", F.spark_partition_id())
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if eager else df
+    r = src.repartitionByRange(p, *_cols(groups), *order).withColumn("_pid", F.spark_partition_id())
     w = (Window.partitionBy("_pid", *groups).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.select("*", F.count(F.lit(1)).over(w).alias("_ln"),
@@ -116,6 +121,8 @@ def running_totals(df: DataFrame, group_cols, order_cols, value_cols, prefix: st
     # Totals and rows must see the same range partitioning (see
     # with_global_index): write the tagged rows once.
     r = _materialize(r)
+    if eager:
+        src.unpersist()
     # One row per (range partition, group): at most P + G rows.
     totals = r.groupBy("_pid", *groups).agg(
         F.count(F.lit(1)).alias("_tn"), *[F.sum(v).alias(f"_t_{v}") for v in value_cols])

@@ -80,3 +80,14 @@ def test_entry_file_works_from_another_directory(tmp_path):
     out = subprocess.run([sys.executable, str(script)], cwd=str(tmp_path), env=env, capture_output=True,
                          text=True, timeout=600)
     assert "ROWS 400 300" in out.stdout, out.stderr[-3000:]
+
+
+@pytest.mark.parametrize("name", ["category_dictionary", "median_rate_recent", "running_mae",
+                                  "corrected_submission", "category_encode_wide"])
+def test_results_do_not_depend_on_adaptive_execution(spark, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        res = compare(spark, name, SF_ORACLE)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert res["match"], res

@@ -91,3 +91,15 @@ def test_results_do_not_depend_on_adaptive_execution(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert res["match"], res
+
+
+@pytest.mark.parametrize("partitions", ["3", "31"])
+def test_results_do_not_depend_on_the_partition_count(spark, partitions):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        bad = [n for n in ("category_dictionary", "median_rate", "running_mae", "tag_frequency")
+               if not compare(spark, n, SF_ORACLE)["match"]]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert not bad

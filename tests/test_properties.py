@@ -108,3 +108,13 @@ def test_density_weights_have_mean_one_per_batch(spark):
     stats = w.groupBy("bucket", "batch").agg(F.avg("weight").alias("m"), F.max("weight").alias("mx"),
                                              F.min("weight").alias("mn"))
     assert stats.where((F.abs(F.col("m") - 1) > 1e-9) | (F.col("mn") < 0)).count() == 0
+
+
+def test_wide_encoding_is_the_same_with_or_without_broadcast(spark):
+    loans = fx.loan(spark, SF_SMALL)
+    d = C.fit_dictionary(fx.train(loans))
+    a = C.encode_wide(loans, d)                          # per-variable broadcast joins
+    b = C.encode_wide(loans, d, max_broadcast_rows=0)    # unpivot, shuffle join, aggregate
+    assert a.columns == b.columns
+    assert a.count() == b.count() == loans.count()
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.fixed import KERNEL_DISTANCE_QUANTILE, WEIGHT_UPPER_BOUND
-from lendframe.operators.metrics import hash_bucket
 
 BATCH_SIZE = 128
 ROWS_PER_BUCKET = 8192

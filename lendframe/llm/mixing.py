@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: int =
         (F.sum("most").over(fill) - F.col("most")).alias("filled"))
     level = (F.col("total") - F.col("filled")) / F.col("w_left")
     free = levels.withColumn("level", F.when(level * F.col("w") <= F.col("most"), level))
-    common = free.withColumn("level", F.min("level").over(all_rows))
+    # the first free source has the common level; behind it the level only falls
+    common = free.withColumn("level", F.max("level").over(all_rows))
     return common.select(
         "source", "source_size",
         F.least("most", F.coalesce(F.col("level") * F.col("w"), F.col("most"))).alias("target"))

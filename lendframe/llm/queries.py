@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, lines, mixing, sharding
+from lendframe.llm import decontam, fingerprints, lines, mixing, sharding
 from lendframe.llm.common import table
 
 
@@ -39,4 +39,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_sharding, op8_decontamination, op9_mixing)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return prints.select(
+        "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_sharding, op8_decontamination, op9_mixing, op10_fingerprints)}

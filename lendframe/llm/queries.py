@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, fingerprints, lines, mixing, sharding
+from lendframe.llm import decontam, fingerprints, lines, mixing, ngram_join, sharding
 from lendframe.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("row_hash")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
     return sharded.select(
@@ -46,4 +50,4 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op5_sharding, op8_decontamination, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_ngram_join, op5_sharding, op8_decontamination, op9_mixing, op10_fingerprints)}

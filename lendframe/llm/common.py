@@ -141,3 +141,23 @@ def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: i
         v = np.frombuffer(row.v, dtype=dtype)
         total = v.copy() if total is None else (np.add if how == "sum" else np.bitwise_or)(total, v, out=total)
     return total
+
+
+def bitmap_of(cells: DataFrame, n_bits: int) -> np.ndarray:
+    """A bitmap of fixed size with the bits of the first column (0 to
+    ``n_bits`` - 1) set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
+        for batch in batches:
+            bits = np.zeros(n_bits, bool) if bits is None else bits
+            bits[batch.column(0).to_numpy()] = True
+        if bits is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits, bitorder="little").tobytes()], type=pa.binary())], names=["v"])
+
+    found = merge_vectors(cells.mapInArrow(mark, "v binary"), "v", "uint8", "or", groups=12)
+    return np.zeros(n_bits // 8, np.uint8) if found is None else found
+
+
+def marked(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1

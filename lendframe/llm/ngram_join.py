@@ -41,11 +41,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
-from lendframe.llm.common import col, keyed, list_array, merge_vectors, slices, stage, texts
+from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, merge_vectors, slices, stage, texts
 from lendframe.llm.components import connected_components
 
 ORDER_BITS = 19
@@ -129,13 +130,57 @@ def prefixes(docs: DataFrame, k: int, t: Fraction, counts: np.ndarray) -> DataFr
             length = np.minimum(base + matches - 1, sizes)
             keep = np.arange(len(values)) - offsets[:-1][owner] < length[owner] if len(values) else np.zeros(0, bool)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": col(batch, "doc_id"), "row_hash": col(batch, "row_hash"), "n": pa.array(sizes.astype(np.int64)),
+                "doc_id": col(batch, "doc_id"), "row_hash": col(batch, "row_hash"), "n": pa.array(sizes.astype(np.int32)),
                 "set1": pa.array(identity[0].view(np.int64)), "set2": pa.array(identity[1].view(np.int64)),
-                "matches": pa.array(matches), "weight": pa.array(weight),
+                "matches": pa.array(matches), "weight": pa.array(weight.astype(np.float32)),
                 "prefix": list_array(values[keep].view(np.int64), np.concatenate(([0], np.cumsum(length))))})
 
     return keyed(docs).mapInArrow(
-        run, f"doc_id {kind}, row_hash long, n long, set1 long, set2 long, matches int, weight double, prefix array<long>")
+        run, f"doc_id {kind}, row_hash long, n int, set1 long, set2 long, matches int, weight float, prefix array<long>")
+
+
+def _spot():
+    return F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+
+
+def _postings(rows: DataFrame, chosen: np.ndarray, crowded: np.ndarray | None) -> DataFrame:
+    """doc_id, n, matches, weight, pos, token: one row per prefix shingle of
+    the documents whose bit is set, and if given, of the shingles whose bit is."""
+    kind = dict(rows.dtypes)["doc_id"]
+    shared = rows.sparkSession.sparkContext.broadcast((chosen, crowded))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs_bits, token_bits = shared.value
+        for whole in batches:
+            whole = whole.filter(pa.array(marked(docs_bits, col(whole, "spot").to_numpy())))
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                lists = col(batch, "prefix")
+                token = lists.flatten().to_numpy()
+                sizes = pc.list_value_length(lists).to_numpy()
+                owner = np.repeat(np.arange(batch.num_rows), sizes)
+                pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                if token_bits is not None:
+                    keep = marked(token_bits, _token_bit(token))
+                    token, owner, pos = token[keep], owner[keep], pos[keep]
+                own = {c: col(batch, c).take(pa.array(owner)) for c in ("doc_id", "n", "matches", "weight")}
+                yield pa.RecordBatch.from_pydict(own | {"pos": pa.array(pos.astype(np.int32)), "token": pa.array(token)})
+
+    return rows.where("doc_id is not null and n > 0").select("doc_id", "n", "matches", "weight", _spot().alias("spot"), "prefix").mapInArrow(
+        run, f"doc_id {kind}, n int, matches int, weight float, pos int, token long")
+
+
+def _token_bit(token: np.ndarray) -> np.ndarray:
+    return (token.view(np.uint64) & np.uint64(MARK_BITS - 1)).astype(np.int64)
+
+
+def _within(n_a, n_b, pos_a, pos_b, matches_a, matches_b, t: Fraction):
+    """Length bound, and the bound on the overlap by what is left behind a
+    shared shingle: overlap >= t / (1 + t) (n_a + n_b)."""
+    num, den = t.numerator, t.denominator
+    lengths = F.least(n_a, n_b).cast("long") * den >= F.greatest(n_a, n_b).cast("long") * num
+    reach = F.least(n_a - pos_a, n_b - pos_b) + F.least(matches_a, matches_b) - 1
+    return lengths & (reach.cast("long") * (num + den) >= (n_a + n_b).cast("long") * num)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
@@ -145,29 +190,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
     kind = dict(docs.dtypes)["doc_id"]
     pairs = stage(pairs, "pairs")
     ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "pair-ids")
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None
-        for batch in batches:
-            bits = np.zeros(MARK_BITS, bool) if bits is None else bits
-            bits[batch.column(0).to_numpy()] = True
-        if bits is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], type=pa.binary())], names=["v"])
-
-    bits = merge_vectors(ids.select(spot.alias("s")).mapInArrow(mark, "v binary"), "v", "uint8", "or", groups=12)
-    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(MARK_BITS // 8, np.uint8) if bits is None else bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(_spot()), MARK_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = S.Words(S.SPACE)
         for batch in batches:
-            at = col(batch, "spot").to_numpy()
-            marked = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            for part in slices(iter([batch.filter(pa.array(marked.astype(bool)))])):
+            for part in slices(iter([batch.filter(pa.array(marked(shared.value, col(batch, "spot").to_numpy())))])):
                 values, offsets = S.distinct(*S.shingles(*words_of(texts(part)), k))
                 yield pa.RecordBatch.from_pydict({"id": col(part, "doc_id"), "s": list_array(values.view(np.int64), offsets)})
 
-    rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", spot.alias("spot"), "text")
+    rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", _spot().alias("spot"), "text")
     found = rows.mapInArrow(sets, f"id {kind}, s array<long>")
     found = stage(found.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "pair-sets")
     left, right = found.select(F.col("id").alias("u"), F.col("s").alias("su")), found.select(F.col("id").alias("v"), F.col("s").alias("sv"))
@@ -189,16 +221,19 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     classes = named.groupBy("set1", "set2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     member = stage(named.select("doc_id", "set1", "set2", "n").distinct().join(
         classes.select("set1", "set2", "n", "rep"), ["set1", "set2", "n"]).select("doc_id", "rep"), "members")
-    own = rows.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    own = stage(own.where("n > 0").dropDuplicates(["doc_id", "row_hash"]).drop("set1", "set2"), "representatives")
-    postings = own.select("doc_id", "n", "matches", "weight", F.posexplode("prefix").alias("pos", "token"))
+    reps = bitmap_of(member.where("doc_id = rep").select(_spot()), MARK_BITS)  # a copy that passes as well does no harm
 
     # 2. stars around the most common prefix
-    best = F.struct("weight", (-F.col("doc_id")).alias("id") if dict(docs.dtypes)["doc_id"] in ("bigint", "int") else F.col("doc_id").alias("id"), F.col("doc_id").alias("centre"))
-    centres = postings.groupBy("token").agg(F.max(best).alias("c"), F.count("*").alias("held")).where("held > 1").select(
-        "token", F.col("c.centre").alias("centre"))
-    crowded = stage(postings.join(centres, "token"), "crowded-postings")
-    stars = crowded.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
+    centres = _postings(rows, reps, None).groupBy("token").agg(
+        F.max(F.struct("weight", "doc_id", "n", "pos", "matches")).alias("c"), F.count("*").alias("held")).where("held > 1").select("token", "c")
+    centres = stage(centres, "centres")
+    held = bitmap_of(centres.select(F.col("token").bitwiseAND(MARK_BITS - 1)), MARK_BITS)
+    crowded = stage(_postings(rows, reps, held).join(centres, "token"), "crowded-postings")
+    c = F.col("c")
+    near = _within(F.col("n"), c["n"], F.col("pos"), c["pos"], F.col("matches"), c["matches"], t)
+    stars = crowded.where((F.col("doc_id") != c["doc_id"]) & near).select(
+        F.least("doc_id", c["doc_id"]).alias("u"), F.greatest("doc_id", c["doc_id"]).alias("v")).distinct()
+    stars = stage(stars, "stars")
     star_links = stage(_verified(docs, stars, k, t), "star-links")
     # a doc_id with several rows of different texts holds their classes together
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.count("*").alias("sets")).where("sets > 1")
@@ -206,18 +241,14 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     component = stage(connected_components(star_links.unionByName(same_id)), "star-components")
 
     # 3. pairs of different components
-    named_posts = crowded.drop("centre").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
+    named_posts = crowded.drop("c", "weight").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     named_posts = stage(named_posts, "component-postings")
     mixed = named_posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_posts = stage(named_posts.join(mixed, "token", "left_semi"), "open-postings")
     side = lambda x: open_posts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "component")])
     a, b = side("a"), side("b")
-    least_n, most_n = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    num, den = t.numerator, t.denominator
-    # overlap >= t / (1 + t) (n_a + n_b), and what is left behind this shingle bounds it
-    reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("matches_a", "matches_b") - 1
-    bounds = (least_n * den >= most_n * num) & (reach * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
+    bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos", "matches") for x in ("a", "b")], t)
     pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds)
     asked = pairs.groupBy(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).agg(
         F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("needed")).where("shared >= needed").select("u", "v")
@@ -227,5 +258,5 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
 
     home = member.groupBy("doc_id").agg(F.min("rep").alias("vertex")).join(final, "vertex", "left").select(
         "doc_id", F.coalesce("component", "vertex").alias("component"))
-    out = rows.select("doc_id", "row_hash", F.col("n").alias("n_shingles")).join(home, "doc_id", "left")
+    out = rows.select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles")).join(home, "doc_id", "left")
     return out.select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -9,8 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, fingerprints, lines, mixing, ngram_join, sharding
-from lendframe.llm.common import table
+from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, sharding, tokens
+from lendframe.llm.common import held_out, table
+
+#: The vocabulary file of op7, below ``public_tokenizers.path``.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +30,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict_language(docs, language.fit_language_model(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=24)
     return sharded.select(
@@ -30,6 +44,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -50,4 +70,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_ngram_join, op5_sharding, op8_decontamination, op9_mixing, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality, op2_line_dedup, op3_ngram_join, op4_language, op5_sharding, op7_token_counts, op8_decontamination, op9_mixing, op10_fingerprints)}

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lendframe.session import ensure_checkpoint_dir
@@ -37,11 +38,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete all staged tables.  Results that still read them must have been
-    written before."""
-    while _SCRATCH:
-        spark, path = _SCRATCH.pop()
+def staged() -> list:
+    """What is staged now."""
+    return list(_SCRATCH)
+
+
+def release(some: list | None = None) -> None:
+    """Delete staged tables (all, or some).  Results that still read them must
+    have been written before."""
+    for item in list(_SCRATCH if some is None else some):
+        if item in _SCRATCH:
+            _SCRATCH.remove(item)
+        spark, path = item
         sc = spark.sparkContext
         if sc._jsc is None or sc._jsc.sc().isStopped():
             continue
@@ -49,6 +57,10 @@ def release() -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    _SCRATCH.append((spark, path))
+
+
 @atexit.register
 def _release_at_exit() -> None:
     try:
@@ -71,6 +83,36 @@ def join_rows(left: DataFrame, right: DataFrame, hint: str | None = None) -> Dat
     return left.join(r, on, "left").drop("_doc_id", "_row_hash")
 
 
+def _own_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__row_hash", F.xxhash64("text"))
+
+
+def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in ``keys`` (doc_id, row_hash), of repeated rows
+    one; rows with a null doc_id stay."""
+    rows = _own_key(docs)
+    k = keys.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"))
+    found = rows.join(k, (rows["doc_id"] == k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]), "left_semi")
+    once = found.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("__row_hash"))).where("__nth = 1")
+    return once.drop("__nth", "__row_hash").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose key is not in ``keys`` (null-safe)."""
+    rows = _own_key(docs)
+    k = keys.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"))
+    return rows.join(k, rows["doc_id"].eqNullSafe(k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]), "left_anti").drop("__row_hash")
+
+
+def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
+    """Each row as often as ``times`` (doc_id, row_hash, copies) says; rows
+    without an entry go."""
+    rows = _own_key(docs)
+    k = times.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"), F.col("copies").alias("__copies"))
+    found = rows.join(k, rows["doc_id"].eqNullSafe(k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]))
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does the same in text without other
     upper-case letters, and is much faster than ``translate``."""
@@ -89,7 +131,7 @@ def unit_hash(*cols: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds at most ``limit`` bytes of
     text, or one row."""
     for batch in batches:

@@ -98,7 +98,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in slices(batches, limit=1 << 18):
+        for batch in slices(batches):
             seen = (gram_counts(_lowered(batch)) > 0).sum(axis=0)
             seen = np.append(seen, batch.num_rows).astype(np.int64)
             total = seen if total is None else total + seen
@@ -170,7 +170,7 @@ def fit_language_model(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 12) / F.lit(float(1 << 52))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 18):
+        for batch in slices(batches):
             counts = gram_counts(_lowered(batch))
             where = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_pydict({
@@ -194,6 +194,14 @@ def fit_language_model(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict
     return {"langs": langs, "idf": idf, "weights": weights.astype(np.float32), "temperature": temperature}
 
 
+def _chances(m: dict, batch: pa.RecordBatch) -> np.ndarray:
+    """Calibrated probabilities of a batch's texts, texts x languages."""
+    logits = tfidf(gram_counts(_lowered(batch)), m["idf"]) @ m["weights"][:-1] + m["weights"][-1]
+    s = logits.astype(np.float64) / m["temperature"]
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
 def predict_language(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, row_hash, lang_pred, score: one row per input row."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -206,11 +214,8 @@ def predict_language(docs: DataFrame, model: dict | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array(m["langs"], dtype=object)
-        for batch in slices(batches, limit=1 << 18):
-            logits = tfidf(gram_counts(_lowered(batch)), m["idf"]) @ m["weights"][:-1] + m["weights"][-1]
-            s = logits.astype(np.float64) / m["temperature"]
-            p = np.exp(s - s.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+        for batch in slices(batches):
+            p = _chances(m, batch)
             known = np.asarray(col(batch, "letters").to_pylist(), bool)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": col(batch, "doc_id"), "row_hash": col(batch, "row_hash"),
@@ -218,3 +223,21 @@ def predict_language(docs: DataFrame, model: dict | None) -> DataFrame:
                 "score": pa.array(np.where(known, p.max(axis=1), 0.0))})
 
     return rows.mapInArrow(score, f"doc_id {kind}, row_hash long, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: dict | None, min_score: float) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose language is identified with at
+    least ``min_score``.  Rows are filtered where they are read: no shuffle."""
+    if model is None:
+        return docs.limit(0)
+    columns, flag = docs.columns, "__letters"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sure = _chances(shared.value, batch).max(axis=1) >= min_score
+            known = np.asarray(col(batch, flag).to_pylist(), bool)
+            yield batch.filter(pa.array(sure & known)).select(columns)
+
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return docs.withColumn(flag, letters).mapInArrow(keep, docs.schema)

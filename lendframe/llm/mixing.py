@@ -72,7 +72,8 @@ def sampling_key(doc_id: Column, weight: Column, seed: int = 11) -> Column:
 
 def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tuple = WEIGHTS, max_epochs: int = 3,
                 buckets: int = 1 << 14, seed: int = 11) -> DataFrame:
-    """doc_id, row_hash, source, size, source_size, target, epochs, taken.
+    """doc_id, row_hash, source, size, source_size, target, copies (how often
+    the mix takes the document), taken (copies * size).
 
     ``quality`` has doc_id and quality (repeated labels of a document are
     averaged).  One result row per input row."""
@@ -112,5 +113,6 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     rest = placed.where(~F.coalesce(inside, F.lit(False))).withColumn(
         "extra", F.when(F.col("cut").isNull(), F.col("budget") > 0).otherwise(F.col("bucket") < F.col("cut")))
     cols = ["doc_id", "row_hash", "source", "size", "source_size", "target", "epochs", "extra"]
+    copies = (F.col("epochs") + F.col("extra").cast("int")).cast("long")
     return edge.select(*cols).unionByName(rest.select(*cols)).select(
-        *cols[:-1], (F.col("size") * (F.col("epochs") + F.col("extra").cast("int"))).cast("long").alias("taken"))
+        *cols[:-2], copies.alias("copies"), (F.col("size") * copies).alias("taken"))

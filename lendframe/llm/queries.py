@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, sharding, tokens
+from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, secret_scan, sharding, tokens
 from lendframe.llm.common import held_out, table
 
 #: The vocabulary file of op7, below ``public_tokenizers.path``.
@@ -44,6 +44,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "start", F.length("value").cast("long").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        "score", "is_secret")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
@@ -71,4 +78,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality, op2_line_dedup, op3_ngram_join, op4_language, op5_sharding, op7_token_counts, op8_decontamination, op9_mixing, op10_fingerprints)}
+    op1_quality, op2_line_dedup, op3_ngram_join, op4_language, op5_sharding, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing,
+    op10_fingerprints)}

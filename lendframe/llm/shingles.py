@@ -2,7 +2,7 @@
 
 Texts are UTF-8 bytes with A-Z lower-cased.  A word is a run of bytes that
 are not separators, so any word pattern over bytes is one 256-entry table.
-Memory per call: about 40 bytes for each byte of a block (1 MB, cut between
+Memory per call: about 40 bytes for each byte of a block (128 KB, cut between
 words), plus 8 bytes for each word of the given texts.
 """
 
@@ -17,7 +17,7 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 NON_WORD = np.zeros(256, bool)
 NON_WORD[:0x30] = NON_WORD[0x3A:0x61] = NON_WORD[0x7B:0x80] = True
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 
 

@@ -162,10 +162,10 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), flat)
 
 
-def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: int = 64) -> np.ndarray | None:
-    """Sum or OR equally long binary vectors, one a row, in two levels, so
-    that no task and not the driver sees more than ``groups`` or a
-    ``groups``-th of them.  The result has the vectors' fixed size."""
+def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: int = 12) -> np.ndarray | None:
+    """Sum or OR equally long binary vectors (one row per partition) in two
+    levels, so that a task sees a ``groups``-th of them and the driver
+    ``groups``.  The result has the vectors' fixed size."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -176,10 +176,9 @@ def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: i
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["v"])
 
-    one = parts.select(F.col(column).alias("v")).mapInArrow(fold, "v binary")
-    two = one.repartition(groups, F.xxhash64("v")).mapInArrow(fold, "v binary")
+    folded = parts.select(F.col(column).alias("v")).repartition(groups, F.xxhash64("v")).mapInArrow(fold, "v binary")
     total = None
-    for row in two.toLocalIterator():
+    for row in folded.toLocalIterator():
         v = np.frombuffer(row.v, dtype=dtype)
         total = v.copy() if total is None else (np.add if how == "sum" else np.bitwise_or)(total, v, out=total)
     return total

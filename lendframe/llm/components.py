@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendframe.llm.common import stage
+from lendframe.llm.common import release, stage, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,9 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(edges)
     for _ in range(max_rounds):
+        old = staged()[-1:]
         edges = stage(_star(_star(edges, large=True), large=False), "links")
+        release(old)
         previous, state = state, _state(edges)
         if state == previous:
             break

@@ -23,7 +23,9 @@ Groups of copies cost no pairs:
    that is the text nearest to what they share); the edges of these stars are
    verified, and linked classes become one component;
 3. only pairs of different components that share a prefix shingle, and pass
-   the length and position bounds, are emitted, counted and verified.
+   the length and position bounds, are emitted, counted and verified.  The
+   t-th shared shingle leaves at most t - 1 shared ones ahead of it, and those
+   are among the shingles ahead that any other document has.
 
 Every pair that could link two components is verified, so the classes are
 exactly those of the full join.
@@ -42,11 +44,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
-from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, merge_vectors, slices, stage, texts
+from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, merge_vectors, release, slices, stage, staged, texts
 from lendframe.llm.components import connected_components
 
 ORDER_BITS = 19
@@ -174,12 +176,13 @@ def _token_bit(token: np.ndarray) -> np.ndarray:
     return (token.view(np.uint64) & np.uint64(MARK_BITS - 1)).astype(np.int64)
 
 
-def _within(n_a, n_b, pos_a, pos_b, matches_a, matches_b, t: Fraction):
-    """Length bound, and the bound on the overlap by what is left behind a
-    shared shingle: overlap >= t / (1 + t) (n_a + n_b)."""
+def _within(n_a, n_b, pos_a, pos_b, before, t: Fraction):
+    """Length bound, and the bound on the overlap by a shared shingle: what is
+    left from it on, and at most ``before`` shared ones ahead of it, reach
+    t / (1 + t) (n_a + n_b)."""
     num, den = t.numerator, t.denominator
     lengths = F.least(n_a, n_b).cast("long") * den >= F.greatest(n_a, n_b).cast("long") * num
-    reach = F.least(n_a - pos_a, n_b - pos_b) + F.least(matches_a, matches_b) - 1
+    reach = F.least(n_a - pos_a, n_b - pos_b) + before
     return lengths & (reach.cast("long") * (num + den) >= (n_a + n_b).cast("long") * num)
 
 
@@ -187,7 +190,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
     """The pairs (u, v) of doc_ids whose sets reach the threshold.  Only the
     documents of the pairs are read for their sets: a bitmap of fixed size
     thins the corpus, an exact join does the rest."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, known = dict(docs.dtypes)["doc_id"], staged()
     pairs = stage(pairs, "pairs")
     ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "pair-ids")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(_spot()), MARK_BITS))
@@ -206,7 +209,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
     shared_n = F.size(F.array_intersect("su", "sv"))
     union = F.size("su") + F.size("sv") - shared_n
     ok = (shared_n > 0) & (shared_n.cast("long") * t.denominator >= union.cast("long") * t.numerator)
-    return pairs.join(left, "u").join(right, "v").where(ok).select("u", "v").distinct()
+    links = stage(pairs.join(left, "u").join(right, "v").where(ok).select("u", "v").distinct(), "verified")
+    release([x for x in staged()[:-1] if x not in known])
+    return links
 
 
 def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
@@ -230,11 +235,11 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     held = bitmap_of(centres.select(F.col("token").bitwiseAND(MARK_BITS - 1)), MARK_BITS)
     crowded = stage(_postings(rows, reps, held).join(centres, "token"), "crowded-postings")
     c = F.col("c")
-    near = _within(F.col("n"), c["n"], F.col("pos"), c["pos"], F.col("matches"), c["matches"], t)
+    near = _within(F.col("n"), c["n"], F.col("pos"), c["pos"], F.least("matches", c["matches"]) - 1, t)
     stars = crowded.where((F.col("doc_id") != c["doc_id"]) & near).select(
         F.least("doc_id", c["doc_id"]).alias("u"), F.greatest("doc_id", c["doc_id"]).alias("v")).distinct()
     stars = stage(stars, "stars")
-    star_links = stage(_verified(docs, stars, k, t), "star-links")
+    star_links = _verified(docs, stars, k, t)
     # a doc_id with several rows of different texts holds their classes together
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.count("*").alias("sets")).where("sets > 1")
     same_id = member.join(twice, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
@@ -243,12 +248,16 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     # 3. pairs of different components
     named_posts = crowded.drop("c", "weight").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    named_posts = stage(named_posts, "component-postings")
+    # how many shingles ahead of this one any other document has at all
+    ahead = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    named_posts = stage(named_posts.withColumn("ahead", ahead), "component-postings")
     mixed = named_posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     open_posts = stage(named_posts.join(mixed, "token", "left_semi"), "open-postings")
-    side = lambda x: open_posts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "component")])
+    side = lambda x: open_posts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "ahead", "component")])
     a, b = side("a"), side("b")
-    bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos", "matches") for x in ("a", "b")], t)
+    # the first m shared shingles (m = matches asked for) all pass these bounds in a linked pair
+    shared_before = F.least("ahead_a", "ahead_b", F.least("matches_a", "matches_b") - 1)
+    bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos") for x in ("a", "b")], shared_before, t)
     pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds)
     asked = pairs.groupBy(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).agg(
         F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("needed")).where("shared >= needed").select("u", "v")

@@ -17,7 +17,7 @@ maximum inside the row (array functions) needs no explode and no group-by.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.functions import text as T
@@ -59,7 +59,7 @@ def sentences_with_currency(loans: DataFrame) -> DataFrame:
     return s.where(F.contains(F.col("sentence"), F.col("CURRENCY")))
 
 
-def median_rate(local: DataFrame, train: DataFrame | None = None, min_loan_id: int | None = None,
+def median_rate(local: DataFrame, train: DataFrame | None = None, min_loan_id: int | Column | None = None,
                 num_partitions: int | None = None, approx_accuracy: int | None = None) -> DataFrame:
     """(CURRENCY, rate): median over training loans of local / USD.
 
@@ -77,7 +77,7 @@ def median_rate(local: DataFrame, train: DataFrame | None = None, min_loan_id: i
     else:
         base = local.join(train.select("LOAN_ID", "LOAN_AMOUNT"), "LOAN_ID")
     if min_loan_id is not None:
-        base = base.where(F.col("LOAN_ID") > F.lit(min_loan_id))
+        base = base.where(F.col("LOAN_ID") > (min_loan_id if isinstance(min_loan_id, Column) else F.lit(min_loan_id)))
     base = base.select("CURRENCY", F.try_divide(F.col(LOCAL), F.col("LOAN_AMOUNT")).alias("rate"))
     if approx_accuracy:
         return (base.where(F.col("rate").isNotNull()).groupBy("CURRENCY")
@@ -92,21 +92,20 @@ def convert_usd(local: DataFrame, rate: DataFrame) -> DataFrame:
     prediction.  The rate table has one row per currency.
     """
     keep = [c for c in local.columns if c not in ("LOAN_ID", "CURRENCY", LOCAL)]
-    # One row per currency code: bounded by the code space (three letters),
-    # well under a megabyte, so it is broadcast and the amounts never shuffle.
-    return (local.join(F.broadcast(rate), "CURRENCY", "left")
+    # One row per currency: the planner broadcasts it by its measured size.
+    return (local.join(rate, "CURRENCY", "left")
             .select("LOAN_ID", "CURRENCY", *keep, F.try_divide(F.col(LOCAL), F.col("rate")).alias(DESC)))
 
 
-def amount_feature(desc: DataFrame, y_log_mean, y_log_std) -> DataFrame:
-    """(LOAN_ID, LOAN_AMOUNT_DESC_LOG_Z, LOAN_AMOUNT_DESC_LOG_Z_isna).
+def amount_feature(desc: DataFrame, y_log_mean, y_log_std, keep=()) -> DataFrame:
+    """(LOAN_ID, *keep, LOAN_AMOUNT_DESC_LOG_Z, LOAN_AMOUNT_DESC_LOG_Z_isna).
 
     The feature is ln(amount + 1) scaled with the statistics of ln(target)
     (not of ln(target + 1)); missing becomes 0 with an indicator of 1.
     """
     z = (F.ln(F.col(DESC) + F.lit(1.0)) - y_log_mean) / y_log_std
     return desc.select(
-        "LOAN_ID",
+        "LOAN_ID", *keep,
         F.coalesce(z, F.lit(0.0)).alias("LOAN_AMOUNT_DESC_LOG_Z"),
         z.isNull().cast("int").alias("LOAN_AMOUNT_DESC_LOG_Z_isna"))
 

@@ -67,35 +67,23 @@ def with_global_index(df: DataFrame, order_cols, index_col: str = "idx",
 
 
 def exact_median(df: DataFrame, group_col: str, value_col: str, out_col: str = "median",
-                 num_partitions: int | None = None, eager: bool = True) -> DataFrame:
+                 num_partitions: int | None = None) -> DataFrame:
     """Exact median per group, nulls skipped; with an even count the mean of
     the two middle values, ``(a + b) / 2``.  Groups with no value are absent.
 
-    Scales with a hot group: the group is split by the range exchange and
-    only the one or two middle rows of each group are joined back.
-
-    The range exchange samples its input before shuffling it, so the input
-    would be computed twice.  With ``eager`` (default) the (group, value)
-    pairs are persisted only while the ranked copy is written (see
-    ``with_global_index``), then released.
+    Equal values of a group are counted first (combined before the shuffle),
+    so a value that a third of the rows share is one row.  The distinct values
+    are range-partitioned on (group, value); running counts over them
+    (``running_totals``) find the one or two middle values.
     """
-    from pyspark import StorageLevel
-
-    vals = df.select(group_col, value_col).where(F.col(value_col).isNotNull())
-    if eager:
-        vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
-    ranked = with_global_index(vals, [group_col, value_col], "_idx", num_partitions)
-    if eager:
-        vals.unpersist()
-    bounds = ranked.groupBy(group_col).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    middle = bounds.select(
-        F.explode(F.array_distinct(F.array(
-            (F.col("_start") + F.floor((F.col("_n") - 1) / 2)).cast("bigint"),
-            (F.col("_start") + F.ceil((F.col("_n") - 1) / 2)).cast("bigint")))).alias("_pos"))
-    # Join on the unique position: no key can be hot, and the position table
-    # has at most two rows per group.
-    picked = ranked.join(middle, ranked["_idx"] == middle["_pos"], "left_semi")
-    return picked.groupBy(group_col).agg(F.avg(value_col).alias(out_col))
+    counted = df.where(F.col(value_col).isNotNull()).groupBy(group_col, value_col).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_totals(counted, [group_col], [value_col], ["_c"], prefix="_upto", num_partitions=num_partitions)
+    totals = counted.groupBy(F.col(group_col).alias("_g")).agg(F.sum("_c").alias("_n"))
+    upto = F.col("_upto_c")
+    placed = run.join(totals, F.col(group_col).eqNullSafe(F.col("_g")))
+    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
+    middle = placed.where((upto > low) & (upto - F.col("_c") <= high))
+    return middle.groupBy(group_col).agg(((F.min(value_col) + F.max(value_col)) / 2).alias(out_col))
 
 
 def running_totals(df: DataFrame, group_cols, order_cols, value_cols, prefix: str = "run_",

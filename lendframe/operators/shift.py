@@ -142,7 +142,7 @@ def kmm_solve(k_tr: np.ndarray, kappa: np.ndarray, upper: float = WEIGHT_UPPER_B
         t_next = 0.5 * (1.0 + np.sqrt(1.0 + 4.0 * t * t))
         y = nxt + ((t - 1.0) / t_next) * (nxt - beta)
         beta, t = nxt, t_next
-    return beta
+    raise RuntimeError(f"matching weights not converged after {max_iter} steps")
 
 
 def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,

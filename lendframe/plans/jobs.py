@@ -15,6 +15,8 @@ convert large inputs once with ``sources.files.csv_to_parquet``.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +35,14 @@ def read_loans(spark: SparkSession, path: str, with_target: bool) -> DataFrame:
 
 
 def _both(train: DataFrame, test: DataFrame) -> DataFrame:
-    # Test rows have no target: after the union it is null, which is how
-    # training rows are told apart later.
-    return train.unionByName(test, allowMissingColumns=True)
+    """Both sets with ``is_train`` by their source: a training loan whose
+    target does not parse stays a training loan.  Loans without a readable
+    LOAN_ID are reported and left out: nothing can be keyed to them."""
+    both = train.withColumn("is_train", F.lit(True)).unionByName(test.withColumn("is_train", F.lit(False)), allowMissingColumns=True)
+    lost = both.where(F.col("LOAN_ID").isNull()).count()
+    if lost:
+        warnings.warn(f"{lost} loans have no readable LOAN_ID and are left out", stacklevel=2)
+    return both.where(F.col("LOAN_ID").isNotNull())
 
 
 def stated_amount_job(spark: SparkSession, train_path: str, test_path: str, out_dir: str) -> dict:
@@ -47,18 +54,16 @@ def stated_amount_job(spark: SparkSession, train_path: str, test_path: str, out_
     """
     train = read_loans(spark, train_path, True)
     test = read_loans(spark, test_path, False)
-    local = A.extract_local_amount(_both(train, test), version=1, keep=["LOAN_AMOUNT"])
+    local = A.extract_local_amount(_both(train, test), version=1, keep=["LOAN_AMOUNT", "is_train"])
     # Read by the rate and by the conversion: extract once.
     local = local.persist(StorageLevel.MEMORY_AND_DISK)
     desc = A.convert_usd(local, A.median_rate(local))
     mean, std = TG.stat_columns(train)
-    feat = A.amount_feature(desc.select("LOAN_ID", "CURRENCY", A.DESC), mean, std)
-    is_train = local.select("LOAN_ID", F.col("LOAN_AMOUNT").isNotNull().alias("_train"))
-    feat = feat.join(is_train, "LOAN_ID")
+    feat = A.amount_feature(desc, mean, std, keep=["is_train"])
     out = {}
     for name, flag in (("train", True), ("test", False)):
         path = f"{out_dir.rstrip('/')}/{name}"
-        FILES.write_csv(feat.where(F.col("_train") == F.lit(flag)).drop("_train"), path)
+        FILES.write_csv(feat.where(F.col("is_train") == F.lit(flag)).drop("is_train"), path)
         out[name] = path
     local.unpersist()
     return out
@@ -73,14 +78,14 @@ def submission_job(spark: SparkSession, train_path: str, test_path: str, sample_
     ``recent_loan_id``.  Writes (LOAN_ID, LOAN_AMOUNT) as CSV."""
     train = read_loans(spark, train_path, True)
     test = read_loans(spark, test_path, False)
-    local = A.extract_local_amount(_both(train, test), version=2, keep=["LOAN_AMOUNT"])
+    local = A.extract_local_amount(_both(train, test), version=2, keep=["LOAN_AMOUNT", "is_train"])
     local = local.persist(StorageLevel.MEMORY_AND_DISK)
     desc = A.convert_usd(local, A.median_rate(local, min_loan_id=recent_loan_id))
     scaffold = spark.read.option("header", True).schema("LOAN_ID long, LOAN_AMOUNT double").csv(
         sample_submission_path).select("LOAN_ID")
     preds = FILES.read_predictions(spark, prediction_paths)
     mean = E.ensemble_mean(preds, n_models=len(prediction_paths))
-    out = E.corrected_submission(scaffold, mean, desc.where(F.col("LOAN_AMOUNT").isNull()), test=test)
+    out = E.corrected_submission(scaffold, mean, desc.where(~F.col("is_train")), test=test)
     FILES.write_csv(out, out_path)
     local.unpersist()
     return out_path

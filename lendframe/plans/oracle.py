@@ -10,8 +10,8 @@ from lendframe.functions.fixed import (AMOUNT_NUMBER_FORMS, ESCAPE_REPLACEMENTS,
 
 ORACLES: dict[str, str] = {}
 
-# Cut-off for the "recent" rate base at sf0.01, where the driver runs oracles.
-RECENT_CUTOFF = 5000
+# Cut-off for the "recent" rate base: a third of the largest loan id.
+RECENT_CUTOFF = "(SELECT CAST(floor(max(o_orderkey) / 3.0) AS BIGINT) FROM orders)"
 DIGITS = 4
 
 LOAN_SQL = r"""

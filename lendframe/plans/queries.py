@@ -2,7 +2,8 @@
 
 Every query takes ``(spark, sf_dir)``, reads the driver tables under
 ``sf_dir`` (through the stand-in views of ``lendframe.sources.fixtures``)
-and returns a lazy DataFrame.  Doubles are rounded in the final projection
+and returns a DataFrame (medians, dictionaries, fitted models and file round
+trips run jobs while the query is built).  Doubles are rounded in the final projection
 only, so that results hash the same as the SQL oracle's.
 """
 
@@ -59,7 +60,7 @@ def _recent_desc(spark, sf_dir, loans):
     the converted amounts: one extraction pass, no join back to the loans."""
     # The amounts feed the rate and the conversion: extract them once.
     local = reuse(A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"]))
-    rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(sf_dir))
+    rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(spark, sf_dir))
     return local, rate, A.convert_usd(local, rate)
 
 

@@ -15,8 +15,7 @@ import tempfile
 from pyspark.sql import SparkSession
 
 # Settings applied to every session we build.  On a cluster these come from
-# the job configuration instead; they are runtime SQL settings, so
-# ``apply_sql_settings`` can also set them on a session built elsewhere.
+# the job configuration instead.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -47,11 +46,6 @@ def scale_settings(input_bytes: int, split_bytes: int = 256 << 20) -> dict:
     }
 
 
-def apply_sql_settings(spark: SparkSession) -> None:
-    for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
-
-
 def get_session(cpus: int | str = "*", app: str = "lendframe", shuffle_partitions: int = 8,
                 extra: dict | None = None) -> SparkSession:
     builder = (
@@ -73,8 +67,9 @@ def get_session(cpus: int | str = "*", app: str = "lendframe", shuffle_partition
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the checkpoint folder already set, else the cluster's shared
-    ``spark.checkpoint.dir``; only when neither exists (local tests) fall
-    back to a fresh scratch folder."""
+    ``spark.checkpoint.dir``; only when neither exists and the master is
+    local (tests) a fresh scratch folder.  A cluster without one is refused:
+    each executor would write to its own disk."""
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's own checkpoint folder applies
@@ -82,6 +77,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lendframe-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="lendframe-ckpt-")
     sc.setCheckpointDir(path)
     return path

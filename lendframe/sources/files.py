@@ -72,9 +72,7 @@ def write_loans_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
     """Loan rows as CSV the way a pandas writer lays them out: a header,
     fields quoted when needed, quotes doubled inside quotes, nulls empty,
     and leading or trailing spaces kept (Spark's writer trims by default)."""
-    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
-     .option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).csv(out))
+    write_csv(df, out, mode)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -130,7 +128,10 @@ def list_image_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(out)
+    """CSV with a header, quotes doubled inside quotes, nulls empty, spaces kept."""
+    (df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"')
+     .option("nullValue", "").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(out))
 
 
 def write_epoch_outputs(df: DataFrame, out: str, epochs=None) -> None:

@@ -13,25 +13,18 @@ DuckDB oracle) lives in ``lendframe.plans.oracle``.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.sources.tables import read_table, spread
+from lendframe.sources.tables import read_table
 
 BS = "\\"
 
 
-def scale_factor(sf_dir: str, default: float = 0.01) -> float:
-    m = re.search(r"sf([0-9]*\.?[0-9]+)", sf_dir)
-    return float(m.group(1)) if m else default
-
-
-def recent_cutoff(sf_dir: str) -> int:
-    """Stand-in for the original recency bound: the newest two thirds of
-    loans (500 / 5,000 / 50,000 at sf 0.001 / 0.01 / 0.1)."""
-    return int(round(500000 * scale_factor(sf_dir)))
+def recent_cutoff(spark: SparkSession, sf_dir: str) -> Column:
+    """Stand-in for the original recency bound: a third of the largest loan
+    id, as a scalar subquery over the data."""
+    return read_table(spark, sf_dir, "orders").select(F.floor(F.max("o_orderkey") / 3)).scalar()
 
 
 def _case(col: Column, mapping: dict, default=None) -> Column:
@@ -49,8 +42,8 @@ def _bigint_text(c: Column) -> Column:
 def loan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``loan`` view: train and test after their union
     (``LOAN_AMOUNT`` null for the test fifth)."""
-    orders = spread(read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), "o_orderkey")
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")

@@ -28,26 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a table scan that came out in fewer partitions than
-    the session has cores (one small file with one row group is one task),
-    so the row-local work after it (regexes over text) uses every core.
-    Hashing on the key also lets later joins and aggregations on that key
-    reuse the partitioning.  On a cluster the files outnumber the cores and
-    the scan is returned as it is, without a shuffle.
-
-    ``scan`` must be a plain file scan: counting its splits runs no job.
-    """
-    spark = scan.sparkSession
-    try:
-        if scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
-            return scan
-    except Exception:  # no RDD view of the plan (Spark Connect): leave it as read
-        return scan
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return scan.repartition(n, *keys) if keys else scan.repartition(n)
-
-
 def write_and_read(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the session's checkpoint folder (the
     cluster's shared ``spark.checkpoint.dir``) and read it back.
@@ -61,9 +41,3 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
-    """Register the driver tables as temp views (for SQL users)."""
-    for name in names or TABLES:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)

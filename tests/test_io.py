@@ -91,7 +91,7 @@ def test_stated_amount_stream_equals_the_batch_job(spark, scratch):
     loans.where("LOAN_ID < 700").write.parquet(os.path.join(src, "a"))
     loans.where("LOAN_ID >= 700").write.parquet(os.path.join(src, "b"))
     local = A.extract_local_amount(loans, version=2, keep=["LOAN_AMOUNT"])
-    rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(SF_SMALL))
+    rate = A.median_rate(local, min_loan_id=fx.recent_cutoff(spark, SF_SMALL))
     stream = stated_amount_stream(spark, os.path.join(src, "*"), loans.schema, rate, max_files_per_trigger=1)
     sink, ckpt = os.path.join(scratch, "sink"), os.path.join(scratch, "ckpt")
     q = start_stated_amount_job(stream, sink, ckpt)

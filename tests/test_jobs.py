@@ -30,7 +30,7 @@ def _write_inputs(spark, scratch):
 def test_submission_job_equals_the_flagship_query(spark, scratch):
     train_p, test_p, sample_p, paths = _write_inputs(spark, scratch)
     out = jobs.submission_job(spark, train_p, test_p, sample_p, paths, os.path.join(scratch, "submission"),
-                              recent_loan_id=fx.recent_cutoff(SF_SMALL))
+                              recent_loan_id=fx.recent_cutoff(spark, SF_SMALL))
     got = {r["LOAN_ID"]: round(r["LOAN_AMOUNT"], 4)
            for r in spark.read.option("header", True).schema("LOAN_ID long, LOAN_AMOUNT double").csv(out).collect()}
     want = {r["LOAN_ID"]: r["LOAN_AMOUNT"] for r in QUERIES["corrected_submission"](spark, SF_SMALL).collect()}
@@ -61,3 +61,17 @@ def test_jobs_read_the_parquet_copy_too(spark, scratch):
     ra = spark.read.option("header", True).schema(schema).csv(a)
     rb = spark.read.option("header", True).schema(schema).csv(b)
     assert ra.count() == 300 and ra.exceptAll(rb).count() == 0 and rb.exceptAll(ra).count() == 0
+
+
+def test_a_training_loan_with_a_bad_target_stays_a_training_loan(spark, scratch):
+    loans = fx.loan(spark, SF_SMALL).where("LOAN_ID <= 60")
+    train = fx.train(loans).select(*FILES.LOAN_COLUMNS)
+    bad = train.agg(F.min("LOAN_ID")).first()[0]
+    train = train.withColumn("LOAN_AMOUNT", F.when(F.col("LOAN_ID") == bad, "12O0").otherwise(F.col("LOAN_AMOUNT").cast("string")))
+    test = fx.test(loans).select(*[c for c in FILES.LOAN_COLUMNS if c != "LOAN_AMOUNT"])
+    train_p, test_p = os.path.join(scratch, "train.csv"), os.path.join(scratch, "test.csv")
+    FILES.write_loans_csv(train, train_p)
+    FILES.write_loans_csv(test, test_p)
+    out = jobs.stated_amount_job(spark, train_p, test_p, os.path.join(scratch, "out"))
+    ids = {k: {r["LOAN_ID"] for r in spark.read.option("header", True).option("inferSchema", True).csv(p).collect()} for k, p in out.items()}
+    assert bad in ids["train"] and len(ids["train"]) == train.count() and len(ids["test"]) == test.count()

@@ -42,7 +42,7 @@ def test_no_window_runs_over_a_whole_group(spark, name):
     windows = [m.group(1) for m in re.finditer(r"Window \[(.*)\]", plan)]
     assert windows
     for w in windows:
-        assert "windowspecdefinition(_pid" in w or "windowspecdefinition(epoch#" in w and "_pid" in w, w[:300]
+        assert re.search(r"windowspecdefinition\((\w+#\d+L?, )?_pid", w), w[:300]
 
 
 def test_scan_reads_only_the_columns_it_needs(spark):
@@ -64,16 +64,6 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,500)" in plan
 
 
-def test_dictionary_broadcast_only_under_the_bound(spark):
-    from lendframe.operators.joins import broadcast_if_small
-    small = spark.range(10)
-    big = spark.range(1000)
-    left = spark.range(100).withColumnRenamed("id", "k")
-    p1 = left.join(broadcast_if_small(small, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
-    p2 = left.join(broadcast_if_small(big, 100), left.k == F.col("id"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in p1.lower() and "broadcast" not in p2.lower()
-
-
 def test_scale_settings_size_partitions_from_the_input():
     from lendframe.session import scale_settings
     s = scale_settings(100 * (1 << 40))

@@ -110,12 +110,23 @@ def test_density_weights_have_mean_one_per_batch(spark):
     assert stats.where((F.abs(F.col("m") - 1) > 1e-9) | (F.col("mn") < 0)).count() == 0
 
 
-def test_wide_encoding_is_the_same_with_or_without_broadcast(spark):
+def test_wide_encoding_keeps_repeated_rows_and_equals_the_long_form(spark):
     loans = fx.loan(spark, SF_SMALL)
     d = C.fit_dictionary(fx.train(loans))
-    a = C.encode_wide(loans, d, keep=["TAGS"])                        # per-variable broadcast joins
-    b = C.encode_wide(loans, d, max_broadcast_rows=0, keep=["TAGS"])  # unpivot, shuffle join, aggregate
-    assert sorted(a.columns) == sorted(b.columns) and "TAGS" in a.columns
-    b = b.select(*a.columns)
-    assert a.count() == b.count() == loans.count()
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    some = loans.where("LOAN_ID <= 25").unionByName(loans.where("LOAN_ID <= 5"))
+    wide = C.encode_wide(some, d, keep=["TAGS"])
+    assert wide.count() == some.count() and "TAGS" in wide.columns
+    long = {(r["LOAN_ID"], C.column_name(r["variable"])): r["id"] for r in C.encode_long(some, d).collect()}
+    for r in wide.collect():
+        assert all(r[c] == long[r["LOAN_ID"], c] for c in wide.columns if c not in ("LOAN_ID", "TAGS"))
+
+
+def test_running_statistics_are_exact_on_raw_values(spark):
+    import numpy as np
+    from lendframe.operators import metrics as M
+    for values in ([i / 1000 for i in range(1, 11)], [1e9 + i for i in range(10)], [0.123456 * i for i in range(40)]):
+        log = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "epoch int, step int, mae double")
+        for r in M.running_mean_std(log).collect():
+            seen = np.array(values[: r["step"] + 1])
+            assert abs(r["mae_mean"] - seen.mean()) <= 1e-12 * abs(seen.mean())
+            assert abs(r["mae_std"] - seen.std()) <= 1e-6 * seen.std()

@@ -74,3 +74,9 @@ def test_hot_group_is_split_across_tasks(spark, skewed):
     sizes = [row[1] for row in r.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 12
     assert max(sizes) <= 3 * total / 16
+
+
+def test_median_folds_a_value_that_a_third_of_the_rows_share(spark):
+    df = spark.range(6000).select(F.lit("USD").alias("g"), F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 100).alias("v"))
+    want = _pdf(df)["v"].median()
+    assert [r["m"] for r in exact_median(df, "g", "v", "m", num_partitions=8).collect()] == [pytest.approx(want)]

@@ -189,7 +189,7 @@ def _within(n_a, n_b, pos_a, pos_b, before, t: Fraction):
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The pairs (u, v) of doc_ids whose sets reach the threshold.  Only the
     documents of the pairs are read for their sets: a bitmap of fixed size
-    thins the corpus, an exact join does the rest."""
+    thins the corpus, the joins with the pairs are exact."""
     kind, known = dict(docs.dtypes)["doc_id"], staged()
     pairs = stage(pairs, "pairs")
     ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "pair-ids")
@@ -203,8 +203,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
                 yield pa.RecordBatch.from_pydict({"id": col(part, "doc_id"), "s": list_array(values.view(np.int64), offsets)})
 
     rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", _spot().alias("spot"), "text")
-    found = rows.mapInArrow(sets, f"id {kind}, s array<long>")
-    found = stage(found.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi"), "pair-sets")
+    found = stage(rows.mapInArrow(sets, f"id {kind}, s array<long>"), "pair-sets")
     left, right = found.select(F.col("id").alias("u"), F.col("s").alias("su")), found.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     shared_n = F.size(F.array_intersect("su", "sv"))
     union = F.size("su") + F.size("sv") - shared_n

@@ -115,8 +115,9 @@ def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only.  ``lower`` does the same in text without other
-    upper-case letters, and is much faster than ``translate``."""
-    return F.when(c.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"), F.translate(c, ASCII_UPPER, ASCII_LOWER)).otherwise(
+    upper-case letters (or characters that the regex engine doesn't know yet),
+    and is much faster than ``translate``."""
+    return F.when(c.rlike(r"[[\p{IsUppercase}\p{Lt}\p{Cn}]&&[^\x00-\x7F]]"), F.translate(c, ASCII_UPPER, ASCII_LOWER)).otherwise(
         F.lower(c))
 
 

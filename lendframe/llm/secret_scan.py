@@ -2,7 +2,7 @@
 false positives.
 
 A finding is a run of at least ``MIN_CHARS`` characters of
-``[A-Za-z0-9+/_=-]`` (with its context of up to ``CONTEXT`` characters on both
+``[A-Za-z0-9+/_-]`` and up to two ``=`` at its end (with its context of up to ``CONTEXT`` characters on both
 sides).  Its features: length; character transitions (how often the class of
 character changes, how evenly characters are used, shares of digits, capitals
 and marks); dictionary coverage (the share of its letters in runs that are
@@ -46,7 +46,7 @@ CREDENTIAL = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?k
 #: Formats of well-known keys.
 KNOWN_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{24,}|AIza[A-Za-z0-9_-]{35})$"
 FEATURES = ("n_chars", "changes", "evenness", "digits", "capitals", "marks", "vowels", "coverage", "path", "credential", "assigned", "quoted")
-_FINDING = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_][A-Za-z0-9+/_=-]{%d,}" % (MIN_CHARS - 1))
+_FINDING = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_][A-Za-z0-9+/_-]{%d,}={0,2}" % (MIN_CHARS - 1))
 
 
 def _classes(value: str) -> list[int]:

@@ -109,11 +109,11 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return (np.zeros(DIM, np.int64), 0) if total is None else (total[:-1], int(total[-1]))
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, n_classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02,
+def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, n_classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02,
          l2: float = 0.02, batch: int = 16, seed: int = 3) -> np.ndarray:
     """FTRL-proximal for softmax regression; columns whose gradients stay
-    within ``l1`` get weight exactly 0.  The last column is the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    within ``l1`` get weight exactly 0.  Trains on the given rows of ``x``,
+    whose last column is the intercept's."""
     z, n = np.zeros((x.shape[1], n_classes)), np.zeros((x.shape[1], n_classes))
     draw = np.random.Generator(np.random.PCG64(seed))
 
@@ -122,8 +122,8 @@ def ftrl(x: np.ndarray, y: np.ndarray, n_classes: int, epochs: int = 4, alpha: f
         return np.where(np.abs(zz) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        order = draw.permutation(len(x))
-        for at in range(0, len(x), batch):
+        order = draw.permutation(rows)
+        for at in range(0, len(order), batch):
             some = order[at: at + batch]
             used = np.flatnonzero(x[some].any(axis=0))
             xs, w = x[np.ix_(some, used)], weights(z[used], n[used])
@@ -183,14 +183,15 @@ def fit_language_model(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict
     sample = sorted(((r.doc_id, r.lang, bytes(r.cells), bytes(r.counts)) for r in sample), key=lambda r: r[0])
     df, n_rows = document_frequencies(known)
     idf = (np.log((1 + n_rows) / (1 + df)) + 1).astype(np.float32)
-    x = np.zeros((len(sample), DIM), np.float32)
+    x = np.zeros((len(sample), DIM + 1), np.float32)  # the only dense copy of the sample
+    x[:, DIM] = 1
     for i, (_, _, cells, counts) in enumerate(sample):
-        x[i, np.frombuffer(cells, np.int16)] = np.frombuffer(counts, np.float32)
-    x = tfidf(x, idf)
+        where = np.frombuffer(cells, np.int16)
+        x[i, where] = tfidf(np.frombuffer(counts, np.float32)[None, :], idf[where])
     y = np.array([langs.index(r[1]) for r in sample], np.int64)
     check = np.arange(len(y)) % 5 == 4
-    weights = ftrl(x[~check], y[~check], len(langs)) if len(y) else np.zeros((DIM + 1, len(langs)))
-    temperature = fit_temperature(x[check] @ weights[:-1] + weights[-1], y[check]) if check.any() else 1.0
+    weights = ftrl(x, y, np.flatnonzero(~check), len(langs)) if len(y) else np.zeros((DIM + 1, len(langs)))
+    temperature = fit_temperature(x[check] @ weights.astype(np.float32), y[check]) if check.any() else 1.0
     return {"langs": langs, "idf": idf, "weights": weights.astype(np.float32), "temperature": temperature}
 
 

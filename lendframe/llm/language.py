@@ -109,12 +109,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return (np.zeros(DIM, np.int64), 0) if total is None else (total[:-1], int(total[-1]))
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, n_classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02,
-         l2: float = 0.02, batch: int = 16, seed: int = 3) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, width: int, n_classes: int, epochs: int = 4, alpha: float = 0.5,
+         beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, batch: int = 16, seed: int = 3) -> np.ndarray:
     """FTRL-proximal for softmax regression; columns whose gradients stay
-    within ``l1`` get weight exactly 0.  Trains on the given rows of ``x``,
-    whose last column is the intercept's."""
-    z, n = np.zeros((x.shape[1], n_classes)), np.zeros((x.shape[1], n_classes))
+    within ``l1`` get weight exactly 0.  A row is its (columns, values); the
+    intercept is column ``width``, which no row lists."""
+    z, n = np.zeros((width + 1, n_classes)), np.zeros((width + 1, n_classes))
     draw = np.random.Generator(np.random.PCG64(seed))
 
     def weights(zz, nn):
@@ -122,11 +122,11 @@ def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, n_classes: int, epochs:
         return np.where(np.abs(zz) <= l1, 0.0, w)
 
     for _ in range(epochs):
-        order = draw.permutation(rows)
+        order = draw.permutation(len(rows))
         for at in range(0, len(order), batch):
             some = order[at: at + batch]
-            used = np.flatnonzero(x[some].any(axis=0))
-            xs, w = x[np.ix_(some, used)], weights(z[used], n[used])
+            used, xs = dense([rows[i] for i in some], width)
+            w = weights(z[used], n[used])
             logits = xs @ w
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -138,6 +138,17 @@ def ftrl(x: np.ndarray, y: np.ndarray, rows: np.ndarray, n_classes: int, epochs:
     return weights(z, n)
 
 
+def dense(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns that any of a few rows uses, the intercept's last, and the
+    rows' values in them."""
+    used = np.append(np.unique(np.concatenate([c for c, _ in rows])), width).astype(np.int64)
+    xs = np.zeros((len(rows), len(used)), np.float32)
+    xs[:, -1] = 1
+    for x, (cells, values) in zip(xs, rows):
+        x[np.searchsorted(used, cells)] = values
+    return used, xs
+
+
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
     """The temperature that minimises the log loss (golden section on its
     log).  Labels count as wrong once in n + 1, so that a sample without errors
@@ -179,19 +190,19 @@ def fit_language_model(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict
                 "counts": pa.array([c[w].astype(np.float32).tobytes() for c, w in zip(counts, where)], type=pa.binary())})
 
     chosen = known.where(chance < F.element_at(rates, F.col("lang")))
-    sample = chosen.mapInArrow(features, "doc_id string, lang string, cells binary, counts binary").toLocalIterator()
-    sample = sorted(((r.doc_id, r.lang, bytes(r.cells), bytes(r.counts)) for r in sample), key=lambda r: r[0])
     df, n_rows = document_frequencies(known)
     idf = (np.log((1 + n_rows) / (1 + df)) + 1).astype(np.float32)
-    x = np.zeros((len(sample), DIM + 1), np.float32)  # the only dense copy of the sample
-    x[:, DIM] = 1
-    for i, (_, _, cells, counts) in enumerate(sample):
-        where = np.frombuffer(cells, np.int16)
-        x[i, where] = tfidf(np.frombuffer(counts, np.float32)[None, :], idf[where])
-    y = np.array([langs.index(r[1]) for r in sample], np.int64)
-    check = np.arange(len(y)) % 5 == 4
-    weights = ftrl(x, y, np.flatnonzero(~check), len(langs)) if len(y) else np.zeros((DIM + 1, len(langs)))
-    temperature = fit_temperature(x[check] @ weights.astype(np.float32), y[check]) if check.any() else 1.0
+    sample = []
+    for r in chosen.mapInArrow(features, "doc_id string, lang string, cells binary, counts binary").toLocalIterator():
+        cells = np.frombuffer(r.cells, np.int16)  # rows stay sparse on the driver
+        sample.append((r.doc_id, langs.index(r.lang), cells, tfidf(np.frombuffer(r.counts, np.float32)[None, :], idf[cells])[0]))
+    sample.sort(key=lambda r: r[0])
+    fit, check = [r for i, r in enumerate(sample) if i % 5 != 4], sample[4::5]
+    weights = ftrl([r[2:] for r in fit], np.array([r[1] for r in fit], np.int64), DIM, len(langs)) if fit else np.zeros((DIM + 1, len(langs)))
+    temperature = 1.0
+    if check:
+        logits = np.array([values @ weights[cells] + weights[DIM] for _, _, cells, values in check])
+        temperature = fit_temperature(logits, np.array([r[1] for r in check], np.int64))
     return {"langs": langs, "idf": idf, "weights": weights.astype(np.float32), "temperature": temperature}
 
 

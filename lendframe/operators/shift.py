@@ -13,14 +13,15 @@ with NumPy.  The default is the closed-form kernel density ratio
 clipped to [0, 50] and rescaled to mean 1 within the batch, which SQL can
 express (it has an oracle); it approximates the same matching objective.
 
-Batches are formed without any global ordering: rows are hashed into
-buckets of about ``rows_per_bucket`` rows of the larger side (the bucket
-count is a scalar subquery over the data), numbered inside their bucket, and cut into
-batches of ``batch_size``.  Test batch t of a bucket serves the training
-batches s with s mod m == t (m = test batches in that bucket), so test rows
-are copied only to the batches they serve.  Each (bucket, batch) group is
-then bounded by ``batch_size`` rows per side and handled by one
-``applyInPandas`` call with NumPy; no pair is ever materialised as a row.
+Batches are formed without any global ordering: the rows of each side are
+hashed into that side's buckets, of about ``rows_per_bucket`` rows (the bucket
+counts are scalar subqueries over the data), numbered inside their bucket, and
+cut into batches of ``batch_size``.  Buckets of the two sides are paired by
+their number, the longer row of buckets repeating the shorter, and so are the
+batches inside a pair of buckets: every training batch meets at least one test
+batch, and every test batch a training batch.  Kernel sums are taken per pair
+of batches, at most ``batch_size`` rows per side in one ``applyInPandas`` call
+with NumPy, and added up per training row; no pair of rows is ever a row.
 """
 
 from __future__ import annotations
@@ -36,35 +37,42 @@ BATCH_SIZE = 128
 ROWS_PER_BUCKET = 8192
 
 
+def _bucket_count(shift: DataFrame, is_test: bool, rows_per_bucket: int):
+    """Rounded down, so that a hashed bucket is not left without rows."""
+    rows = shift.select(F.count_if(F.col("is_test") == is_test)).scalar()
+    return F.greatest(F.lit(1), F.floor(rows / F.lit(rows_per_bucket))).cast("bigint")
+
+
 def assign_batches(shift: DataFrame, batch_size: int = BATCH_SIZE,
                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``bucket`` and ``batch`` to (vec_id, is_test, x, y)."""
-    # Sized by the larger side, so neither side puts more than about
-    # ``rows_per_bucket`` rows into one bucket (the numbering below is one
-    # window per bucket).
-    n_rows = shift.select(F.greatest(F.count_if(~F.col("is_test")), F.count_if(F.col("is_test")))).scalar()
-    n_buckets = F.greatest(F.lit(1), F.ceil(n_rows / F.lit(rows_per_bucket)))
+    n_buckets = F.when(F.col("is_test"), _bucket_count(shift, True, rows_per_bucket)).otherwise(
+        _bucket_count(shift, False, rows_per_bucket))
     with_bucket = shift.withColumn("bucket", F.pmod(
         F.conv(F.substring(F.md5(F.concat(F.lit("0-"), F.col("vec_id").cast("string"))), 1, 8), 16, 10)
-        .cast("bigint"), n_buckets.cast("bigint")))
+        .cast("bigint"), n_buckets))
     w = Window.partitionBy("is_test", "bucket").orderBy("vec_id")
     return with_bucket.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint"))
 
 
-def _pair_keys(batched: DataFrame, batch_size: int) -> tuple[DataFrame, DataFrame]:
-    """Training rows keyed by their batch, test rows copied to every
-    training batch they serve."""
-    sizes = batched.groupBy("bucket").agg(
-        F.ceil(F.count(F.when(~F.col("is_test"), 1)) / batch_size).alias("_k"),
-        F.ceil(F.count(F.when(F.col("is_test"), 1)) / batch_size).alias("_m"))
+def _paired(batched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Training rows and test rows, each copied to every pair of batches that
+    its batch is part of; a pair is (bucket, batch, test_bucket, test_batch)."""
+    sizes = batched.groupBy("is_test", "bucket").agg((F.max("batch") + 1).alias("n"))
+    sides = [sizes.where(F.col("is_test") == t).select(F.col("bucket").alias(f"{p}bucket"), F.col("n").alias(f"_{p}n"))
+             for t, p in ((False, ""), (True, "test_"))]
+    counts = [sizes.where(F.col("is_test") == t).select(F.max("bucket") + 1).scalar() for t in (False, True)]
+    pairs = (sizes.select(F.col("bucket").alias("_g")).distinct()
+             .select(F.pmod("_g", counts[0]).alias("bucket"), F.pmod("_g", counts[1]).alias("test_bucket"))
+             .join(sides[0], "bucket").join(sides[1], "test_bucket")
+             .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("_n", "_test_n") - 1)))
+             .select("bucket", F.pmod("_i", "_n").alias("batch"), "test_bucket", F.pmod("_i", "_test_n").alias("test_batch")))
     train = batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
-    test = (batched.where(F.col("is_test")).alias("t")
-            .join(sizes.alias("z"), F.col("t.bucket") == F.col("z.bucket"))
-            .where(F.col("t.batch") < F.col("z._k"))
-            .select(F.col("t.vec_id").alias("vec_id"), F.col("t.bucket").alias("bucket"),
-                    F.explode(F.sequence(F.col("t.batch"), F.col("z._k") - 1, F.col("z._m"))).alias("batch"),
-                    F.col("t.x").alias("x")))
-    return train, test
+    # aliases: a cogroup does not tell equal columns of one source apart
+    test = batched.where(F.col("is_test")).select(
+        F.col("vec_id").alias("vec_id"), F.col("bucket").alias("test_bucket"), F.col("batch").alias("test_batch"), F.col("x").alias("x"))
+    met = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])
+    return train.join(pairs, ["bucket", "batch"]), test.join(met, ["test_bucket", "test_batch"])
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -145,50 +153,57 @@ def kmm_solve(k_tr: np.ndarray, kappa: np.ndarray, upper: float = WEIGHT_UPPER_B
     raise RuntimeError(f"matching weights not converged after {max_iter} steps")
 
 
-def batch_weights(batched: DataFrame, batch_size: int = BATCH_SIZE,
-                  quantile: float = KERNEL_DISTANCE_QUANTILE,
+def batch_weights(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE,
                   upper: float = WEIGHT_UPPER_BOUND, method: str = "ratio") -> DataFrame:
     """Per training row: (vec_id, bucket, batch, kernel_width, kappa, weight).
 
     ``method="ratio"``: the closed-form kernel density ratio, clipped and
     rescaled to mean 1.  ``method="kmm"``: the kernel-mean-matching
     quadratic program of the original, solved per batch (``kmm_solve``).
-    A training batch without a test partner gets kappa null and weight 1.
+    Without any test row, and for a training batch of one row (it has no
+    kernel width), kappa is null and the weight 1.
     """
-    train, test = _pair_keys(batched, batch_size)
+    sums = "vec_id long, bucket long, batch long, k_sum double, n_te long"
 
-    def fn(key, tr, te):
-        if len(tr) == 0:
-            return pd.DataFrame({c: [] for c in ["vec_id", "bucket", "batch", "kernel_width", "kappa", "weight"]})
+    def kernel_sums(key, tr, te):
         # Rows reach a group in no fixed order; sorting makes every float sum
-        # run in the same order, so reruns give bit-equal results.
-        tr = tr.sort_values("vec_id")
-        te = te.sort_values("vec_id")
-        x = _matrix(tr)
-        n_tr = len(x)
+        # of a pair run in the same order.
+        tr, te = tr.sort_values("vec_id"), te.sort_values("vec_id")
+        gamma = _width(_matrix(tr), quantile)
+        if gamma is None or not len(te):
+            return pd.DataFrame({c: [] for c in ["vec_id", "bucket", "batch", "k_sum", "n_te"]})
+        k_te = np.exp(-gamma * _sq_dist(_matrix(tr), _matrix(te)))
+        return pd.DataFrame({"vec_id": tr["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
+                             "k_sum": k_te.sum(axis=1), "n_te": len(te)})
+
+    def weigh(key, tr, met):
+        rows = tr.sort_values("vec_id").merge(met[["vec_id", "k_sum", "n_te"]], on="vec_id", how="left")
+        n_tr = len(rows)
+        x = _matrix(rows)
         gamma = _width(x, quantile)
-        kappa = np.full(n_tr, np.nan)
-        weight = np.ones(n_tr)
-        if len(te) and gamma is not None:
-            t = _matrix(te)
-            k_te = np.exp(-gamma * _sq_dist(x, t))
+        kappa, weight = np.full(n_tr, np.nan), np.ones(n_tr)
+        if n_tr and gamma is not None and rows["n_te"].notna().all():
             k_tr = np.exp(-gamma * _sq_dist(x, x))
-            kappa = -(float(n_tr) / float(len(t))) * k_te.sum(axis=1)
+            mean_te = rows["k_sum"].to_numpy() / rows["n_te"].to_numpy()
+            kappa = -float(n_tr) * mean_te
             if method == "kmm":
                 weight = kmm_solve(k_tr, kappa, upper)
             else:
-                ratio = k_te.mean(axis=1) / k_tr.mean(axis=1)
-                ratio = np.clip(ratio, 0.0, upper)
+                ratio = np.clip(mean_te / k_tr.mean(axis=1), 0.0, upper)
                 total = ratio.sum()
-                weight = ratio * n_tr / total if total > 0 else np.ones(n_tr)
+                weight = ratio * n_tr / total if total > 0 else weight
         return pd.DataFrame({
-            "vec_id": tr["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
+            "vec_id": rows["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
             "kernel_width": gamma, "kappa": kappa, "weight": weight})
 
-    return (train.groupBy("bucket", "batch")
-            .cogroup(test.groupBy("bucket", "batch"))
-            .applyInPandas(fn, "vec_id long, bucket long, batch long, kernel_width double, "
-                               "kappa double, weight double"))
+    pair = ["bucket", "batch", "test_bucket", "test_batch"]
+    train, test = _paired(batched)
+    met = (train.groupBy(*pair).cogroup(test.groupBy(*pair)).applyInPandas(kernel_sums, sums)
+           .groupBy("vec_id", "bucket", "batch").agg(F.sum("k_sum").alias("k_sum"), F.sum("n_te").alias("n_te")))
+    alone = batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
+    return (alone.groupBy("bucket", "batch").cogroup(met.groupBy("bucket", "batch"))
+            .applyInPandas(weigh, "vec_id long, bucket long, batch long, kernel_width double, "
+                                  "kappa double, weight double"))
 
 
 def weighted_loss(weights: DataFrame, batched: DataFrame, prediction=None) -> DataFrame:

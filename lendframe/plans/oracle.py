@@ -526,22 +526,26 @@ def _sq(a: str, b: str) -> str:
 
 
 SHIFT_BATCHES = f"""
-nb AS (SELECT greatest(1, ceil(greatest(count(*) FILTER (WHERE NOT is_test), count(*) FILTER (WHERE is_test)) / 256))
-       AS nb FROM shift),
-b0 AS (SELECT s.*, {md5_bucket_sql('vec_id', 'CAST(nb AS BIGINT)')} AS bucket FROM shift s, nb),
+nb AS (SELECT CAST(greatest(1, floor(count(*) FILTER (WHERE NOT is_test) / 256)) AS BIGINT) AS a,
+       CAST(greatest(1, floor(count(*) FILTER (WHERE is_test) / 256)) AS BIGINT) AS b FROM shift),
+b0 AS (SELECT s.*, {md5_bucket_sql('vec_id', 'CASE WHEN is_test THEN b ELSE a END')} AS bucket FROM shift s, nb),
 bt AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY is_test, bucket ORDER BY vec_id) - 1) / 128) AS BIGINT)
          AS batch FROM b0),
 tr AS (SELECT * FROM bt WHERE NOT is_test),
 te AS (SELECT * FROM bt WHERE is_test),
-sizes AS (SELECT bucket, CAST(ceil(count(*) FILTER (WHERE is_test) / 128) AS BIGINT) AS m FROM bt GROUP BY bucket),
+nbuckets AS (SELECT greatest(a, b) AS g FROM nb),
+links AS (SELECT u.bucket, u.i % u.k AS batch, u.te_bucket, u.i % u.m AS te_batch FROM (
+  SELECT p.bucket, p.te_bucket, k, m, unnest(range(greatest(k, m))) AS i FROM
+    (SELECT x.g % nb.a AS bucket, x.g % nb.b AS te_bucket FROM (SELECT unnest(range(g)) AS g FROM nbuckets) x, nb) p
+    JOIN (SELECT bucket, max(batch) + 1 AS k FROM tr GROUP BY bucket) z1 ON z1.bucket = p.bucket
+    JOIN (SELECT bucket, max(batch) + 1 AS m FROM te GROUP BY bucket) z2 ON z2.bucket = p.te_bucket) u),
 ntr AS (SELECT bucket, batch, count(*) AS n_tr FROM tr GROUP BY bucket, batch),
-nte AS (SELECT bucket, batch, count(*) AS n_te FROM te GROUP BY bucket, batch),
 tt AS (SELECT a.bucket, a.batch, a.vec_id AS i, c.vec_id AS j, {_sq('a', 'c')} AS d2
        FROM tr a JOIN tr c ON a.bucket = c.bucket AND a.batch = c.batch),
 width AS (SELECT bucket, batch, quantile_cont(sqrt(d2), 0.01) AS w FROM tt WHERE i < j GROUP BY bucket, batch),
 kte AS (SELECT a.vec_id, a.bucket, a.batch, exp(-w.w * {_sq('a', 'c')}) AS kv
-        FROM tr a JOIN sizes z ON a.bucket = z.bucket
-        JOIN te c ON c.bucket = a.bucket AND c.batch = a.batch % z.m
+        FROM tr a JOIN links z ON a.bucket = z.bucket AND a.batch = z.batch
+        JOIN te c ON c.bucket = z.te_bucket AND c.batch = z.te_batch
         JOIN width w ON w.bucket = a.bucket AND w.batch = a.batch),
 ktr AS (SELECT t.i AS vec_id, avg(exp(-w.w * t.d2)) AS mk FROM tt t
         JOIN width w ON w.bucket = t.bucket AND w.batch = t.batch GROUP BY t.i),

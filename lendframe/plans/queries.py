@@ -399,13 +399,13 @@ def kernel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kernel_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH)
+    w = SH.batch_weights(_batched(spark, sf_dir))
     return w.select("vec_id", _r(_null_nan("kappa"), 6).alias("kappa"))
 
 
 @query
 def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH)
+    w = SH.batch_weights(_batched(spark, sf_dir))
     return w.select("vec_id", _r("weight", 6).alias("weight"))
 
 
@@ -413,7 +413,7 @@ def density_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def density_ratio_kmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kernel-mean-matching weights, the quadratic program solved per batch
     (rows-only check; the tests check optimality conditions instead)."""
-    w = SH.batch_weights(_batched(spark, sf_dir), SHIFT_BATCH, method="kmm")
+    w = SH.batch_weights(_batched(spark, sf_dir), method="kmm")
     return w.select("vec_id", _r("weight", 6).alias("weight"))
 
 
@@ -422,7 +422,7 @@ def weighted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test-row predictions of a regression trained with the matching
     weights on the training rows (rows-only check: Spark ML values)."""
     batched = _batched(spark, sf_dir)
-    weights = SH.batch_weights(batched, SHIFT_BATCH, method="kmm")
+    weights = SH.batch_weights(batched, method="kmm")
     model = SH.fit_weighted_regression(batched, weights)
     return SH.predict_shifted(model, batched).select("vec_id", _r("prediction", 6).alias("prediction"))
 
@@ -430,7 +430,7 @@ def weighted_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = _batched(spark, sf_dir)
-    loss = SH.weighted_loss(SH.batch_weights(batched, SHIFT_BATCH), batched)
+    loss = SH.weighted_loss(SH.batch_weights(batched), batched)
     return loss.select("bucket", "batch", _r("weighted_loss", 6).alias("weighted_loss"))
 
 

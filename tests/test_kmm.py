@@ -58,7 +58,7 @@ def test_kmm_query_gives_one_feasible_weight_per_training_row(spark):
 def test_weighted_regression_honours_the_weights(spark):
     from lendframe.plans import queries as Q
     batched = SH.assign_batches(fx.shift(spark, SF_SMALL), 128, 256)
-    w = SH.batch_weights(batched, 128, method="kmm")
+    w = SH.batch_weights(batched, method="kmm")
     ones = w.withColumn("weight", F.lit(1.0))
     doubled = w.withColumn("weight", F.lit(2.0))
     a = SH.fit_weighted_regression(batched, ones).coefficients.toArray()
@@ -67,3 +67,37 @@ def test_weighted_regression_honours_the_weights(spark):
     out = Q.QUERIES["weighted_regression"](spark, SF_SMALL)
     n_test = fx.shift(spark, SF_SMALL).where(F.col("is_test")).count()
     assert out.count() == n_test and out.where(F.col("prediction").isNull()).count() == 0
+
+
+def _sides(spark, n_train, n_test):
+    rows = spark.range(n_train + n_test).select(
+        F.col("id").alias("vec_id"), (F.col("id") >= n_train).alias("is_test"),
+        F.array((F.col("id") % 17 / 17.0), (F.col("id") % 5 / 5.0)).alias("x"), F.lit(1.0).alias("y"))
+    return SH.assign_batches(rows, 16, 64)
+
+
+def test_every_training_row_meets_test_rows_when_those_are_few(spark):
+    weights = SH.batch_weights(_sides(spark, 1000, 3)).toPandas()
+    size = weights.groupby(["bucket", "batch"])["vec_id"].transform("size")
+    assert len(weights) == 1000
+    assert (weights["kappa"].isna() == (size == 1)).all()  # one row has no kernel width
+
+
+def test_every_test_row_is_met_when_those_are_many(spark):
+    batched = _sides(spark, 40, 1000)
+    train, test = SH._paired(batched)
+    keys = ["bucket", "batch", "test_bucket", "test_batch"]
+    met = train.select(*keys).distinct().join(test, keys)
+    assert met.select("vec_id").distinct().count() == 1000
+    assert SH.batch_weights(batched).where("kappa is null").count() == 0
+
+
+def test_sums_over_several_test_batches_equal_brute_force(spark):
+    batched = _sides(spark, 12, 200)  # one training batch, every test row
+    rows = batched.toPandas()
+    x = np.stack(rows[~rows.is_test].sort_values("vec_id")["x"].to_numpy())
+    t = np.stack(rows[rows.is_test]["x"].to_numpy())
+    gamma = np.quantile([np.linalg.norm(a - b) for i, a in enumerate(x) for b in x[i + 1:]], 0.01)
+    want = [-12 / 200 * sum(np.exp(-gamma * np.sum((a - b) ** 2)) for b in t) for a in x]
+    got = SH.batch_weights(batched).toPandas().sort_values("vec_id")["kappa"]
+    np.testing.assert_allclose(got, want, rtol=1e-9)

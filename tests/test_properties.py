@@ -104,7 +104,7 @@ def test_shift_weights_cover_every_training_row(spark, name):
 
 def test_density_weights_have_mean_one_per_batch(spark):
     from lendframe.operators import shift as SH
-    w = SH.batch_weights(SH.assign_batches(fx.shift(spark, SF_SMALL), 128, 256), 128)
+    w = SH.batch_weights(SH.assign_batches(fx.shift(spark, SF_SMALL), 128, 256))
     stats = w.groupBy("bucket", "batch").agg(F.avg("weight").alias("m"), F.max("weight").alias("mx"),
                                              F.min("weight").alias("mn"))
     assert stats.where((F.abs(F.col("m") - 1) > 1e-9) | (F.col("mn") < 0)).count() == 0

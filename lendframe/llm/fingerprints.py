@@ -7,13 +7,17 @@ a * x + b modulo 2^64 permute the shingles' 64-bit hashes; a fingerprint keeps
 estimates the sets' Jaccard similarity (plus 2^-16).  Long texts are permuted in
 blocks, so memory does not grow with them.
 
-``near_duplicates`` joins the bands of the signatures: documents that agree in
-a band meet at the band's smallest doc_id, and the edges of those stars (one
-per document and band, never all pairs of a group) are verified by the exact
-Jaccard similarity of their shingle sets.
+``near_duplicates`` and ``with_classes`` join the bands of the signatures.
+Equal texts are one; documents that agree in a band meet at the band's smallest
+doc_id first, and the edges of those stars are verified by the exact Jaccard
+similarity of their shingle sets; then every pair that agrees in a band and is
+not yet in one component is verified as well.  So the classes are those of all
+pairs that agree in a band and reach the threshold.
 
 Edge cases: null text is empty; an empty set has the fingerprint of all ones,
-which is like itself and unlike any other; equal texts have equal fingerprints.
+which is like itself and unlike any other, and links with nothing; equal texts have
+equal fingerprints; rows of one doc_id are one document; a row with a null
+doc_id has a null class.
 """
 
 from __future__ import annotations
@@ -30,12 +34,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lendframe.llm import shingles as S
-from lendframe.llm.common import col, keyed, list_array, slices, stage, texts
+from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, release, slices, stage, staged, texts
+from lendframe.llm.components import connected_components
+from lendframe.llm.ngram_join import MARK_BITS
 
 PERMUTATIONS = 64
 BANDS = 16
 SHINGLE = 5
 THRESHOLD = 0.8
+PARITY_BITS = 1 << 10
+#: Documents of a bucket that one task pairs with as many others.
+CHUNK_ROWS = 1000
 _BLOCK = 1 << 13
 
 
@@ -173,32 +182,116 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     return inside.unionByName(closed)
 
 
-def band_edges(prints: DataFrame) -> DataFrame:
-    """a, b: each document and the smallest doc_id that agrees with it in some
-    band, once each."""
+def _buckets(prints: DataFrame) -> DataFrame:
+    """doc_id, bucket: one row per document and band, and one for the whole
+    fingerprint (equal sets meet whatever else is in their bands)."""
     width = 2 * PERMUTATIONS // BANDS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("fingerprint", i * width + 1, width).alias("value"))))
-    rows = prints.where(F.col("doc_id").isNotNull()).select("doc_id", band.alias("k")).select("doc_id", "k.band", "k.value")
-    lows = rows.groupBy("band", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(lows, ["band", "value"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified near duplicates a, b, jaccard: documents that agree with the
-    smallest doc_id of one of their bands and reach the threshold."""
-    kind = dict(docs.dtypes)["doc_id"]
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("fingerprint", i * width + 1, width)))
+    return prints.select("doc_id", F.explode(F.concat(bands, F.array(F.xxhash64(F.lit(BANDS), "fingerprint")))).alias("bucket")).distinct()
+
+
+def _parity(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each set, which of ``PARITY_BITS`` cells hold an odd number of its
+    members.  Two sets differ in at least as many members as cells."""
+    n = len(offsets) - 1
+    cell = np.repeat(np.arange(n), np.diff(offsets)) * PARITY_BITS + (S.mix(values) >> np.uint64(32)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(cell, minlength=n * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY_BITS), axis=1, bitorder="little").reshape(-1).view(np.int64)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs u, v of doc_ids that reach the threshold, with their jaccard.
+    Pairs that differ in too many members by their sizes or parities go before
+    the sets are joined."""
+    kind, known = dict(docs.dtypes)["doc_id"], staged()
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(MARK_BITS))
+    pairs = stage(pairs, "band-pairs")
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(spot), MARK_BITS))
+    longs = PARITY_BITS // 64
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = S.Words(S.SPACE)
-        for batch in slices(batches):
-            values, offsets = S.distinct(*S.shingles(*words_of(texts(batch)), SHINGLE))
-            yield pa.RecordBatch.from_pydict({"id": col(batch, "doc_id"), "s": list_array(values.view(np.int64), offsets)})
-
-    edges = stage(band_edges(fingerprints(docs)), "band-edges")
-    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = keyed(docs).join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, f"id {kind}, s array<long>")
-    wanted = stage(wanted, "band-sets")
-    pairs = edges.join(wanted.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(wanted.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - shared
-    return pairs.select("a", "b", F.try_divide(shared.cast("double"), union).alias("jaccard")).where(F.col("jaccard") >= threshold)
+        for batch in batches:
+            for part in slices(iter([batch.filter(pa.array(marked(shared.value, col(batch, "spot").to_numpy())))])):
+                values, offsets = S.distinct(*S.shingles(*words_of(texts(part)), SHINGLE))
+                yield pa.RecordBatch.from_pydict({
+                    "id": col(part, "doc_id"), "n": pa.array(np.diff(offsets).astype(np.int32)),
+                    "p": list_array(_parity(values, offsets), np.arange(len(offsets)) * longs), "s": list_array(values.view(np.int64), offsets)})
+
+    rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", spot.alias("spot"), "text")
+    found = stage(rows.mapInArrow(sets, f"id {kind}, n int, p array<long>, s array<long>"), "band-sets")
+    side = lambda x, c: found.select(F.col("id").alias(x), *[F.col(k).alias(f"{k}{x}") for k in c])
+    cells = F.aggregate(F.zip_with("pu", "pv", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    # Jaccard = (total - differing) / (total + differing)
+    differing, total = F.greatest(cells, F.abs(F.col("nu") - F.col("nv"))), (F.col("nu") + F.col("nv"))
+    near = pairs.join(side("u", "np"), "u").join(side("v", "np"), "v").where(differing * (1 + threshold) <= total * (1 - threshold + 1e-9))
+    near = stage(near.select("u", "v").distinct(), "near-pairs")
+    shared_n = F.size(F.array_intersect("su", "sv"))
+    union = F.size("su") + F.size("sv") - shared_n
+    likely = near.join(side("u", "s"), "u").join(side("v", "s"), "v").select("u", "v", F.try_divide(shared_n.cast("double"), union).alias("jaccard"))
+    links = stage(likely.where(F.col("jaccard") >= threshold).groupBy("u", "v").agg(F.max("jaccard").alias("jaccard")), "band-links")
+    release([x for x in staged()[:-1] if x not in known])
+    return links
+
+
+def _linked(docs: DataFrame, prints: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Links u, v, jaccard (u < v) and the components they make: vertex, component."""
+    known = staged()
+    none = F.lit(b"\xff" * 2 * PERMUTATIONS)
+    named = prints.where(F.col("doc_id").isNotNull() & (F.col("fingerprint") != none)).select("doc_id", "row_hash", "fingerprint")
+
+    # 1. equal texts: the smallest doc_id stands for them
+    first = stage(named.groupBy("row_hash", "fingerprint").agg(F.min("doc_id").alias("u")), "band-texts")
+    copies = named.join(first, ["row_hash", "fingerprint"]).where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct()
+    copies = stage(copies.withColumn("jaccard", F.lit(1.0)), "band-copies")
+
+    # 2. stars around each bucket's smallest doc_id
+    rows = _buckets(first.select(F.col("u").alias("doc_id"), "fingerprint"))
+    lows = rows.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).where("n > 1")
+    crowded = stage(rows.join(lows, "bucket"), "band-crowded")
+    stars = stage(crowded.where("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), "band-stars")
+    star_links = _verified(docs, stars, threshold)
+    component = stage(connected_components(copies.select("u", "v").unionByName(star_links.select("u", "v"))), "band-star-components")
+
+    # 3. pairs that share a bucket, of different components; a bucket of many
+    # documents is cut into chunks, and each pair of chunks is joined by itself
+    placed = crowded.select("bucket", "n", "doc_id").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id"))
+    placed = stage(placed, "band-placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    chunks = F.ceil(F.col("n") / CHUNK_ROWS).cast("int")
+    cut = placed.join(mixed, "bucket", "left_semi").select("bucket", "doc_id", "component", F.pmod(F.xxhash64(F.lit(31), "doc_id"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    cut = cut.select("bucket", "doc_id", "component", "chunk", other).select(
+        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "doc_id", "component", "chunk")
+    cut = stage(cut, "band-chunks")
+    half = lambda x: cut.select("bucket", "low", "high", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "chunk")])
+    apart = (F.col("low") == F.col("high")) | (F.col("chunk_a") != F.col("chunk_b"))
+    pairs = half("a").join(half("b"), ["bucket", "low", "high"]).where(
+        (F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & apart)
+    pairs = pairs.select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).distinct()
+    cross = _verified(docs, pairs.join(stars, ["u", "v"], "left_anti"), threshold)
+    bridge = component.where("vertex <> component").select(F.col("component").alias("u"), F.col("vertex").alias("v"))
+    component = connected_components(bridge.unionByName(cross.select("u", "v")))
+
+    links = stage(copies.unionByName(star_links).unionByName(cross).groupBy("u", "v").agg(F.max("jaccard").alias("jaccard")), "band-all-links")
+    component = stage(component, "band-components")
+    release([x for x in staged()[:-2] if x not in known])
+    return links, component
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Verified near duplicates a, b, jaccard: links that reach the threshold
+    and hold the classes together (not every pair inside a class)."""
+    links, _ = _linked(docs, fingerprints(docs), threshold)
+    return links.select(F.col("u").alias("a"), F.col("v").alias("b"), "jaccard")
+
+
+def with_classes(docs: DataFrame, prints: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``prints`` (fingerprints of the rows of ``docs``) with ``class_id``: the
+    smallest doc_id reachable by links between documents that agree in a band
+    and reach the threshold; null without a doc_id."""
+    _, component = _linked(docs, prints, threshold)
+    found = component.select(F.col("vertex").alias("doc_id"), F.col("component").alias("class_id"))
+    return prints.join(found, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))

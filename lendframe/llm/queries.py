@@ -71,10 +71,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prints = fingerprints.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    prints = fingerprints.with_classes(docs, fingerprints.fingerprints_with_edits(docs))
     return prints.select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fingerprint")).alias("fingerprint"),
-        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,0 +1,59 @@
+"""Cases that a part of the job would miss."""
+
+import random
+
+import numpy as np
+import pytest
+
+from lendframe.llm import fingerprints
+
+
+def dense_family(rng, size=150, pairs=20, words=200):
+    """Edited copies of one text at a mutual Jaccard of about 0.7, some of
+    which have an own near copy."""
+    draw = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base, out = [draw() for _ in range(words)], []
+
+    def edited(w, n):
+        w = list(w)
+        for at in rng.sample(range(len(w)), n):
+            w[at] = draw()
+        return w
+
+    for i in range(size):
+        out.append(edited(base, 4))
+        if i < pairs:
+            out.append(edited(out[-1], 3))
+    other = [draw() for _ in range(60)]
+    out += [["  "] + other, other, other, [], []]
+    rng.shuffle(out)
+    return [(i * 3 + 1, " ".join(w), "en", "s", 0) for i, w in enumerate(out)]
+
+
+def classes_of_all_band_pairs(rows):
+    raw = [r[1].encode() for r in rows]
+    prints = [np.frombuffer(p, ">u2").reshape(fingerprints.BANDS, -1) for p in fingerprints.MinHash()(raw)]
+    sets = [{tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    home = {r[0]: r[0] for r in rows}
+    links = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and (prints[i] == prints[j]).all(1).any() and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                links += 1
+                a, b = sorted((home[rows[i][0]], home[rows[j][0]]))
+                home = {k: a if v == b else v for k, v in home.items()}
+    return home, links
+
+
+@pytest.mark.parametrize("chunk", [1000, 16])
+def test_classes_inside_a_dense_family_are_those_of_all_pairs(make, monkeypatch, chunk):
+    monkeypatch.setattr(fingerprints, "CHUNK_ROWS", chunk)
+    rows = dense_family(random.Random(3))
+    expect, links = classes_of_all_band_pairs(rows)
+    assert links >= 20 and 20 < len(set(expect.values())) < len(rows) - 15
+    docs = make([*rows, (None, rows[0][1], "en", "s", 0)])
+    got = fingerprints.with_classes(docs, fingerprints.fingerprints(docs)).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.doc_id: r.class_id for r in got} == {**expect, None: None}
+    edges = fingerprints.near_duplicates(docs).collect()
+    assert {expect[r.a] == expect[r.b] for r in edges} == {True} and min(r.jaccard for r in edges) >= 0.8

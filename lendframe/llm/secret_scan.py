@@ -2,8 +2,11 @@
 false positives.
 
 A finding is a run of at least ``MIN_CHARS`` characters of
-``[A-Za-z0-9+/_-]`` and up to two ``=`` at its end (with its context of up to ``CONTEXT`` characters on both
-sides).  Its features: length; character transitions (how often the class of
+``[A-Za-z0-9+/_-]`` (without the hyphens it begins with) and up to two ``=`` at its end, or the value of any
+length that is assigned to a credential name: the characters up to the next
+space, or to the closing quote if it is quoted, without closing punctuation
+(each with its context of up to ``CONTEXT`` characters on both sides).  What both rules find is one finding.
+Its features: length; character transitions (how often the class of
 character changes, how evenly characters are used, shares of digits, capitals
 and marks); dictionary coverage (the share of its letters in runs that are
 common words of the corpus); whether it looks like a path or address; and the
@@ -46,7 +49,34 @@ CREDENTIAL = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?k
 #: Formats of well-known keys.
 KNOWN_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{24,}|AIza[A-Za-z0-9_-]{35})$"
 FEATURES = ("n_chars", "changes", "evenness", "digits", "capitals", "marks", "vowels", "coverage", "path", "credential", "assigned", "quoted")
-_FINDING = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_][A-Za-z0-9+/_-]{%d,}={0,2}" % (MIN_CHARS - 1))
+_FINDING = re.compile(r"(?<![A-Za-z0-9+/_])[A-Za-z0-9+/_][A-Za-z0-9+/_-]{%d,}={0,2}" % (MIN_CHARS - 1))
+#: A name (a whole run, so that long runs are read once) and what assigns to it.
+_ASSIGNMENT = re.compile(r"(?<![\w-])([\w-]++)[\"'\]]*+\s*+(?::=|=>|==?|:)\s*+")
+_QUOTED = {q: re.compile(r"%s((?:\\.|[^\s\\%s])++)%s" % (q, q, q)) for q in "\"'`"}
+_VALUE = re.compile(r"\S+")
+_CREDENTIAL = re.compile(CREDENTIAL)
+_CLOSING = "\"'`.,;:)]}>"
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the findings of a text begin and end, in order.  Long runs begin
+    where a run does, and assigned values don't overlap each other."""
+    found = {m.span() for m in _FINDING.finditer(text)}
+    at = 0
+    while m := _ASSIGNMENT.search(text, at):
+        at = m.end()
+        if not _CREDENTIAL.search(m[1]) or at == len(text):
+            continue
+        quote = _QUOTED.get(text[at])
+        if quote and (closed := quote.match(text, at)):
+            found.add(closed.span(1))
+            at = closed.end()
+        elif whole := _VALUE.match(text, at + bool(quote)):
+            at = whole.end()
+            value = whole[0].rstrip(_CLOSING)
+            if value:
+                found.add((whole.start(), whole.start() + len(value)))
+    return sorted(found)
 
 
 def _classes(value: str) -> list[int]:
@@ -65,7 +95,7 @@ def describe(value: str, before: str, after: str, known) -> list[float]:
         float(n), sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1), float(-(share * np.log2(share)).sum()),
         kinds.count(0) / n, kinds.count(2) / n, kinds.count(3) / n, sum(c in "aeiouAEIOU" for c in value) / letters, covered / letters,
         float("/" in value.strip("/=") or bool(re.search(r"(://|www\.|[\w-]+\.[a-z]{2,4}/)\S*$", before))),
-        float(bool(re.search(CREDENTIAL, before[-24:]))), float(bool(re.search(r"[=:]\s*[\"']?$", before))),
+        float(bool(re.search(CREDENTIAL, before[-24:]))), float(bool(re.search(r"(=>|[=:])\s*[\"'`]?$", before))),
         float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:])]
 
 
@@ -91,9 +121,9 @@ def findings(docs: DataFrame, min_share: float = 1e-3) -> DataFrame:
         for batch in slices(batches):
             out = []
             for doc_id, row_hash, text in zip(*(col(batch, c).to_pylist() for c in ("doc_id", "row_hash", "text"))):
-                for m in _FINDING.finditer(text or ""):
-                    before, after = text[max(0, m.start() - CONTEXT): m.start()], text[m.end(): m.end() + CONTEXT]
-                    out.append([doc_id, row_hash, m.start(), m[0], before, *describe(m[0], before, after, known)])
+                for start, end in spans(text or ""):
+                    value, before, after = text[start:end], text[max(0, start - CONTEXT): start], text[end: end + CONTEXT]
+                    out.append([doc_id, row_hash, start, value, before, *describe(value, before, after, known)])
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 

@@ -455,35 +455,44 @@ def _features(spark, sf_dir):
 
 @query
 def feature_vector_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Width of the assembled feature vector, block by block: one-hot ids
-    (values of each variable + 1 for id 0, plus one slot for an invalid
-    id), hashed text, tag flags and numeric features."""
-    loans = fx.loan(spark, sf_dir)
-    d = C.fit_dictionary(fx.train(loans))
-    cat = d.groupBy("variable").agg((F.count(F.lit(1)) + 2).alias("w")).agg(F.sum("w").alias("category_block"))
-    text_block = len(MD.TEXT_FIELDS) * MD.TEXT_DIM
-    return cat.select(
-        F.col("category_block").cast("bigint").alias("category_block"),
-        F.lit(text_block).cast("bigint").alias("text_block"),
-        F.lit(len(fixed.MASTER_TAGS)).cast("bigint").alias("tag_block"),
-        F.lit(len(NUMERIC_FEATURES)).cast("bigint").alias("numeric_block"),
-        (F.col("category_block") + text_block + len(fixed.MASTER_TAGS) + len(NUMERIC_FEATURES))
-        .cast("bigint").alias("width"))
+    """Width of the feature vectors that the pipeline assembles over all loan
+    rows, and of the blocks they are assembled from: one-hot ids, hashed text,
+    tag flags and numeric features."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from lendframe.session import ensure_checkpoint_dir
+    _, _, _, features = _features(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    features = features.checkpoint()
+    stages = MD.feature_pipeline(MD.id_columns(), NUMERIC_FEATURES)
+    vectors = Pipeline(stages=stages).fit(features).transform(features)
+    size = lambda cols: sum((F.size(vector_to_array(F.col(c))) for c in cols), F.lit(0)).cast("bigint")
+    inputs = stages[-1].getInputCols()
+    onehot, texts = [c for c in inputs if c.endswith("_oh")], [c for c in inputs if c.startswith("idf_")]
+    flags = [c for c in inputs if c not in onehot + texts + NUMERIC_FEATURES]
+    count = lambda cols: sum((F.col(c).isNotNull().cast("bigint") for c in cols), F.lit(0)).cast("bigint")
+    # one row, or one for each width there is
+    return vectors.select(
+        size(onehot).alias("category_block"), size(texts).alias("text_block"), count(flags).alias("tag_block"),
+        count([c for c in inputs if c in NUMERIC_FEATURES]).alias("numeric_block"), size(["features"]).alias("width")).distinct()
 
 
 @query
 def text_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashed term counts of the normalised description (rows-only check:
-    the hash function is Spark's own)."""
+    """Hashed term counts of every normalised text field (rows-only check:
+    the hash function is Spark's own): words and buckets of each field, and
+    of all fields together."""
     from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
     loans = fx.loan(spark, sf_dir)
-    words = loans.select("LOAN_ID", *MD.text_columns(loans))
-    tf = HashingTF(inputCol="words_DESCRIPTION_TRANSLATED", outputCol="tf", numFeatures=MD.TEXT_DIM)
-    arr = vector_to_array(F.col("tf"))
-    return tf.transform(words).select(
-        "LOAN_ID", F.size("words_DESCRIPTION_TRANSLATED").alias("n_words"),
-        F.size(F.filter(arr, lambda x: x != 0)).alias("n_buckets"))
+    hashed = loans.select("LOAN_ID", *MD.text_columns(loans))
+    out, n_words, n_buckets = [], F.lit(0), F.lit(0)
+    for f in MD.TEXT_FIELDS:
+        hashed = HashingTF(inputCol=f"words_{f}", outputCol=f"tf_{f}", numFeatures=MD.TEXT_DIM).transform(hashed)
+        words, buckets = F.size(f"words_{f}"), F.size(F.filter(vector_to_array(F.col(f"tf_{f}")), lambda x: x != 0))
+        out += [words.alias(f"n_words_{f}"), buckets.alias(f"n_buckets_{f}")]
+        n_words, n_buckets = n_words + words, n_buckets + buckets
+    return hashed.select("LOAN_ID", n_words.alias("n_words"), n_buckets.alias("n_buckets"), *out)
 
 
 @query

@@ -67,6 +67,32 @@ SELECT doc_id, size, CAST(n AS BIGINT) AS source_size, target,
 FROM p
 """
 
+TRIE = """
+WITH t AS (
+  SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+         ORDER BY turn NULLS FIRST, concat(md5(coalesce(role, '')), md5(coalesce(text, '')))) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+-- unsigned CRC-32 of the decimal conv_id: each byte, and eight shifts
+h AS (
+  SELECT c, ts, xor(4294967295::BIGINT, list_reduce(
+    flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda b: [CAST(ascii(b) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) ELSE xor(x >> 1, 3988292384::BIGINT * (x & 1)) END, 4294967295::BIGINT)) % 9 AS h FROM t),
+s AS (SELECT h.c, list_concat(coalesce(b.ts, [])[1:h.h], h.ts[h.h + 1:]) AS s FROM h LEFT JOIN t b ON b.c = h.c - h.c % 5),
+p AS (SELECT c, d, s[1:d] AS k, len(s) = d AS ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+n AS (
+  SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE strlen(k[d].t) END AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY d, k),
+m AS (SELECT n.*, u.conv_id AS parent FROM n LEFT JOIN n u ON u.d = n.d - 1 AND u.k = n.k[1:n.d - 1]),
+ch AS (SELECT parent, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY parent, d - 1),
+f AS (SELECT m.*, coalesce(n_children, 0) AS n_children FROM m LEFT JOIN ch ON ch.parent = m.conv_id AND ch.d = m.d),
+tot AS (
+  SELECT a, k[1:a] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY a, k[1:a])
+SELECT conv_id, f.d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, CAST(tot.saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM f JOIN tot ON tot.a = f.d AND tot.k = f.k
+"""
+
 SEARCH = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -92,5 +118,6 @@ ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_mixing": MIXING,
+    "op11_prefix_trie": TRIE,
     "op12_search": SEARCH,
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, search, secret_scan, sharding, tokens
+from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, search, secret_scan, sharding, tokens, trie
 from lendframe.llm.common import held_out, table
 
 #: The vocabulary file of op7, below ``public_tokenizers.path``.
@@ -78,10 +78,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_line_dedup, op3_ngram_join, op4_language, op5_sharding, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing,
-    op10_fingerprints, op12_search)}
+    op10_fingerprints, op11_prefix_trie, op12_search)}

@@ -114,10 +114,30 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 WHERE rank <= 50
 """
 
+# windows of 50 bytes as 100 hexadecimal digits
+REPEATS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(x) // 2 - 49)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM w JOIN f USING (s) WHERE coalesce(doc_id, 9223372036854775807) > low),
+runs AS (SELECT r, min(p) AS s, max(p) + 50 AS e FROM (
+  SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS k FROM g) GROUP BY r, k),
+pieces AS (
+  SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS b FROM runs),
+cut AS (
+  SELECT r, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans, max(e) AS last_end,
+         string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept
+  FROM pieces JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(concat(coalesce(kept, ''), substr(x, 2 * coalesce(last_end, 0) + 1)))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op8_decontamination": DECONTAMINATION,
     "op9_mixing": MIXING,
     "op11_prefix_trie": TRIE,
     "op12_search": SEARCH,
+    "op13_suffix_dedup": REPEATS,
 }

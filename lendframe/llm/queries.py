@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, search, secret_scan, sharding, tokens, trie
+from lendframe.llm import decontam, fingerprints, language, lines, mixing, ngram_join, quality, search, secret_scan, sharding, suffixes, tokens, trie
 from lendframe.llm.common import held_out, table
 
 #: The vocabulary file of op7, below ``public_tokenizers.path``.
@@ -86,6 +86,12 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality, op2_line_dedup, op3_ngram_join, op4_language, op5_sharding, op6_secret_scan, op7_token_counts, op8_decontamination, op9_mixing,
-    op10_fingerprints, op11_prefix_trie, op12_search)}
+    op10_fingerprints, op11_prefix_trie, op12_search, op13_suffix_dedup)}

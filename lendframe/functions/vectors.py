@@ -31,3 +31,12 @@ def rbf(a, b, gamma) -> Column:
 def zeros_if_missing(v, n: int) -> Column:
     """The vector, or ``n`` zeros where it is missing (e.g. no image)."""
     return F.coalesce(_c(v), F.array_repeat(F.lit(0.0), n))
+
+
+def quantile(ordered, q: float) -> Column:
+    """The q-quantile of an ascending array, linearly interpolated; null if it is empty."""
+    v = _c(ordered)
+    at = F.lit(float(q)) * (F.size(v) - 1)
+    low = F.floor(at).cast("int")
+    below, above = F.get(v, low), F.get(v, F.least(low + 1, F.size(v) - 1))
+    return F.when(F.size(v) > 0, below + (above - below) * (at - low))

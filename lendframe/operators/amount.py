@@ -59,6 +59,43 @@ def sentences_with_currency(loans: DataFrame) -> DataFrame:
     return s.where(F.contains(F.col("sentence"), F.col("CURRENCY")))
 
 
+def rate_base(local: DataFrame, train: DataFrame | None = None, min_loan_id: int | Column | None = None) -> DataFrame:
+    """(LOAN_ID, CURRENCY, rate): local / USD of each training loan (see ``median_rate``)."""
+    if train is None:
+        base = local.where(F.col("LOAN_AMOUNT").isNotNull())
+    else:
+        base = local.join(train.select("LOAN_ID", "LOAN_AMOUNT"), "LOAN_ID")
+    if min_loan_id is not None:
+        base = base.where(F.col("LOAN_ID") > (min_loan_id if isinstance(min_loan_id, Column) else F.lit(min_loan_id)))
+    return base.select("LOAN_ID", "CURRENCY", F.try_divide(F.col(LOCAL), F.col("LOAN_AMOUNT")).alias("rate"))
+
+
+#: Size parameter of the rate sketches, and the rank error (share of a currency's loans) their
+#: medians stay within with a probability of about 99 %.
+SKETCH_K = 800
+SKETCH_RANK_ERROR = 0.0035
+
+
+def rate_sketches(base: DataFrame, id_span: int, k: int = SKETCH_K) -> DataFrame:
+    """(CURRENCY, part, n, sketch): a KLL sketch of the rates of each currency and range of ``id_span`` loan ids.
+
+    Sketches are built before the shuffle and merge: store them (``partitionBy("part")``), and newer
+    loans add new parts without reading older loans again."""
+    known = base.where(F.col("rate").isNotNull())
+    part = F.floor(F.col("LOAN_ID") / F.lit(id_span)).cast("bigint")
+    return known.groupBy("CURRENCY", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("rate", F.lit(k)).alias("sketch"))
+
+
+def sketched_median_rate(sketches: DataFrame, min_part: int | Column | None = None, k: int = SKETCH_K) -> DataFrame:
+    """(CURRENCY, n, rate) from stored sketches, optionally of parts from ``min_part`` on: a rate whose
+    rank is within about ``SKETCH_RANK_ERROR`` of the median's."""
+    if min_part is not None:
+        sketches = sketches.where(F.col("part") >= min_part)
+    merged = sketches.groupBy("CURRENCY").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return merged.select("CURRENCY", "n", F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("rate"))
+
+
 def median_rate(local: DataFrame, train: DataFrame | None = None, min_loan_id: int | Column | None = None,
                 num_partitions: int | None = None, approx_accuracy: int | None = None) -> DataFrame:
     """(CURRENCY, rate): median over training loans of local / USD.
@@ -72,13 +109,7 @@ def median_rate(local: DataFrame, train: DataFrame | None = None, min_loan_id: i
     partially aggregated before the shuffle (one pass, no range exchange),
     with rank error about 1 / accuracy of the group size.
     """
-    if train is None:
-        base = local.where(F.col("LOAN_AMOUNT").isNotNull())
-    else:
-        base = local.join(train.select("LOAN_ID", "LOAN_AMOUNT"), "LOAN_ID")
-    if min_loan_id is not None:
-        base = base.where(F.col("LOAN_ID") > (min_loan_id if isinstance(min_loan_id, Column) else F.lit(min_loan_id)))
-    base = base.select("CURRENCY", F.try_divide(F.col(LOCAL), F.col("LOAN_AMOUNT")).alias("rate"))
+    base = rate_base(local, train, min_loan_id).drop("LOAN_ID")
     if approx_accuracy:
         return (base.where(F.col("rate").isNotNull()).groupBy("CURRENCY")
                 .agg(F.percentile_approx("rate", 0.5, approx_accuracy).alias("rate")))

@@ -19,9 +19,11 @@ counts are scalar subqueries over the data), numbered inside their bucket, and
 cut into batches of ``batch_size``.  Buckets of the two sides are paired by
 their number, the longer row of buckets repeating the shorter, and so are the
 batches inside a pair of buckets: every training batch meets at least one test
-batch, and every test batch a training batch.  Kernel sums are taken per pair
-of batches, at most ``batch_size`` rows per side in one ``applyInPandas`` call
-with NumPy, and added up per training row; no pair of rows is ever a row.
+batch, and every test batch a training batch.  A batch is one row that holds its
+vectors as an array (at most ``batch_size``); two batches that meet are one row
+with both arrays, and distances, the quantile and the kernel sums are array
+functions of that row.  No pair of vectors is ever a row, and no Python runs (the
+quadratic program alone is solved in NumPy, per batch).
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.functions.fixed import KERNEL_DISTANCE_QUANTILE, WEIGHT_UPPER_BOUND
+from lendframe.functions.vectors import euclidean, quantile, rbf
 
 BATCH_SIZE = 128
 ROWS_PER_BUCKET = 8192
@@ -44,35 +47,60 @@ def _bucket_count(shift: DataFrame, is_test: bool, rows_per_bucket: int):
 
 
 def assign_batches(shift: DataFrame, batch_size: int = BATCH_SIZE,
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add ``bucket`` and ``batch`` to (vec_id, is_test, x, y)."""
+                   rows_per_bucket: int = ROWS_PER_BUCKET, epoch: int = 0) -> DataFrame:
+    """Add ``bucket`` and ``batch`` to (vec_id, is_test, x, y).  Another
+    ``epoch`` deals the rows to other buckets, so batches differ between epochs."""
     n_buckets = F.when(F.col("is_test"), _bucket_count(shift, True, rows_per_bucket)).otherwise(
         _bucket_count(shift, False, rows_per_bucket))
     with_bucket = shift.withColumn("bucket", F.pmod(
-        F.conv(F.substring(F.md5(F.concat(F.lit("0-"), F.col("vec_id").cast("string"))), 1, 8), 16, 10)
+        F.conv(F.substring(F.md5(F.concat(F.lit(f"{epoch}-"), F.col("vec_id").cast("string"))), 1, 8), 16, 10)
         .cast("bigint"), n_buckets))
     w = Window.partitionBy("is_test", "bucket").orderBy("vec_id")
     return with_bucket.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size).cast("bigint"))
 
 
-def _paired(batched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Training rows and test rows, each copied to every pair of batches that
-    its batch is part of; a pair is (bucket, batch, test_bucket, test_batch)."""
+def _blocks(batched: DataFrame, is_test: bool, prefix: str = "") -> DataFrame:
+    """One row per batch: {prefix}bucket, {prefix}batch, {prefix}rows (its vec_id and
+    x, by vec_id)."""
+    own = batched.where(F.col("is_test") == F.lit(is_test))
+    return own.groupBy(F.col("bucket").alias(f"{prefix}bucket"), F.col("batch").alias(f"{prefix}batch")).agg(
+        F.sort_array(F.collect_list(F.struct("vec_id", "x"))).alias(f"{prefix}rows"))
+
+
+def _batch_pairs(batched: DataFrame) -> DataFrame:
+    """The batches that meet: bucket, batch, test_bucket, test_batch."""
     sizes = batched.groupBy("is_test", "bucket").agg((F.max("batch") + 1).alias("n"))
     sides = [sizes.where(F.col("is_test") == t).select(F.col("bucket").alias(f"{p}bucket"), F.col("n").alias(f"_{p}n"))
              for t, p in ((False, ""), (True, "test_"))]
     counts = [sizes.where(F.col("is_test") == t).select(F.max("bucket") + 1).scalar() for t in (False, True)]
-    pairs = (sizes.select(F.col("bucket").alias("_g")).distinct()
-             .select(F.pmod("_g", counts[0]).alias("bucket"), F.pmod("_g", counts[1]).alias("test_bucket"))
-             .join(sides[0], "bucket").join(sides[1], "test_bucket")
-             .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("_n", "_test_n") - 1)))
-             .select("bucket", F.pmod("_i", "_n").alias("batch"), "test_bucket", F.pmod("_i", "_test_n").alias("test_batch")))
-    train = batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
-    # aliases: a cogroup does not tell equal columns of one source apart
-    test = batched.where(F.col("is_test")).select(
-        F.col("vec_id").alias("vec_id"), F.col("bucket").alias("test_bucket"), F.col("batch").alias("test_batch"), F.col("x").alias("x"))
-    met = pairs.select(*[F.col(c).alias(c) for c in pairs.columns])
-    return train.join(pairs, ["bucket", "batch"]), test.join(met, ["test_bucket", "test_batch"])
+    return (sizes.select(F.col("bucket").alias("_g")).distinct()
+            .select(F.pmod("_g", counts[0]).alias("bucket"), F.pmod("_g", counts[1]).alias("test_bucket"))
+            .join(sides[0], "bucket").join(sides[1], "test_bucket")
+            .withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("_n", "_test_n") - 1)))
+            .select("bucket", F.pmod("_i", "_n").alias("batch"), "test_bucket", F.pmod("_i", "_test_n").alias("test_batch")))
+
+
+def _with_width(blocks: DataFrame, q: float) -> DataFrame:
+    """Add kernel_width: the quantile of the distances of the block's vectors, null for one vector."""
+    apart = F.flatten(F.transform("rows", lambda r, i: F.transform(
+        F.slice("rows", i + 2, F.size("rows")), lambda other: euclidean(r["x"], other["x"]))))
+    return blocks.withColumn("_d", F.sort_array(apart)).withColumn("kernel_width", quantile(F.col("_d"), q)).drop("_d")
+
+
+def kernel_width(batched: DataFrame, q: float = KERNEL_DISTANCE_QUANTILE) -> DataFrame:
+    """(bucket, batch, kernel_width) per training batch."""
+    return _with_width(_blocks(batched, False), q).select("bucket", "batch", "kernel_width")
+
+
+def kernel_sums(batched: DataFrame, q: float = KERNEL_DISTANCE_QUANTILE) -> DataFrame:
+    """(vec_id, bucket, batch, k_sum, n_te): the kernel of each training row with all
+    test rows its batch meets, added up; n_te is their number."""
+    train, test = _with_width(_blocks(batched, False).where(F.size("rows") > 1), q), _blocks(batched, True, "test_")
+    met = _batch_pairs(batched).join(train, ["bucket", "batch"]).join(test, ["test_bucket", "test_batch"])
+    each = F.explode(F.transform("rows", lambda r: F.struct(r["vec_id"].alias("vec_id"), F.aggregate(
+        "test_rows", F.lit(0.0), lambda total, t: total + rbf(r["x"], t["x"], F.col("kernel_width"))).alias("k"))))
+    return (met.select("bucket", "batch", F.size("test_rows").alias("n"), each.alias("r"))
+            .groupBy(F.col("r.vec_id").alias("vec_id"), "bucket", "batch").agg(F.sum("r.k").alias("k_sum"), F.sum("n").alias("n_te")))
 
 
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -86,26 +114,6 @@ def _sq_dist(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sum(diff * diff, axis=2)
 
 
-def _width(x: np.ndarray, q: float) -> float | None:
-    n = len(x)
-    if n < 2:
-        return None
-    iu = np.triu_indices(n, k=1)
-    d = np.sqrt(_sq_dist(x, x)[iu])
-    return float(np.quantile(d, q))
-
-
-def kernel_width(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE) -> DataFrame:
-    """(bucket, batch, kernel_width) per training batch."""
-    def fn(key, pdf):
-        width = _width(_matrix(pdf.sort_values("vec_id")), quantile)
-        return pd.DataFrame({"bucket": [key[0]], "batch": [key[1]], "kernel_width": [width]})
-
-    return (batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
-            .groupBy("bucket", "batch")
-            .applyInPandas(fn, "bucket long, batch long, kernel_width double"))
-
-
 def _project_box_band(v: np.ndarray, upper: float, lo: float, hi: float) -> np.ndarray:
     """Euclidean projection onto {0 <= b <= upper, lo <= sum(b) <= hi}: clip
     v - lam, with lam = 0 if the clipped sum is inside the band, else found
@@ -153,7 +161,7 @@ def kmm_solve(k_tr: np.ndarray, kappa: np.ndarray, upper: float = WEIGHT_UPPER_B
     raise RuntimeError(f"matching weights not converged after {max_iter} steps")
 
 
-def batch_weights(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE,
+def batch_weights(batched: DataFrame, q: float = KERNEL_DISTANCE_QUANTILE,
                   upper: float = WEIGHT_UPPER_BOUND, method: str = "ratio") -> DataFrame:
     """Per training row: (vec_id, bucket, batch, kernel_width, kappa, weight).
 
@@ -163,43 +171,44 @@ def batch_weights(batched: DataFrame, quantile: float = KERNEL_DISTANCE_QUANTILE
     Without any test row, and for a training batch of one row (it has no
     kernel width), kappa is null and the weight 1.
     """
-    sums = "vec_id long, bucket long, batch long, k_sum double, n_te long"
-
-    def kernel_sums(key, tr, te):
-        # Rows reach a group in no fixed order; sorting makes every float sum
-        # of a pair run in the same order.
-        tr, te = tr.sort_values("vec_id"), te.sort_values("vec_id")
-        gamma = _width(_matrix(tr), quantile)
-        if gamma is None or not len(te):
-            return pd.DataFrame({c: [] for c in ["vec_id", "bucket", "batch", "k_sum", "n_te"]})
-        k_te = np.exp(-gamma * _sq_dist(_matrix(tr), _matrix(te)))
-        return pd.DataFrame({"vec_id": tr["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
-                             "k_sum": k_te.sum(axis=1), "n_te": len(te)})
+    if method == "kmm":
+        return _matching_weights(batched, q, upper)
+    blocks = _with_width(_blocks(batched, False), q)
+    own = blocks.select("bucket", "batch", "kernel_width", F.size("rows").alias("n_tr"), F.explode(F.transform("rows", lambda r: F.struct(
+        r["vec_id"].alias("vec_id"),
+        F.when(F.col("kernel_width").isNotNull(), F.aggregate(
+            "rows", F.lit(0.0), lambda total, o: total + rbf(r["x"], o["x"], F.col("kernel_width")))).alias("k")))).alias("r"))
+    rows = own.select(F.col("r.vec_id").alias("vec_id"), "bucket", "batch", "kernel_width", "n_tr", (F.col("r.k") / F.col("n_tr")).alias("mean_tr"))
+    met = kernel_sums(batched, q)
+    rows = rows.join(met, ["vec_id", "bucket", "batch"], "left").withColumn("mean_te", F.col("k_sum") / F.col("n_te"))
+    # a batch has at most ``batch_size`` rows
+    in_batch = Window.partitionBy("bucket", "batch")
+    ratio = F.least(F.greatest(F.col("mean_te") / F.col("mean_tr"), F.lit(0.0)), F.lit(float(upper)))
+    rows = rows.withColumn("_q", ratio).withColumns({"_total": F.sum("_q").over(in_batch), "_known": F.count("_q").over(in_batch)})
+    weighted = (F.col("_known") == F.col("n_tr")) & (F.col("_total") > 0)
+    return rows.select(
+        "vec_id", "bucket", "batch", "kernel_width", F.when(F.col("_known") == F.col("n_tr"), -F.col("n_tr") * F.col("mean_te")).alias("kappa"),
+        F.when(weighted, F.col("_q") * F.col("n_tr") / F.col("_total")).otherwise(F.lit(1.0)).alias("weight"))
+
+
+def _matching_weights(batched: DataFrame, q: float, upper: float) -> DataFrame:
+    """The weights by quadratic program: kernel sums as above, one program per batch in NumPy."""
 
     def weigh(key, tr, met):
-        rows = tr.sort_values("vec_id").merge(met[["vec_id", "k_sum", "n_te"]], on="vec_id", how="left")
+        rows = tr.sort_values("vec_id").merge(met[["vec_id", "k_sum", "n_te", "kernel_width"]], on="vec_id", how="left")
         n_tr = len(rows)
         x = _matrix(rows)
-        gamma = _width(x, quantile)
+        gamma = rows["kernel_width"].iloc[0] if n_tr else None
         kappa, weight = np.full(n_tr, np.nan), np.ones(n_tr)
-        if n_tr and gamma is not None and rows["n_te"].notna().all():
-            k_tr = np.exp(-gamma * _sq_dist(x, x))
-            mean_te = rows["k_sum"].to_numpy() / rows["n_te"].to_numpy()
-            kappa = -float(n_tr) * mean_te
-            if method == "kmm":
-                weight = kmm_solve(k_tr, kappa, upper)
-            else:
-                ratio = np.clip(mean_te / k_tr.mean(axis=1), 0.0, upper)
-                total = ratio.sum()
-                weight = ratio * n_tr / total if total > 0 else weight
+        if n_tr and rows["n_te"].notna().all():
+            kappa = -float(n_tr) * rows["k_sum"].to_numpy() / rows["n_te"].to_numpy()
+            weight = kmm_solve(np.exp(-gamma * _sq_dist(x, x)), kappa, upper)
         return pd.DataFrame({
             "vec_id": rows["vec_id"].to_numpy(), "bucket": key[0], "batch": key[1],
             "kernel_width": gamma, "kappa": kappa, "weight": weight})
 
-    pair = ["bucket", "batch", "test_bucket", "test_batch"]
-    train, test = _paired(batched)
-    met = (train.groupBy(*pair).cogroup(test.groupBy(*pair)).applyInPandas(kernel_sums, sums)
-           .groupBy("vec_id", "bucket", "batch").agg(F.sum("k_sum").alias("k_sum"), F.sum("n_te").alias("n_te")))
+    met = kernel_sums(batched, q).join(kernel_width(batched, q), ["bucket", "batch"])
+    met = met.select(*[F.col(c).alias(c) for c in met.columns])
     alone = batched.where(~F.col("is_test")).select("vec_id", "bucket", "batch", "x")
     return (alone.groupBy("bucket", "batch").cogroup(met.groupBy("bucket", "batch"))
             .applyInPandas(weigh, "vec_id long, bucket long, batch long, kernel_width double, "

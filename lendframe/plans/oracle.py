@@ -205,7 +205,7 @@ def dictionary_ctes(variables) -> str:
     return f"""
 dlong AS ({long_sql('train', variables)}),
 dfirst AS (SELECT pos, variable, value, min(LOAN_ID) AS first_id FROM dlong GROUP BY pos, variable, value),
-dict AS (SELECT row_number() OVER (ORDER BY pos, first_id) AS id, variable, value FROM dfirst),
+dict AS (SELECT row_number() OVER (ORDER BY pos, first_id, value NULLS FIRST) AS id, variable, value FROM dfirst),
 ulong AS ({long_sql('loan', variables)}),
 enc AS (SELECT u.LOAN_ID, u.variable, coalesce(d.id, 0) AS id
         FROM ulong u LEFT JOIN dict d ON u.variable = d.variable AND u.value IS NOT DISTINCT FROM d.value)"""
@@ -371,6 +371,47 @@ FROM tok"""
 # Categories
 # ---------------------------------------------------------------------------
 
+def _words_sql(expr: str) -> str:
+    return f"list_filter(string_split(coalesce({norm_sql(expr)}, ''), ' '), lambda w: w <> '')"
+
+
+TOKENS = f"""
+fields AS (SELECT LOAN_ID, LOAN_AMOUNT, 'DESCRIPTION_TRANSLATED' AS field, {_words_sql(DESC_TEXT)} AS tokens FROM loan
+           UNION ALL SELECT LOAN_ID, LOAN_AMOUNT, 'LOAN_USE' AS field, {_words_sql('LOAN_USE')} AS tokens FROM loan),
+voc AS (SELECT row_number() OVER (ORDER BY n DESC, token) + 1 AS token_id, token, n FROM (
+          SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM fields WHERE LOAN_AMOUNT IS NOT NULL) GROUP BY token))"""
+
+
+@oracle("vocabulary", "loan")
+def _vocabulary():
+    return f""", {_cte(TOKENS)}
+SELECT token_id, token, n FROM voc"""
+
+
+@oracle("token_ids", "loan")
+def _token_ids():
+    return f""", {_cte(TOKENS)},
+each AS (SELECT LOAN_ID, field, unnest(tokens[1:256]) AS token, generate_subscripts(tokens[1:256], 1) AS pos FROM fields),
+ids AS (SELECT LOAN_ID, field, list(coalesce(token_id, 1) ORDER BY pos) AS ids FROM each LEFT JOIN voc USING (token) GROUP BY LOAN_ID, field),
+padded AS (SELECT f.LOAN_ID, f.field, coalesce(ids, []) AS ids FROM fields f LEFT JOIN ids i ON i.LOAN_ID = f.LOAN_ID AND i.field = f.field)
+SELECT LOAN_ID, field, array_to_string(list_concat(ids, list_transform(range(256 - len(ids)), lambda i: 0)), ' ') AS input_ids,
+       concat(repeat('1', len(ids)), repeat('0', 256 - len(ids))) AS attention_mask FROM padded"""
+
+
+@oracle("epoch_batches", "train")
+def _epoch_batches():
+    return """, each AS (SELECT CAST(epoch AS INTEGER) AS epoch, LOAN_ID FROM train, (SELECT unnest([1, 2, 3]) AS epoch) e),
+placed AS (SELECT epoch, LOAN_ID, row_number() OVER (PARTITION BY epoch
+             ORDER BY md5('0-' || CAST(epoch AS VARCHAR) || '-' || CAST(LOAN_ID AS VARCHAR)), LOAN_ID) - 1 AS nth FROM each)
+SELECT epoch, nth // 128 AS batch, nth % 128 AS slot, LOAN_ID FROM placed"""
+
+
+@oracle("prediction_batches", "test")
+def _prediction_batches():
+    return """, placed AS (SELECT LOAN_ID, row_number() OVER (ORDER BY LOAN_ID) - 1 AS nth FROM test)
+SELECT nth // 128 AS batch, nth % 128 AS slot, LOAN_ID FROM placed"""
+
+
 @oracle("composite_categories", "loan")
 def _composite_categories():
     from lendframe.functions.fixed import COMPOSITES
@@ -596,3 +637,55 @@ cb AS (SELECT sum(w) AS category_block FROM (SELECT variable, count(*) + 2 AS w
 SELECT CAST(category_block AS BIGINT) AS category_block, CAST(2048 AS BIGINT) AS text_block,
        CAST({len(MASTER_TAGS)} AS BIGINT) AS tag_block, CAST(3 AS BIGINT) AS numeric_block,
        CAST(category_block + 2048 + {len(MASTER_TAGS)} + 3 AS BIGINT) AS width FROM cb"""
+
+
+# ---------------------------------------------------------------------------
+# Files written and read back
+# ---------------------------------------------------------------------------
+
+ORACLES["image_files"] = ORACLES["image_presence"]
+ORACLES["feature_csv_join"] = ORACLES["detection_count"]
+
+
+@oracle("ensemble_by_file_name", "test", "predictions")
+def _ensemble_by_file_name():
+    return f""", {_cte(ENSEMBLE)}
+SELECT t.LOAN_ID, round(e.LOAN_AMOUNT, {DIGITS}) AS LOAN_AMOUNT FROM test t LEFT JOIN ens e ON t.LOAN_ID = e.LOAN_ID"""
+
+
+@oracle("epoch_outputs", "predictions")
+def _epoch_outputs():
+    return f"""SELECT CAST(model_id AS INTEGER) AS epoch, LOAN_ID, round(CASE WHEN model_id = 9 THEN 2 ELSE 1 END * LOAN_AMOUNT, {DIGITS}) AS LOAN_AMOUNT
+FROM predictions WHERE model_id BETWEEN 8 AND 10"""
+
+
+@oracle("training_metrics", "train", "predictions")
+def _training_metrics():
+    return f"""SELECT CAST(p.model_id AS INTEGER) AS epoch, count(t.LOAN_AMOUNT) AS n, round(avg(abs(t.LOAN_AMOUNT - p.LOAN_AMOUNT)), {DIGITS}) AS mae,
+  round(stddev_pop(abs(t.LOAN_AMOUNT - p.LOAN_AMOUNT)), {DIGITS}) AS std
+FROM predictions p LEFT JOIN train t ON p.LOAN_ID = t.LOAN_ID WHERE p.model_id BETWEEN 8 AND 10 GROUP BY p.model_id"""
+
+
+ORACLES["metrics_log"] = f"SELECT m.*, r.run FROM ({ORACLES['running_mae']}) m, (SELECT unnest(['first', 'second']) AS run) r"
+
+
+@oracle("scan_csv_rejects", "loan")
+def _scan_csv_rejects():
+    return f"""SELECT CASE WHEN LOAN_ID % 17 <> 0 AND LOAN_ID % 19 = 0 THEN concat('x', LOAN_ID) ELSE CAST(LOAN_ID AS VARCHAR) END AS record, reason,
+  CASE WHEN reason = 'ok' THEN LOAN_ID END AS LOAN_ID, CASE WHEN reason = 'ok' THEN round(LOAN_AMOUNT, {DIGITS}) END AS LOAN_AMOUNT
+FROM (SELECT *, CASE WHEN LOAN_ID % 17 = 0 THEN 'fields' WHEN LOAN_ID % 19 = 0 THEN 'LOAN_ID' WHEN LOAN_ID % 23 = 0 THEN 'LOAN_AMOUNT'
+                     WHEN LOAN_ID % 29 = 0 THEN 'fields' ELSE 'ok' END AS reason FROM loan)"""
+
+
+@oracle("median_rate_sketched", "train")
+def _median_rate_sketched():
+    return f""", {_cte(LOCAL_V1)}
+SELECT lo.CURRENCY, count(lo.LOAN_AMOUNT_LOCAL / t.LOAN_AMOUNT) AS n, CAST(1 AS INTEGER) AS within
+FROM local1 lo JOIN train t ON lo.LOAN_ID = t.LOAN_ID GROUP BY lo.CURRENCY HAVING n > 0"""
+
+
+@oracle("encode_text", "loan")
+def _encode_text():
+    return f""", x AS (SELECT LOAN_ID, coalesce({norm_sql(DESC_TEXT)}, '') AS t FROM loan)
+SELECT LOAN_ID, length(t) AS n_chars, CAST(len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS BIGINT) AS n_words,
+       length(regexp_replace(t, '[^0-9]', '', 'g')) AS n_digits, CAST(len(list_distinct(string_split(t, ''))) AS BIGINT) AS n_distinct FROM x"""

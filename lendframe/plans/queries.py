@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lendframe.functions import fixed
 from lendframe.functions import text as TX
 from lendframe.operators import amount as A
+from lendframe.operators import batches as B
 from lendframe.operators import category as C
 from lendframe.operators import ensemble as E
 from lendframe.operators import images as IMG
@@ -25,6 +26,7 @@ from lendframe.operators import model as MD
 from lendframe.operators import shift as SH
 from lendframe.operators import tags as TAGS
 from lendframe.operators import target as TG
+from lendframe.operators import tokens as TK
 from lendframe.sources import files as FILES
 from lendframe.sources import fixtures as fx
 from lendframe.sources.tables import write_and_read
@@ -104,6 +106,25 @@ def median_rate_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate.select("CURRENCY", _r("rate", 6).alias("rate"))
 
 
+@query
+def median_rate_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median rates from sketches stored by ranges of loan ids (written in two goes, the second as a new
+    day of loans): for each currency, its rates and whether the exact rank of the sketch's median
+    lies within four times the sketch's rank error (1) or not (0)."""
+    base = reuse(A.rate_base(A.extract_local_amount(fx.loan(spark, sf_dir), 1, keep=["LOAN_AMOUNT"])))
+    path, cut = FILES.scratch_path(spark, "rate-sketches"), fx.recent_cutoff(spark, sf_dir)
+    span = 500
+    old = F.floor(F.col("LOAN_ID") / span) <= F.floor(cut / span)
+    for rows in (base.where(old), base.where(~old)):
+        A.rate_sketches(rows, span).write.mode("append").partitionBy("part").parquet(path)
+    found = A.sketched_median_rate(spark.read.parquet(path)).withColumnRenamed("rate", "_median")
+    known = base.where(F.col("rate").isNotNull()).join(found, "CURRENCY")
+    ranks = known.groupBy("CURRENCY", "n").agg(F.avg((F.col("rate") < F.col("_median")).cast("double")).alias("low"),
+                                               F.avg((F.col("rate") <= F.col("_median")).cast("double")).alias("high"))
+    off = F.lit(4 * A.SKETCH_RANK_ERROR)
+    return ranks.select("CURRENCY", "n", ((F.col("low") <= 0.5 + off) & (F.col("high") >= 0.5 - off)).cast("int").alias("within"))
+
+
 @query
 def convert_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, desc = _recent_desc(spark, sf_dir, fx.loan(spark, sf_dir))
@@ -149,6 +170,58 @@ def ensemble_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mean.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
 
 
+@query
+def ensemble_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ensemble over the loans of a sample submission file, from one prediction file a
+    model, read in one scan; the model is known by the file's name."""
+    loans = fx.loan(spark, sf_dir)
+    folder, sample = FILES.scratch_path(spark, "named-predictions"), FILES.scratch_path(spark, "sample-submission")
+    paths = fx.write_prediction_files(fx.predictions(spark, sf_dir, loans), folder)
+    FILES.write_csv(fx.test(loans).select("LOAN_ID", F.lit(0.0).alias("LOAN_AMOUNT")), sample)
+    scaffold = FILES.read_feature_csv(spark, sample, "LOAN_ID long, LOAN_AMOUNT double").select("LOAN_ID")
+    mean = E.ensemble_mean(FILES.read_predictions(spark, paths), n_models=len(paths))
+    return scaffold.join(mean, "LOAN_ID", "left").select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+# ---------------------------------------------------------------------------
+# Per-epoch outputs and metrics
+# ---------------------------------------------------------------------------
+
+def _epoch_predictions(spark, sf_dir):
+    """The sixteen prediction sets as epochs 0 to 15 of one model."""
+    return fx.predictions(spark, sf_dir).withColumnRenamed("model_id", "epoch")
+
+
+@query
+def epoch_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs 8 to 10 written, epoch 9 written again with other amounts, all read back."""
+    preds, path = _epoch_predictions(spark, sf_dir), FILES.scratch_path(spark, "epochs")
+    FILES.write_epoch_outputs(preds, path)
+    FILES.write_epoch_outputs(preds.where("epoch = 9").withColumn("LOAN_AMOUNT", F.col("LOAN_AMOUNT") * 2), path)
+    return FILES.read_epoch_outputs(spark, path).select("epoch", "LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+@query
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of each kept epoch, observed in the pass that writes its predictions."""
+    truth = fx.train(fx.loan(spark, sf_dir)).select("LOAN_ID", F.col("LOAN_AMOUNT").alias("y"))
+    preds = _epoch_predictions(spark, sf_dir).where(F.col("epoch").isin(*fixed.KEPT_EPOCHS)).join(truth, "LOAN_ID", "left")
+    path = FILES.scratch_path(spark, "observed-epochs")
+    seen = M.observe_epochs(preds, "y", "LOAN_AMOUNT", fixed.KEPT_EPOCHS, lambda rows: FILES.write_epoch_outputs(rows.drop("y"), path))
+    return seen.select("epoch", "n", _r("mae").alias("mae"), _r("std").alias("std"))
+
+
+@query
+def metrics_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running errors of two runs appended to a log; the first run is appended
+    twice, as a retried job would."""
+    path = FILES.scratch_path(spark, "metrics-log")
+    rows = running_mae(spark, sf_dir)
+    for run in ("first", "first", "second"):
+        FILES.append_metrics(rows.withColumn("run", F.lit(run)), path)
+    return spark.read.parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # Sentences
 # ---------------------------------------------------------------------------
@@ -192,6 +265,18 @@ def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.withColumn("CURRENCY_EXCHANGE_COVERAGE_RATE", _r("CURRENCY_EXCHANGE_COVERAGE_RATE"))
 
 
+@query
+def scan_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loan CSV with broken records: every record is a loan (reason ``ok``) or is
+    rejected with its reason; ``record`` is its first field as it stands in the file."""
+    path = FILES.scratch_path(spark, "broken-csv")
+    fx.loan_csv_lines(fx.loan(spark, sf_dir), FILES.LOAN_COLUMNS).write.text(path)
+    loans, rejects = FILES.read_loans_csv_checked(spark, path, header=False)
+    good = loans.select(F.col("LOAN_ID").cast("string").alias("record"), F.lit("ok").alias("reason"), "LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+    bad = rejects.select(F.regexp_extract("record", "^([^,]*)", 1).alias("record"), F.array_join("reasons", ",").alias("reason"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 @query
 def coalesce_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.loan(spark, sf_dir).select("LOAN_ID", TX.fill_description().alias("DESCRIPTION_TRANSLATED"))
@@ -233,6 +318,53 @@ def token_window(spark: SparkSession, sf_dir: str, max_len: int = 256) -> DataFr
         F.when(n > 0, F.element_at(window, F.greatest(n, F.lit(1)))).alias("last_token"))
 
 
+def _token_fields(loans: DataFrame) -> DataFrame:
+    """(LOAN_ID, LOAN_AMOUNT, field, tokens): the words of each normalised text field."""
+    fields = zip(MD.TEXT_FIELDS, MD.text_columns(loans))
+    return loans.select("LOAN_ID", "LOAN_AMOUNT", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("field"), words.alias("tokens")) for name, words in fields])).alias("t")).select(
+            "LOAN_ID", "LOAN_AMOUNT", "t.field", "t.tokens")
+
+
+@query
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids fitted over both text fields of all training loans."""
+    fields = _token_fields(fx.loan(spark, sf_dir))
+    return TK.fit_vocabulary(fields.where(F.col("LOAN_AMOUNT").isNotNull()), ["tokens"])
+
+
+@query
+def token_ids(spark: SparkSession, sf_dir: str, max_len: int = 256) -> DataFrame:
+    """Padded token ids and mask of every loan and text field (as text), by the
+    vocabulary of the training loans."""
+    fields = _token_fields(fx.loan(spark, sf_dir))
+    words = TK.fit_vocabulary(fields.where(F.col("LOAN_AMOUNT").isNotNull()), ["tokens"])
+    ids = TK.token_ids(fields, ["LOAN_ID", "field"], "tokens", words, max_len)
+    return ids.select("LOAN_ID", "field", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"),
+                      F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("attention_mask"))
+
+
+# ---------------------------------------------------------------------------
+# Mini-batches
+# ---------------------------------------------------------------------------
+
+TRAIN_BATCH = 128
+EPOCHS = [1, 2, 3]
+
+
+@query
+def epoch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training batches of three epochs, another order in each."""
+    rows = fx.train(fx.loan(spark, sf_dir)).select("LOAN_ID")
+    return B.epoch_batches(rows, "LOAN_ID", EPOCHS, TRAIN_BATCH)
+
+
+@query
+def prediction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered batches of the loans to predict."""
+    return B.ordered_batches(fx.test(fx.loan(spark, sf_dir)).select("LOAN_ID"), "LOAN_ID", TRAIN_BATCH)
+
+
 # ---------------------------------------------------------------------------
 # Categories
 # ---------------------------------------------------------------------------
@@ -375,6 +507,26 @@ def join_additional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "LOAN_AMOUNT_DESC_LOG_Z_isna")
 
 
+@query
+def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image lookup through the file system: the images are written as files, their folder
+    is listed (paths only, no content is read), and a loan whose file is missing gets 0."""
+    loans = fx.loan(spark, sf_dir)
+    folder = FILES.scratch_path(spark, "images")
+    fx.write_image_files(fx.images(spark, sf_dir, loans), folder)
+    return IMG.image_presence(loans, IMG.image_ids_from_files(FILES.list_image_files(spark, folder)))
+
+
+@query
+def feature_csv_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The face counts written as a feature CSV, read back and left-joined to the loans."""
+    loans = fx.loan(spark, sf_dir)
+    path = FILES.scratch_path(spark, "num-faces")
+    FILES.write_csv(IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir)), path)
+    faces = FILES.read_feature_csv(spark, path, "LOAN_ID long, NUM_FACES int")
+    return loans.select("LOAN_ID").join(faces, "LOAN_ID", "left")
+
+
 # ---------------------------------------------------------------------------
 # Covariate shift (bounded batches)
 # ---------------------------------------------------------------------------
@@ -495,6 +647,20 @@ def text_hash_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.select("LOAN_ID", n_words.alias("n_words"), n_buckets.alias("n_buckets"), *out)
 
 
+def _character_encoder():
+    """A text encoder without a model: characters, words, digits and distinct characters."""
+    return lambda texts: [[len(t), len(t.split()), sum(c in "0123456789" for c in t), len(set(t))] for t in texts]
+
+
+@query
+def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoder hook over the normalised descriptions: a vector of fixed size from an encoder that each worker loads once."""
+    text = _normalized(spark, sf_dir, True).select("LOAN_ID", F.coalesce("DESCRIPTION_TRANSLATED", F.lit("")).alias("text"))
+    encoded = MD.encode_text(text, "text", "vector", 4, _character_encoder, "characters")
+    names = ["n_chars", "n_words", "n_digits", "n_distinct"]
+    return encoded.select("LOAN_ID", *[F.get("vector", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(names)])
+
+
 @query
 def holdout_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout error in USD (rows-only check): the pipeline is fitted on the
@@ -523,3 +689,18 @@ def regress_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
                              NUMERIC_FEATURES)
     pred = MD.predict_amount(model, features.where(F.col("LOAN_AMOUNT").isNull()), train)
     return pred.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+@query
+def predict_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``regress_predict``, but the pipeline is saved with the target's statistics, loaded
+    again and applied without the training table (rows-only check: Spark ML values)."""
+    from lendframe.session import ensure_checkpoint_dir
+    _, train, _, features = _features(spark, sf_dir)
+    ensure_checkpoint_dir(spark)
+    features = features.checkpoint()
+    model = MD.fit_regressor(features.where(F.col("LOAN_AMOUNT").isNotNull()), MD.id_columns(), NUMERIC_FEATURES)
+    path = FILES.scratch_path(spark, "model")
+    FILES.save_model(MD.with_denormalizer(model, train), path)
+    pred = MD.predict_with(FILES.load_pipeline_model(path), features.where(F.col("LOAN_AMOUNT").isNull()))
+    return pred.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))

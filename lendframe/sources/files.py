@@ -14,6 +14,8 @@ Multi-line CSV cannot be split inside a file; convert it once to parquet
 
 from __future__ import annotations
 
+import atexit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,13 +52,15 @@ def apply_null_tokens(df: DataFrame, columns=None, tokens=None) -> DataFrame:
                        for c in df.columns])
 
 
+#: Columns that are numbers, and their types.
+LOAN_NUMBERS = {"LOAN_ID": "bigint", "IMAGE_ID": "bigint", "LOAN_AMOUNT": "double", "CURRENCY_EXCHANGE_COVERAGE_RATE": "double"}
+
+
 def type_loans(raw: DataFrame) -> DataFrame:
     """Text loan table -> typed loan table (null tokens applied first;
     ``try_cast`` so a malformed number is null, not a failed job)."""
     df = apply_null_tokens(raw, list(raw.columns))
-    casts = {"LOAN_ID": "bigint", "IMAGE_ID": "bigint", "LOAN_AMOUNT": "double",
-             "CURRENCY_EXCHANGE_COVERAGE_RATE": "double"}
-    return df.select(*[F.col(c).try_cast(casts[c]).alias(c) if c in casts else F.col(c)
+    return df.select(*[F.col(c).try_cast(LOAN_NUMBERS[c]).alias(c) if c in LOAN_NUMBERS else F.col(c)
                        for c in df.columns])
 
 
@@ -68,6 +72,32 @@ def read_loans_csv(spark: SparkSession, path, with_target: bool = True) -> DataF
     return type_loans(raw)
 
 
+#: Name of the column that holds a record the CSV reader could not split.
+RECORD = "_record"
+
+
+def read_loans_csv_checked(spark: SparkSession, path, with_target: bool = True, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(loans, rejects): the typed rows of a loan CSV, and the records that are not loans.
+
+    A record is rejected when it has not as many fields as there are columns (reason ``fields``), when a
+    number column holds something else (reason: the column's name), or without LOAN_ID; ``rejects``
+    has (record, reasons).  Every record is in one of the two."""
+    columns = [c for c in LOAN_COLUMNS if with_target or c != "LOAN_AMOUNT"]
+    schema = T.StructType([*loan_schema(with_target).fields, T.StructField(RECORD, T.StringType())])
+    raw = (spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"')
+           .option("nullValue", None).option("emptyValue", "").option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", RECORD).csv(path))
+    clean = apply_null_tokens(raw, columns)
+    numbers = [c for c in LOAN_NUMBERS if c in columns]
+    reasons = F.when(F.col(RECORD).isNotNull(), F.array(F.lit("fields"))).otherwise(F.filter(F.array(*[
+        F.when(F.col(c).try_cast(LOAN_NUMBERS[c]).isNull() & (F.col(c).isNotNull() | F.lit(c == "LOAN_ID")), F.lit(c)) for c in numbers]),
+        lambda r: r.isNotNull()))
+    judged = clean.withColumn("reasons", reasons)
+    record = F.coalesce(F.col(RECORD), F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}))
+    loans = judged.where(F.size("reasons") == 0).select(*[F.col(c).try_cast(LOAN_NUMBERS[c]).alias(c) if c in numbers else F.col(c) for c in columns])
+    return loans, judged.where(F.size("reasons") > 0).select(record.alias("record"), "reasons")
+
+
 def write_loans_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
     """Loan rows as CSV the way a pandas writer lays them out: a header,
     fields quoted when needed, quotes doubled inside quotes, nulls empty,
@@ -75,15 +105,38 @@ def write_loans_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
     write_csv(df, out, mode)
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint folder (the cluster's
     shared ``spark.checkpoint.dir``), for intermediate files a job writes and
-    reads back."""
+    reads back.  Deleted when the program ends."""
     import os
     import uuid
 
     from lendframe.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _SCRATCH.append((spark, path))
+    return path
+
+
+@atexit.register
+def _delete_scratch() -> None:
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        sc = spark.sparkContext
+        try:
+            if sc._jsc is not None and not sc._jsc.sc().isStopped():
+                delete_path(spark, path)
+        except Exception:  # the JVM is gone already; nothing can be deleted through it
+            return
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote and has read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def csv_to_parquet(spark: SparkSession, path, out: str, with_target: bool = True) -> DataFrame:
@@ -135,15 +188,30 @@ def write_csv(df: DataFrame, out: str, mode: str = "overwrite") -> None:
 
 
 def write_epoch_outputs(df: DataFrame, out: str, epochs=None) -> None:
-    """Keep the chosen epochs and write one folder per epoch."""
+    """Keep the chosen epochs and write one CSV folder per epoch (``epoch=8/``).  Only the epochs
+    that ``df`` holds are replaced: writing epoch 9 again leaves 8 and 10 as they are."""
     keep = epochs or KEPT_EPOCHS
-    (df.where(F.col("epoch").isin(*keep)).write.mode("overwrite")
-     .partitionBy("epoch").parquet(out))
-
-
-def append_metrics(df: DataFrame, out: str) -> None:
-    """Append rows to a metrics log table (parquet)."""
-    df.write.mode("append").parquet(out)
+    (df.where(F.col("epoch").isin(*keep)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("header", True).partitionBy("epoch").csv(out))
+
+
+def read_epoch_outputs(spark: SparkSession, out: str) -> DataFrame:
+    """(epoch, LOAN_ID, LOAN_AMOUNT) of a folder written by ``write_epoch_outputs``."""
+    return (spark.read.schema("LOAN_ID long, LOAN_AMOUNT double, epoch int").option("header", True).csv(out)
+            .select("epoch", "LOAN_ID", "LOAN_AMOUNT"))
+
+
+def append_metrics(df: DataFrame, out: str, key=("run", "epoch", "step")) -> None:
+    """Append rows to a metrics log (Parquet).  A row whose ``key`` (null-safe) the log has already is not written
+    again, so a retried job adds nothing; of rows of ``df`` with one key, one is written.  One writer at a time."""
+    spark, key = df.sparkSession, list(key)
+    new = df.dropDuplicates(key)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        held = spark.read.schema(df.schema).parquet(out).select(*[F.col(c).alias(f"_held_{c}") for c in key])
+        same = [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in key]
+        new = new.join(held, [c for c in same], "left_anti")
+    new.write.mode("append").parquet(out)
 
 
 def save_model(model, out: str) -> None:

@@ -13,6 +13,8 @@ DuckDB oracle) lives in ``lendframe.plans.oracle``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,3 +183,55 @@ def shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emb.select("vec_id", (F.col("vec_id") % 5 == 4).alias("is_test"),
                       F.col("embedding").cast("array<double>").alias("x"),
                       F.col("label").cast("double").alias("y"))
+
+
+def _open_folder(folder: str):
+    """The file system of a folder and the folder's path in it (also called in tasks)."""
+    from pyarrow import fs
+    system, base = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder) if folder.startswith("file:") else folder)
+    system.create_dir(base, recursive=True)
+    return system, base
+
+
+def write_image_files(images: DataFrame, folder: str) -> int:
+    """Stand-in image folder: a small file ``{IMAGE_ID}.jpg`` for every row, written by
+    the tasks.  Returns how many."""
+    def write(batches):
+        import pyarrow as pa
+        system, base = _open_folder(folder)
+        for batch in batches:
+            for image_id in batch.column(0).to_pylist():
+                with system.open_output_stream(f"{base}/{image_id}.jpg") as out:
+                    out.write(b"\xff\xd8\xff\xd9")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return images.select("IMAGE_ID").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_prediction_files(predictions: DataFrame, folder: str) -> list[str]:
+    """Stand-in prediction files as the original names them: one CSV file a model, ``model_07.csv``.
+    Returns their paths."""
+    def write(key, table):
+        import pyarrow as pa
+        from pyarrow import csv
+        system, base = _open_folder(folder)
+        name = f"model_{key[0].as_py():02d}.csv"
+        with system.open_output_stream(f"{base}/{name}") as out:
+            csv.write_csv(table.select(["LOAN_ID", "LOAN_AMOUNT"]), out)
+        return pa.table({"name": [name]})
+
+    rows = predictions.select("model_id", "LOAN_ID", F.col("LOAN_AMOUNT").cast("double").alias("LOAN_AMOUNT"))
+    names = rows.groupBy("model_id").applyInArrow(write, "name string").collect()  # one row a model
+    return [f"{folder}/{r.name}" for r in sorted(names)]
+
+
+def loan_csv_lines(loans: DataFrame, columns) -> DataFrame:
+    """Stand-in loan CSV records (one text column, no header), some of them broken: a field
+    too many, a LOAN_ID or an amount that is no number, a record cut short."""
+    line = F.to_csv(F.struct(*columns), {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    lid = F.col("LOAN_ID")
+    bad_id = F.to_csv(F.struct(*[F.concat(F.lit("x"), lid.cast("string")).alias(c) if c == "LOAN_ID" else F.col(c) for c in columns]), {"escape": '"'})
+    bad_amount = F.to_csv(F.struct(*[F.lit("abc").alias(c) if c == "LOAN_AMOUNT" else F.col(c) for c in columns]), {"escape": '"'})
+    return loans.select(
+        F.when(lid % 17 == 0, F.concat(line, F.lit(",one more"))).when(lid % 19 == 0, bad_id).when(lid % 23 == 0, bad_amount)
+        .when(lid % 29 == 0, F.concat(lid.cast("string"), F.lit(",cut"))).otherwise(line).alias("value"))

@@ -49,22 +49,72 @@ def test_file_names_and_epoch_suffix(spark):
     assert (r["f"], r["e"]) == ("7.jpg", "epoch08")
 
 
-def test_epoch_outputs_keep_epochs_8_to_10(spark, scratch):
+def test_epoch_outputs_keep_epochs_8_to_10_and_replace_only_what_is_written_again(spark, scratch):
     preds = fx.predictions(spark, SF_SMALL).select(
         (F.col("model_id") % 11).cast("int").alias("epoch"), "LOAN_ID", "LOAN_AMOUNT")
     out = os.path.join(scratch, "submit")
     FILES.write_epoch_outputs(preds, out)
     assert sorted(d for d in os.listdir(out) if d.startswith("epoch=")) == ["epoch=10", "epoch=8", "epoch=9"]
-    back = spark.read.parquet(out)
-    assert back.where("epoch = 9").count() == preds.where("epoch = 9").count()
+    before = {e: sorted(os.listdir(os.path.join(out, f"epoch={e}"))) for e in (8, 9, 10)}
+    FILES.write_epoch_outputs(preds.where("epoch = 9").limit(5), out)
+    after = {e: sorted(os.listdir(os.path.join(out, f"epoch={e}"))) for e in (8, 9, 10)}
+    assert after[8] == before[8] and after[10] == before[10] and after[9] != before[9]
+    back = FILES.read_epoch_outputs(spark, out)
+    assert back.where("epoch = 9").count() == 5 and back.where("epoch = 8").count() == preds.where("epoch = 8").count()
 
 
-def test_metrics_log_appends(spark, scratch):
+def test_a_retried_append_adds_nothing_to_the_metrics_log(spark, scratch):
     out = os.path.join(scratch, "metrics")
-    r = QUERIES["running_mae"](spark, SF_SMALL)
-    FILES.append_metrics(r, out)
-    FILES.append_metrics(r, out)
-    assert spark.read.parquet(out).count() == 2 * r.count()
+    log = lambda rows: spark.createDataFrame(rows, "run string, epoch long, step long, mae double")
+    FILES.append_metrics(log([("a", 1, 10, 0.5), ("a", 1, 20, 0.4), ("a", 1, 20, 0.4)]), out)
+    FILES.append_metrics(log([("a", 1, 10, 0.5), ("a", 1, 20, 0.4)]), out)
+    FILES.append_metrics(log([("a", 1, 20, 9.9), ("a", 1, 30, 0.3), ("b", None, 10, 0.7)]), out)
+    FILES.append_metrics(log([("b", None, 10, 0.7)]), out)
+    FILES.append_metrics(log([]), out)
+    assert sorted(map(repr, map(tuple, spark.read.parquet(out).collect()))) == sorted(map(repr, [
+        ("a", 1, 10, 0.5), ("a", 1, 20, 0.4), ("a", 1, 30, 0.3), ("b", None, 10, 0.7)]))
+
+
+def test_every_record_of_a_broken_csv_is_a_loan_or_a_reject(spark, scratch):
+    lines = ["1,100.5," + "," * 15, "x2,100.5," + "," * 15, "3,abc," + "," * 15, "4,5", "5,6," + "," * 15 + ",more", "NA,7," + "," * 15,
+             '8,9,"two\nlines, and a ""quote""",' + "," * 14, "9,NA," + "," * 15]
+    path = os.path.join(scratch, "loans.csv")
+    with open(path, "w") as f:
+        f.write(",".join(FILES.LOAN_COLUMNS) + "\n" + "\n".join(lines) + "\n")
+    loans, rejects = FILES.read_loans_csv_checked(spark, path)
+    assert {r.LOAN_ID: r.LOAN_AMOUNT for r in loans.collect()} == {1: 100.5, 8: 9.0, 9: None}
+    assert loans.where("LOAN_ID = 8").first().DESCRIPTION == 'two\nlines, and a "quote"'
+    found = sorted((r.reasons, r.record.split(",")[0]) for r in rejects.collect())
+    assert found == [(["LOAN_AMOUNT"], "3"), (["LOAN_ID"], ""), (["LOAN_ID"], "x2"), (["fields"], "4"), (["fields"], "5")]
+
+
+def test_image_listing_of_a_query_reads_no_content(spark):
+    df = QUERIES["image_files"](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "binaryFile" in line.lower() or "ReadSchema" in line and "path" in line]
+    assert scans and not any("content" in line for line in scans)
+    assert df.where("has_image = 1").count() == fx.images(spark, SF_SMALL).count()
+
+
+def test_metrics_are_observed_in_the_pass_that_writes(spark, scratch):
+    from lendframe.operators import metrics as M
+    rows = spark.createDataFrame([(8, 1, 10.0, 12.0), (8, 2, None, 1.0), (8, 3, 5.0, 1.0), (9, 1, 10.0, 10.0)], "epoch int, LOAN_ID long, y double, p double")
+    written = []
+    seen = M.observe_epochs(rows, "y", "p", [8, 9, 10], lambda df: (df.write.parquet(os.path.join(scratch, "out")), written.append(1)))
+    assert [tuple(r) for r in seen.orderBy("epoch").collect()] == [(8, 2, 3.0, 1.0), (9, 1, 0.0, 0.0), (10, 0, None, None)]
+    assert written == [1] and spark.read.parquet(os.path.join(scratch, "out")).count() == 4
+
+
+def test_scratch_is_deleted_at_exit(spark):
+    path = FILES.scratch_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.exists(local)
+    held = list(FILES._SCRATCH)
+    FILES._SCRATCH[:] = [h for h in held if h[1] == path]
+    FILES._delete_scratch()
+    FILES._SCRATCH[:] = [h for h in held if h[1] != path]
+    assert not os.path.exists(local)
 
 
 def test_model_snapshot_save_and_load(spark, scratch):

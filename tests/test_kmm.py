@@ -85,10 +85,11 @@ def test_every_training_row_meets_test_rows_when_those_are_few(spark):
 
 def test_every_test_row_is_met_when_those_are_many(spark):
     batched = _sides(spark, 40, 1000)
-    train, test = SH._paired(batched)
-    keys = ["bucket", "batch", "test_bucket", "test_batch"]
-    met = train.select(*keys).distinct().join(test, keys)
-    assert met.select("vec_id").distinct().count() == 1000
+    pairs = SH._batch_pairs(batched)
+    train, test = SH._blocks(batched, False), SH._blocks(batched, True, "test_")
+    met = pairs.join(train, ["bucket", "batch"]).join(test, ["test_bucket", "test_batch"])
+    assert met.select(F.explode("test_rows.vec_id")).distinct().count() == 1000
+    assert met.select(F.explode("rows.vec_id")).distinct().count() == 40
     assert SH.batch_weights(batched).where("kappa is null").count() == 0
 
 
@@ -101,3 +102,16 @@ def test_sums_over_several_test_batches_equal_brute_force(spark):
     want = [-12 / 200 * sum(np.exp(-gamma * np.sum((a - b) ** 2)) for b in t) for a in x]
     got = SH.batch_weights(batched).toPandas().sort_values("vec_id")["kappa"]
     np.testing.assert_allclose(got, want, rtol=1e-9)
+
+
+def test_pair_products_run_without_python_and_without_pair_rows(spark):
+    batched = _sides(spark, 300, 300)
+    for df in (SH.kernel_sums(batched), SH.kernel_width(batched), SH.batch_weights(batched)):
+        plan = df._jdf.queryExecution().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def test_another_epoch_deals_other_batches(spark):
+    rows = fx.shift(spark, SF_SMALL)
+    a, b = (SH.assign_batches(rows, 8, 16, epoch=e).select("vec_id", "bucket").collect() for e in (0, 1))
+    assert len(a) == len(b) and {tuple(r) for r in a} != {tuple(r) for r in b}

@@ -7,7 +7,7 @@ every byte; here only suffixes that can have an earlier match are sorted:
 
 1. Every window has an anchor: of its ``GRAM``-byte strings the one with the
    smallest hash (the leftmost of equals).  Equal windows have equal anchors, about one
-   byte in 18 is one.  The run of windows with one anchor, and its bytes, is a snippet.
+   byte in 14 begins one.  The run of windows with one anchor, and its bytes, is a snippet.
 2. (anchor, text) pairs are range-partitioned and streamed in order: what is left
    are the anchors that two different texts have.  A hot anchor is spread over
    partitions; a run that touches a partition's end is kept, which only adds work.
@@ -44,7 +44,8 @@ from lendframe.llm import shingles as S
 from lendframe.llm.common import col, list_array, release, slices, stage, staged, texts
 
 WINDOW = 50
-GRAM = 16
+#: Bytes of an anchor, a multiple of 8.  Longer ones are shared by chance less often, and lie closer together.
+GRAM = 24
 #: Distinct snippets of one anchor that one suffix array takes.
 BUCKET_ROWS = 4096
 #: Suffixes sorted at once (whole buckets).
@@ -57,9 +58,10 @@ _LAST = (1 << 63) - 1
 def _grams(buf: np.ndarray) -> np.ndarray:
     """64-bit hash of the ``GRAM`` bytes from each position."""
     n = len(buf) - GRAM + 1
-    low = np.ndarray((n,), "<u8", buf, 0, (1,))
-    high = np.ndarray((n,), "<u8", buf, 8, (1,))
-    return S.mix(S.mix(low ^ np.uint64(0xD1B54A32D192ED03)) + high)
+    h = np.full(n, 0xD1B54A32D192ED03, np.uint64)
+    for at in range(0, GRAM, 8):
+        h = S.mix(h + np.ndarray((n,), "<u8", buf, at, (1,)))
+    return h
 
 
 def _lowest(key: np.ndarray, width: int) -> np.ndarray:
@@ -195,7 +197,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_pydict({"anchor": pa.array([held[0]], pa.int64()), "h": pa.array([held[1]], pa.int64())})
 
-    salt = F.xxhash64(F.lit(3), "d").bitwiseAND(0xFFFF).cast("int").alias("salt")
+    salt = F.xxhash64(F.lit(3), "d").bitwiseAND(0xFF).cast("int").alias("salt")
     pairs = rows.select("h", salt, "text").mapInArrow(emit, "anchor long, h long, salt int")
     ordered = pairs.repartitionByRange("anchor", "h", "salt").sortWithinPartitions("anchor", "h")
     return ordered.mapInArrow(repeated, "anchor long, h long")
@@ -369,7 +371,9 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     if buckets.where(~few).head(1):
         matches = matches.unionByName(_window_matches(buckets.where(~few)))
     matches = stage(matches, "matches")
-    verdicts = distinct.drop("bytes").join(matches, key, "left").where("first < last or starts is not null").drop("last")
+    # written, so that the join below sees two shuffles and a hot snippet's side is split
+    verdicts = stage(distinct.drop("bytes").join(matches, key, "left").where("first < last or starts is not null").drop("last"), "verdicts")
+    release([x for x in staged() if x not in known and any(n in x[1] for n in ("distinct-snippets", "buckets", "matches"))])
 
     begin = F.col("start")
     whole = F.array(F.struct(begin.alias("s"), (begin + F.col("size")).alias("e")))

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
 from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, merge_vectors, release, slices, stage, staged, texts
-from lendframe.llm.components import connected_components
+from lendframe.llm.components import connected_components, merged_components
 
 ORDER_BITS = 19
 MAX_MATCHES = 4
@@ -213,12 +213,38 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
     return links
 
 
+def open_pairs(posts: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (u, v) of doc_ids in different components that share enough of their prefix shingles, by
+    length and position bounds, to reach the threshold; no other pair can.
+
+    ``posts``: doc_id, n, matches, pos, token, component."""
+    # how many shingles ahead of this one any other document has at all
+    ahead = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    found = stage(posts.withColumn("ahead", ahead).join(mixed, "token", "left_semi"), "open-postings")
+    side = lambda x: found.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "ahead", "component")])
+    a, b = side("a"), side("b")
+    # the first m shared shingles (m = matches asked for) all pass these bounds in a linked pair
+    shared_before = F.least("ahead_a", "ahead_b", F.least("matches_a", "matches_b") - 1)
+    bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos") for x in ("a", "b")], shared_before, t)
+    pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds)
+    asked = stage(pairs.groupBy(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).agg(
+        F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("needed")).where("shared >= needed").select("u", "v"), "open-pairs")
+    release([x for x in staged()[:-1] if x[1].split("/")[-1].startswith("lendframe-open-postings")])
+    return asked
+
+
 def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(85, 100)) -> DataFrame:
     """One row per input row: doc_id, row_hash, n_shingles, component_id (the
     smallest doc_id reachable by links)."""
-    t = Fraction(threshold)
+    t, known = Fraction(threshold), staged()
+
+    def drop(*names: str) -> None:
+        release([x for x in staged() if x not in known and any(f"/lendframe-{n}-" in x[1] for n in names)])
+
     counts = shingle_counts(docs, k)
     rows = stage(prefixes(docs, k, t, counts), "prefixes")
+    slim = stage(rows.select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles")), "sizes")
 
     # 1. one class per set
     named = rows.where("doc_id is not null and n > 0")
@@ -233,6 +259,7 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     centres = stage(centres, "centres")
     held = bitmap_of(centres.select(F.col("token").bitwiseAND(MARK_BITS - 1)), MARK_BITS)
     crowded = stage(_postings(rows, reps, held).join(centres, "token"), "crowded-postings")
+    drop("prefixes", "centres")
     c = F.col("c")
     near = _within(F.col("n"), c["n"], F.col("pos"), c["pos"], F.least("matches", c["matches"]) - 1, t)
     stars = crowded.where((F.col("doc_id") != c["doc_id"]) & near).select(
@@ -245,26 +272,17 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
     component = stage(connected_components(star_links.unionByName(same_id)), "star-components")
 
     # 3. pairs of different components
-    named_posts = crowded.drop("c", "weight").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
+    posts = crowded.drop("c", "weight").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    # how many shingles ahead of this one any other document has at all
-    ahead = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
-    named_posts = stage(named_posts.withColumn("ahead", ahead), "component-postings")
-    mixed = named_posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    open_posts = stage(named_posts.join(mixed, "token", "left_semi"), "open-postings")
-    side = lambda x: open_posts.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "ahead", "component")])
-    a, b = side("a"), side("b")
-    # the first m shared shingles (m = matches asked for) all pass these bounds in a linked pair
-    shared_before = F.least("ahead_a", "ahead_b", F.least("matches_a", "matches_b") - 1)
-    bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos") for x in ("a", "b")], shared_before, t)
-    pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds)
-    asked = pairs.groupBy(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).agg(
-        F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("needed")).where("shared >= needed").select("u", "v")
+    asked = open_pairs(posts, t)
+    drop("crowded-postings")
     cross = _verified(docs, asked.join(stars, ["u", "v"], "left_anti"), k, t)
-    bridge = component.where("vertex <> component").select(F.col("component").alias("u"), F.col("vertex").alias("v"))
-    final = stage(connected_components(bridge.unionByName(cross)), "components")
+    drop("open-pairs", "stars")
+    final = stage(merged_components(component, cross), "components")
 
     home = member.groupBy("doc_id").agg(F.min("rep").alias("vertex")).join(final, "vertex", "left").select(
         "doc_id", F.coalesce("component", "vertex").alias("component"))
-    out = rows.select("doc_id", "row_hash", F.col("n").cast("long").alias("n_shingles")).join(home, "doc_id", "left")
-    return out.select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = slim.join(home, "doc_id", "left")
+    result = stage(out.select("doc_id", "row_hash", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "classes")
+    release([x for x in staged()[:-1] if x not in known])
+    return result

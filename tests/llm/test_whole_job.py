@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 from lendframe.llm import fingerprints, secret_scan
 
@@ -45,9 +44,7 @@ def classes_of_all_band_pairs(rows):
     return home, links
 
 
-@pytest.mark.parametrize("chunk", [1000, 16])
-def test_classes_inside_a_dense_family_are_those_of_all_pairs(make, monkeypatch, chunk):
-    monkeypatch.setattr(fingerprints, "CHUNK_ROWS", chunk)
+def test_classes_inside_a_dense_family_are_those_of_all_pairs(make):
     rows = dense_family(random.Random(3))
     expect, links = classes_of_all_band_pairs(rows)
     assert links >= 20 and 20 < len(set(expect.values())) < len(rows) - 15
@@ -59,6 +56,44 @@ def test_classes_inside_a_dense_family_are_those_of_all_pairs(make, monkeypatch,
     assert {expect[r.a] == expect[r.b] for r in edges} == {True} and min(r.jaccard for r in edges) >= 0.8
 
 
+def test_recall_of_the_band_join_against_all_pairs(make):
+    rows = dense_family(random.Random(5))
+    sets = [{tuple(w[i: i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    docs = make(rows)
+    home = {r.doc_id: r.class_id for r in fingerprints.with_classes(docs, fingerprints.fingerprints(docs)).collect()}
+    joined = sum(home[rows[i][0]] == home[rows[j][0]] for i, j in links)
+    assert len(links) >= 20 and joined >= 0.9 * len(links)
+
+
+def test_pairs_to_verify_grow_no_faster_than_the_family(make, monkeypatch):
+    sent = []
+    verified = fingerprints._verified
+
+    def counted(docs, pairs, threshold):
+        sent.append(pairs.count())
+        return verified(docs, pairs, threshold)
+
+    monkeypatch.setattr(fingerprints, "_verified", counted)
+    totals = []
+    for size in (120, 240):
+        docs = make(dense_family(random.Random(7), size=size, pairs=size // 8, words=120))
+        fingerprints.near_duplicates(docs).count()
+        totals.append(sum(sent))
+        sent.clear()
+    assert totals[1] <= 2.5 * totals[0]
+
+
+def test_components_merge_by_further_links(spark):
+    from lendframe.llm.components import connected_components, merged_components
+    edges = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    first = connected_components(edges([(1, 2), (2, 3), (10, 11), (20, 21), (5, 5)]))
+    found = {r.vertex: r.component for r in merged_components(first, edges([(11, 3), (30, 31), (31, 20)])).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20}
+    assert {r.vertex: r.component for r in merged_components(first, edges([])).collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
+    assert merged_components(connected_components(edges([])), edges([(4, 3)])).collect() != []
+
+
 def test_secrets_behind_hyphens_and_short_or_broken_values_are_found(make):
     github = "ghp_" + "a1B2" * 9
     cases = {

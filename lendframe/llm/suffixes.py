@@ -46,6 +46,8 @@ from lendframe.llm.common import col, list_array, release, slices, stage, staged
 WINDOW = 50
 #: Bytes of an anchor, a multiple of 8.  Longer ones are shared by chance less often, and lie closer together.
 GRAM = 24
+#: Bytes of the longest snippet: an anchor is that of at most WINDOW - GRAM + 1 windows in a row.
+SNIPPET = 2 * WINDOW - GRAM
 #: Distinct snippets of one anchor that one suffix array takes.
 BUCKET_ROWS = 4096
 #: Suffixes sorted at once (whole buckets).
@@ -207,7 +209,6 @@ def _snippets(candidates: DataFrame) -> DataFrame:
     """anchor, snippet (hash), size, d, h, h2, start, bytes of every snippet whose anchor is in the row's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = S.Words(np.zeros(256, bool))
         for batch in slices(batches):
             raw = texts(batch)
             owner, start, stop, value = anchors(raw)
@@ -221,7 +222,7 @@ def _snippets(candidates: DataFrame) -> DataFrame:
             bytes_ = [raw[i][s:e] for i, s, e in zip(owner.tolist(), start.tolist(), stop.tolist())]
             at = pa.array(owner)
             yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(value.view(np.int64)), "snippet": pa.array(_slice_hashes(draw, raw, base[owner] + start, base[owner] + stop).view(np.int64)),
+                "anchor": pa.array(value.view(np.int64)), "snippet": pa.array(_slice_hashes(np.frombuffer(b"".join(raw), np.uint8), base[owner] + start, base[owner] + stop).view(np.int64)),
                 "size": pa.array((stop - start).astype(np.int32)), "d": col(batch, "d").take(at), "h": col(batch, "h").take(at), "h2": col(batch, "h2").take(at),
                 "start": pa.array(start), "bytes": pa.array(bytes_, type=pa.binary())})
 
@@ -229,13 +230,18 @@ def _snippets(candidates: DataFrame) -> DataFrame:
         run, "anchor long, snippet long, size int, d long, h long, h2 long, start long, bytes binary")
 
 
-def _slice_hashes(draw: S.Words, raw: list[bytes], start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges of the joined texts (polynomial over random byte values, mixed)."""
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    if len(buf) >= len(draw.up):
-        draw._powers(len(buf) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(draw.value[buf] * draw.up[: len(buf)], dtype=np.uint64)))
-    return S.mix((sums[stop] - sums[start]) * draw.down[start] + (stop - start).astype(np.uint64))
+def _slice_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges (each at most ``SNIPPET`` bytes long)."""
+    padded = np.concatenate((buf, np.zeros(SNIPPET + 8, np.uint8)))
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    h = (stop - start).astype(np.uint64)
+    for at in range(0, SNIPPET, 8):
+        # the bytes of this word that lie in the range: eight, some, or none
+        spare = np.clip(8 - (stop - start - at), 0, 8).astype(np.uint64)
+        word = words[np.minimum(start + at, len(words) - 1)]
+        word = np.where(spare < 8, (word << (spare % 8 * 8)) >> (spare % 8 * 8), 0)
+        h = S.mix(h * np.uint64(0x9E3779B97F4A7C15) + word)
+    return h
 
 
 def _bucket_matches(buckets: DataFrame) -> DataFrame:
@@ -357,8 +363,9 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
 
     shared = stage(_shared_anchors(rows.where(F.octet_length("text") >= WINDOW)), "shared-anchors")
     lists = shared.groupBy("h").agg(F.collect_set("anchor").alias("anchors"))
+    # texts are streamed past the lists, without a sort
     wanted = same.join(lists, "h").select("h", "h2", F.col("first").alias("d"), "anchors")
-    found = stage(_snippets(rows.join(wanted, ["h", "h2", "d"])), "snippets")
+    found = stage(_snippets(rows.join(wanted.hint("shuffle_hash"), ["h", "h2", "d"])), "snippets")
     release([x for x in staged() if "shared-anchors" in x[1] and x not in known])
 
     key = ["anchor", "snippet", "size"]
@@ -383,4 +390,4 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     marks = ranges.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     marks = stage(marks, "marks")
     release([x for x in staged()[:-1] if x not in known])
-    return _cut(rows.join(marks, ["h", "h2", "d"], "left"), kind)
+    return _cut(rows.join(marks.hint("shuffle_hash"), ["h", "h2", "d"], "left"), kind)

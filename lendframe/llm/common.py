@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ ASCII_LOWER = ASCII_UPPER.lower()
 SPACES = " \t\n\x0b\x0c\r"
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_OWNER: dict[str, int] = {}  # path -> the thread that staged it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +36,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/lendframe-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.append((spark, path))
+    keep_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged() -> list:
-    """What is staged now."""
-    return list(_SCRATCH)
+    """What this thread has staged now, oldest first."""
+    return [x for x in _SCRATCH if _OWNER.get(x[1]) == threading.get_ident()]
 
 
 def release(some: list | None = None) -> None:
@@ -50,6 +52,7 @@ def release(some: list | None = None) -> None:
         if item in _SCRATCH:
             _SCRATCH.remove(item)
         spark, path = item
+        _OWNER.pop(path, None)
         sc = spark.sparkContext
         if sc._jsc is None or sc._jsc.sc().isStopped():
             continue
@@ -59,6 +62,7 @@ def release(some: list | None = None) -> None:
 
 def keep_until_exit(spark: SparkSession, path: str) -> None:
     _SCRATCH.append((spark, path))
+    _OWNER[path] = threading.get_ident()
 
 
 @atexit.register
@@ -83,34 +87,39 @@ def join_rows(left: DataFrame, right: DataFrame, hint: str | None = None) -> Dat
     return left.join(r, on, "left").drop("_doc_id", "_row_hash")
 
 
-def _own_key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__row_hash", F.xxhash64("text"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """row (all columns of ``docs``, out of the way of other names), doc_id, h (hash of the text)."""
+    return docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64("text").alias("h"))
+
+
+def _keys(keys: DataFrame, *more: str) -> DataFrame:
+    return keys.select(F.col("doc_id").alias("key_id"), F.col("row_hash").alias("key_hash"), *more)
 
 
-def keep_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is in ``keys`` (doc_id, row_hash), of repeated rows
-    one; rows with a null doc_id stay."""
-    rows = _own_key(docs)
-    k = keys.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"))
-    found = rows.join(k, (rows["doc_id"] == k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]), "left_semi")
-    once = found.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("__row_hash"))).where("__nth = 1")
-    return once.drop("__nth", "__row_hash").unionByName(docs.where(F.col("doc_id").isNull()))
+def keep_texts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """One row of each text whose hash is in ``hashes`` (column ``row_hash``, once each), and every
+    row whose text has no word.  Of equal texts the row whose doc_id hashes lowest stays."""
+    rows = _packed(docs).withColumn("worded", F.coalesce(F.col("row")["text"].rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    rows = rows.withColumn("k", F.xxhash64("doc_id"))
+    wanted = hashes.select(F.col("row_hash").alias("h"))
+    one = rows.where("worded").groupBy("h").agg(F.min("k").alias("k")).join(wanted, "h")
+    # a copy is as rare as its (text, doc_id): equal texts do not meet in one task
+    once = rows.where("worded").join(one, ["h", "k"]).dropDuplicates(["h", "k"])
+    return once.select("row.*").unionByName(rows.where("not worded").select("row.*"))
 
 
 def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose key is not in ``keys`` (null-safe)."""
-    rows = _own_key(docs)
-    k = keys.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"))
-    return rows.join(k, rows["doc_id"].eqNullSafe(k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]), "left_anti").drop("__row_hash")
+    """The rows whose key (doc_id, row_hash) is not in ``keys`` (null-safe)."""
+    gone = (F.col("doc_id").eqNullSafe(F.col("key_id"))) & (F.col("h") == F.col("key_hash"))
+    return _packed(docs).join(_keys(keys), gone, "left_anti").select("row.*")
 
 
 def repeat_rows(docs: DataFrame, times: DataFrame) -> DataFrame:
     """Each row as often as ``times`` (doc_id, row_hash, copies) says; rows
     without an entry go."""
-    rows = _own_key(docs)
-    k = times.select(F.col("doc_id").alias("__doc_id"), F.col("row_hash").alias("__hash"), F.col("copies").alias("__copies"))
-    found = rows.join(k, rows["doc_id"].eqNullSafe(k["__doc_id"]) & (rows["__row_hash"] == k["__hash"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    same = (F.col("doc_id").eqNullSafe(F.col("key_id"))) & (F.col("h") == F.col("key_hash"))
+    found = _packed(docs).join(_keys(times, "copies"), same)
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def ascii_lower(c: Column) -> Column:

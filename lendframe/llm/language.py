@@ -237,19 +237,20 @@ def predict_language(docs: DataFrame, model: dict | None) -> DataFrame:
     return rows.mapInArrow(score, f"doc_id {kind}, row_hash long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: dict | None, min_score: float) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose language is identified with at
-    least ``min_score``.  Rows are filtered where they are read: no shuffle."""
+def keep_identified(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of ``docs`` (all columns) for which ``predict_language`` has a language: null and
+    letterless texts go, whatever their other columns.  Rows are filtered where they are read: no
+    shuffle.  Without a model (no labelled language at all) every text with a letter stays."""
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     if model is None:
-        return docs.limit(0)
-    columns, flag = docs.columns, "__letters"
+        return docs.where(letters)
+    columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(shared.value["langs"], dtype=object)
         for batch in slices(batches):
-            sure = _chances(shared.value, batch).max(axis=1) >= min_score
-            known = np.asarray(col(batch, flag).to_pylist(), bool)
-            yield batch.filter(pa.array(sure & known)).select(columns)
+            found = names[_chances(shared.value, batch).argmax(axis=1)]
+            yield batch.filter(pa.array(found != UNKNOWN)).select(columns)
 
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn(flag, letters).mapInArrow(keep, docs.schema)
+    return docs.where(letters).mapInArrow(keep, docs.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lendframe.llm.common import SPACES, ascii_lower, join_rows, keyed
+from lendframe.llm.common import SPACES, ascii_lower, join_rows, keyed, release, stage, staged
 
 
 def split_lines(text: Column) -> Column:
@@ -58,14 +58,20 @@ def dropped_runs(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
     """The compressed bitmaps: doc_id, row_hash, and the dropped lines as runs
     (``starts`` and ``ends``, inclusive, zero-based, ascending).  A document
     that keeps everything has no row."""
-    lines = occurrences(docs, min_chars)
-    lost = lines.join(repeated_keys(lines, min_docs), ["h1", "h2"]).where(F.col("doc_id") != F.col("last_doc"))
+    # texts are split once for this; the hashes are read for the range bounds, the stream and the join
+    known = staged()
+    lines = stage(occurrences(docs, min_chars), "lines")
+    # written, so that the join sees two shuffles and a hot line's side is split
+    repeated = stage(repeated_keys(lines, min_docs), "repeated-lines")
+    lost = lines.join(repeated, ["h1", "h2"]).where(F.col("doc_id") != F.col("last_doc"))
     per_doc = lost.groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_set("pos")).alias("p"))
     p = F.col("p")
-    return per_doc.select(
+    runs = stage(per_doc.select(
         "doc_id", "row_hash",
         F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1) != x - 1)).alias("starts"),
-        F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) != x + 1)).alias("ends"))
+        F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) != x + 1)).alias("ends")), "dropped-runs")
+    release([x for x in staged()[:-1] if x not in known])
+    return runs
 
 
 def kept_lines(lines: Column, starts: Column, ends: Column) -> Column:

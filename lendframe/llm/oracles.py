@@ -114,10 +114,14 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
 WHERE rank <= 50
 """
 
-# windows of 50 bytes as 100 hexadecimal digits
+# windows of 50 bytes as 100 hexadecimal digits, by their md5
 REPEATS = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, length(x) // 2 - 49)) AS p FROM d)),
+-- pieces of 1000 windows: a place in a long string is found by walking there
+c AS (SELECT r, doc_id, a, substr(x, 2000 * a + 1, 2098) AS x, least(1000, n - 1000 * a) AS m FROM (
+  SELECT r, doc_id, x, length(x) // 2 - 49 AS n, unnest(range(0, (length(x) // 2 - 49 + 999) // 1000)) AS a FROM d WHERE length(x) >= 100)),
+l AS (SELECT r, doc_id, a, range(0, m) AS bs, list_transform(range(0, m), lambda p: md5(substr(x, 2 * p + 1, 100))) AS ss FROM c),
+w AS (SELECT r, doc_id, 1000 * a + b AS p, s FROM (SELECT r, doc_id, a, unnest(bs) AS b, unnest(ss) AS s FROM l)),
 f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
 g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM w JOIN f USING (s) WHERE coalesce(doc_id, 9223372036854775807) > low),
 runs AS (SELECT r, min(p) AS s, max(p) + 50 AS e FROM (

@@ -19,7 +19,6 @@ import heapq
 import json
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,25 +40,50 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
-def _number_class() -> str:
-    """Characters of the categories N*, as ranges for a character class."""
-    ranges, start, before = [], None, None
-    for p in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(p))[0] == "N":
-            if start is None or p != before + 1:
-                start = p
-                ranges.append([p, p])
-            ranges[-1][1] = before = p
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" if a != b else f"\\U{a:08x}" for a, b in ranges)
-
-
-def piece_pattern() -> re.Pattern:
-    """The splitting rule: contractions, then runs of letters, numbers or
-    other marks with one leading space, then white space."""
-    n = _number_class()
-    # \w is letters, numbers and the underscore
-    letter, other = rf"[^\W_{n}]", rf"[^\w{WHITE}{n}]|_"
-    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?{letter}+| ?[{n}]+| ?(?:{other})+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+def library_classes() -> dict:
+    """Letters and numbers as the tokenizer library's regex engine knows them: ranges of code
+    points.  Asked once, on the driver, so that counts do not depend on a worker's Unicode version."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+    points = [p for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000]
+    text = "".join(map(chr, points))
+    out = {}
+    for name, pattern in (("letters", r"\p{L}+"), ("numbers", r"\p{N}+")):
+        # what is left when the class is cut out; the gaps are the class
+        rest = [span for _, span in Split(Regex(pattern), "removed").pre_tokenize_str(text)]
+        starts, ends = [0, *(e for _, e in rest)], [*(s for s, _ in rest), len(points)]
+        own = [points[i] for s, e in zip(starts, ends) for i in range(s, e)]
+        out[name] = _ranges(own)
+    return out
+
+
+def _ranges(points: list[int]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for p in points:
+        if out and p == out[-1][1] + 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return [tuple(r) for r in out]
+
+
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+def piece_patterns(classes: dict) -> tuple[re.Pattern, re.Pattern | None, re.Pattern]:
+    """The splitting rule (contractions, then runs of letters, numbers or other marks with one leading
+    space, then white space) in two forms: with this Python's letters, which is faster, and with the
+    library's own; between them a pattern for characters that the two take differently (None if there are none)."""
+    n = _class(classes["numbers"])
+    rule = lambda letter, other: re.compile(
+        rf"'(?:s|t|re|ve|m|ll|d)| ?{letter}+| ?[{n}]+| ?(?:{other})+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+    letters, numbers = ({p for a, b in classes[c] for p in range(a, b + 1)} for c in ("letters", "numbers"))
+    # \w is letters, numbers and the underscore, as this Python knows them
+    apart = [p for p in range(sys.maxunicode + 1) if chr(p).isalnum() != (p in letters or p in numbers)]
+    fast = rule(rf"[^\W_{n}]", rf"[^\w{WHITE}{n}]|_")
+    exact = rule(f"[{_class(classes['letters'])}]", f"[^{WHITE}{n}{_class(classes['letters'])}]")
+    return fast, re.compile(f"[{_class(_ranges(apart))}]") if apart else None, exact
 
 
 class PieceCounter(dict):
@@ -108,7 +132,7 @@ class PieceCounter(dict):
 
 def load_vocabulary(path: str) -> dict:
     """Merges (pair of symbol numbers -> rank, number of the joined symbol),
-    symbol numbers and added tokens of a byte-level BPE file."""
+    symbol numbers and added tokens of a byte-level BPE file, and the library's character classes."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     number: dict[str, int] = {}
@@ -121,17 +145,24 @@ def load_vocabulary(path: str) -> dict:
             number.setdefault(s, len(number))
         ranks[number[left], number[right]] = (rank, number[left + right])
     added = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
-    return {"ranks": ranks, "symbols": {a: number[a] for a in byte_alphabet()}, "added": added}
+    return {"ranks": ranks, "symbols": {a: number[a] for a in byte_alphabet()}, "added": added,
+            "classes": library_classes()}
 
 
 class TokenCounter:
     def __init__(self, vocabulary: dict):
         self.pieces = PieceCounter(vocabulary["ranks"], vocabulary["symbols"], byte_alphabet())
-        self.split = piece_pattern().findall
+        fast, apart, exact = piece_patterns(vocabulary["classes"])
+        self.fast, self.exact, self.apart = fast.findall, exact.findall, apart
         added = vocabulary["added"]
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.is_added = set(added)
 
+    def split(self, text: str) -> list[str]:
+        if self.apart and not text.isascii() and self.apart.search(text):
+            return self.exact(text)
+        return self.fast(text)
+
     def __call__(self, text: str) -> int:
         if self.added and self.added.search(text):
             return sum(1 if part in self.is_added else sum(map(self.pieces.__getitem__, self.split(part))) for part in self.added.split(text) if part)

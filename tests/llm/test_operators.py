@@ -333,7 +333,7 @@ def test_language_on_held_out_rows(spark):
     found = language.predict_language(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(common.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
     assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
     assert (model["weights"] == 0).mean() > 0.3  # the penalties leave it sparse
-    kept = language.keep_identified(docs, model, 0.5)
+    kept = language.keep_identified(docs, model)
     assert kept.columns == docs.columns and kept.count() <= docs.count()
 
 
@@ -385,3 +385,15 @@ def test_forest_trained_on_given_findings(make):
     found = secret_scan.findings(docs).withColumn("label", F.when(F.col("value").startswith("/usr"), 0.0).otherwise(1.0))
     out = secret_scan.scan_secrets(docs, found.where("doc_id < 100")).collect()
     assert all(r.is_secret != r.value.startswith("/usr") for r in out)
+
+
+def test_token_counts_equal_the_library_around_every_change_of_class(vocabulary):
+    from tokenizers import Tokenizer
+    spec = tokens.load_vocabulary(vocabulary)
+    count, library = tokens.TokenCounter(spec), Tokenizer.from_file(vocabulary)
+    edges = {p + d for c in spec["classes"].values() for r in c for p in r for d in (-1, 0, 1)}
+    edges |= {0xA7CB, 0x16D40, 0x10D40, 0x85, 0xA0, 0x2028, 0x3000}
+    points = sorted(p for p in edges if 0 <= p <= 0x10FFFF and not 0xD800 <= p < 0xE000)
+    texts = [c.format(chr(p)) for p in points for c in ("{}", "{}'t", " {}", "1{}", "{}.")]
+    encoded = library.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, encoded) if count(t) != len(e.ids)] == []

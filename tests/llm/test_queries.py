@@ -20,6 +20,9 @@ COLUMNS = {
     "op7_token_counts": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
     "op8_decontamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"},
     "op9_mixing": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11_prefix_trie": {"conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"},
+    "op12_search": {"item_id", "rank", "doc_id", "score"},
+    "op13_suffix_dedup": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op10_fingerprints": {"doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"},
 }
 
@@ -37,7 +40,8 @@ def test_query_equals_its_sql(spark, name):
 def test_contract_columns_and_one_row_per_document(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     assert COLUMNS[name] <= set(df.columns)
-    assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+    if name not in ("op11_prefix_trie", "op12_search"):
+        assert df.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
 
 
 def test_entry_registers_all():
@@ -61,6 +65,8 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     from fractions import Fraction
     again = ngram_join.jaccard_classes(held[1], 5, Fraction(8, 10)).collect()
     assert all(r.doc_id == r.component_id for r in again)
+    lettered = docs.sparkSession.read.parquet(f"{SF_SMALL}/documents.parquet").where("text rlike '[[:alpha:]]'")
+    assert set(ids[0]) >= {r.doc_id for r in lettered.select("doc_id").collect()}  # only what has no language goes
     bench = common.table(spark, SF_SMALL, "benchmark")
     left = decontam.find_contamination(held[2], bench)
     assert left.where(decontam.contaminated(left["n_words"], left["n_hit"])).count() == 0
@@ -73,3 +79,30 @@ def test_pipeline_on_odd_and_empty_rows(spark, odd, empty, tmp_path):
             step(spark, docs, SF_SMALL).write.parquet(path)
             docs = spark.read.parquet(path)
         assert (docs.count() > 0) == (n == 0)
+
+
+NAMES = ["__letters", "__row_hash", "__nth", "__copies", "__hash", "__doc_id", "__copy", "row", "h", "k", "worded", "key_id", "key_hash", "copies", "row_hash", "col"]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, make, tmp_path):
+    from pyspark.sql import functions as F
+    text = "a clean text of more than five words about nothing in particular"
+    rows = [(1, text, "en", "s", 1), (2, text + " but longer", "en", "s", 1), (3, "other words that have nothing to do with the first ones", "en", "t", 1), (None, "words without an id in a row", "en", None, 1)]
+    docs = make(rows).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id"), F.lit(0))) for n in NAMES})
+    columns = docs.columns
+    for i, (_, step) in enumerate(corpus_pipeline.STAGES[:4]):
+        step(spark, docs, SF_SMALL).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert docs.columns == columns
+        assert docs.count() >= 3
+        for r in docs.collect():
+            assert all(r[n] == f"{n}{r.doc_id or 0}" for n in NAMES)
+
+
+def test_two_texts_under_one_id_both_stay_and_copies_without_an_id_are_one(spark, make):
+    draw = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(1, draw("a"), "en", "s", 1), (1, draw("b"), "en", "s", 1), (2, draw("a"), "en", "s", 1), (3, draw("b") + " end", "en", "s", 1),
+            (None, draw("c"), "en", "s", 1), (None, draw("c"), "en", "s", 1), (4, "", "en", "s", 1), (5, "", "en", "s", 1), (6, None, "en", "s", 1), (7, " \t", "en", "s", 1)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, make(rows), SF_SMALL).collect()
+    assert sorted(((r.text or "")[:1]) for r in kept if (r.text or "").strip()) == ["a", "b", "c"]
+    assert sorted(r.doc_id for r in kept if not (r.text or "").strip()) == [4, 5, 6, 7]

@@ -5,44 +5,47 @@ be written before the next stage is called (``run`` and any other driver of
 ``STAGES`` write it as Parquet and read it again), because a stage deletes the
 scratch tables of the stage before it.
 
-1. language: texts without a language (no letter, null, or an unsure
-   prediction) go;
+1. language: texts without a language (null, or without a letter) go;
 2. near_duplicates: one document of each group of linked ones stays;
 3. decontamination: documents that repeat benchmark passages go;
 4. mixing: documents appear as often as the mix takes them;
 5. sharding: shuffled into shards, with ``shard`` and ``slot``.
 
-All but the last return the columns of their input.  Rows that share a doc_id
-are one document: the second stage keeps one of them.  Rows with a null doc_id
-cannot be linked and stay.
+All but the last return the columns of their input, whatever these are called.
+The second stage links texts, not ids: two texts under one doc_id are two
+documents, and copies without a doc_id are linked as well.  Texts are known by a
+64-bit hash there.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendframe.llm import common, decontam, language, mixing, ngram_join, sharding
 from lendframe.session import ensure_checkpoint_dir
 
-#: A language is believed from this score on.
-MIN_LANGUAGE_SCORE = 0.5
+#: Scratch of the stage before, of the pipeline that this thread runs.
+_before = threading.local()
 
-_before: list = []
+
+def _release_before() -> None:
+    common.release(getattr(_before, "scratch", []))
+    _before.scratch = []
 
 
 def _stage(step):
     """Delete the scratch of the pipeline's previous stage, note this one's."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(_before)
-        _before.clear()
+        _release_before()
         known = set(common.staged())
         out = step(spark, docs, sf_dir)
-        _before.extend(x for x in common.staged() if x not in known)
+        _before.scratch = [x for x in common.staged() if x not in known]
         return out
 
     return run_stage
@@ -50,14 +53,14 @@ def _stage(step):
 
 @_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language.keep_identified(docs, language.fit_language_model(docs), MIN_LANGUAGE_SCORE)
+    return language.keep_identified(docs, language.fit_language_model(docs))
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.jaccard_classes(docs, k=5, threshold=Fraction(8, 10))
-    stay = classes.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.min("row_hash").alias("row_hash"))
-    return common.keep_rows(docs, stay)
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    classes = ngram_join.jaccard_classes(by_text, k=5, threshold=Fraction(8, 10))
+    return common.keep_texts(docs, classes.where("doc_id = component_id").select("row_hash").distinct())
 
 
 @_stage
@@ -102,7 +105,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last:
             common.release([(spark, last)])
         docs, last = spark.read.parquet(path), path
-    common.release(_before)
-    _before.clear()
+    _release_before()
     common.keep_until_exit(spark, last)
     return docs

@@ -19,6 +19,9 @@ from lendframe.functions.fixed import AMOUNT_NUMBER_FORMS, ESCAPE_REPLACEMENTS
 # Python-equivalent whitespace class for Java regex.
 WS = r"(?U)[\s\x{1c}-\x{1f}]"
 HTML_TAG = "<[^\n]*?>"
+# Stands for the currency code while amounts are searched, and what replaces it in texts that hold it.
+CODE_MARK = "\x01"
+NO_MARK = "\x02"
 
 
 def _c(c) -> Column:
@@ -84,8 +87,16 @@ def amounts_v1(sentence: Column, currency: Column) -> Column:
 
 
 def amounts_v2(sentence: Column, currency: Column) -> Column:
-    """Amounts written next to the currency code (array<double>)."""
-    matches = F.regexp_extract_all(sentence, amount_pattern(currency), 0)
+    """Amounts written next to the currency code (array<double>).
+
+    The code is first replaced by one character that the text does not hold, so
+    that one constant pattern serves all rows: a pattern with the row's code in it is
+    compiled anew whenever the code changes.  That needs codes whose occurrences cannot overlap
+    (three capitals, the first unlike the last); any other code is searched by its own pattern."""
+    marked = F.replace(F.translate(sentence, CODE_MARK, NO_MARK), currency, F.lit(CODE_MARK))
+    plain = currency.rlike("^[A-Z]{3}$") & (F.substring(currency, 1, 1) != F.substring(currency, 3, 1))
+    matches = F.when(plain, F.regexp_extract_all(marked, amount_pattern(F.lit(CODE_MARK)), 0)).otherwise(
+        F.regexp_extract_all(sentence, amount_pattern(currency), 0))
     return F.when(F.contains(sentence, currency),
                   F.transform(matches, lambda m: F.regexp_replace(m, "[^0-9.]", "").cast("double"))
                   ).otherwise(F.array().cast("array<double>"))

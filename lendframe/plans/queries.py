@@ -593,16 +593,16 @@ def weighted_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMERIC_FEATURES = ["LOAN_AMOUNT_DESC_LOG_Z", "LOAN_AMOUNT_DESC_LOG_Z_isna", "NUM_FACES"]
 
 
-def _features(spark, sf_dir):
+def _features(spark, sf_dir, variables=None, plain=False):
     # Read by the dictionary fit, the encoding, the tags, the text, the
     # stated amounts and the face counts, each for its own columns: build
     # the loan rows once as a parquet table, which every reader prunes.
     loans = write_and_read(fx.loan(spark, sf_dir).drop(*fx.HELPER_COLUMNS), "loans")
     train = fx.train(loans)
-    dictionary = C.fit_dictionary(train)
+    dictionary = C.fit_dictionary(train, variables)
     faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
     extra = _amount_feature(spark, sf_dir, loans).join(faces, "LOAN_ID", "left")
-    return loans, train, dictionary, MD.feature_table(loans, dictionary, extra=extra)
+    return loans, train, dictionary, MD.feature_table(loans, dictionary, variables, extra=extra, plain=plain)
 
 
 @query
@@ -704,3 +704,19 @@ def predict_reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     FILES.save_model(MD.with_denormalizer(model, train), path)
     pred = MD.predict_with(FILES.load_pipeline_model(path), features.where(F.col("LOAN_AMOUNT").isNull()))
     return pred.select("LOAN_ID", _r("LOAN_AMOUNT").alias("LOAN_AMOUNT"))
+
+
+@query
+def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout error in USD of the model variants: ten or nine categories, normalised or plain text,
+    with and without the stated amount and the face count, linear and boosted trees (rows-only check)."""
+    from pyspark.ml import Pipeline
+    variables = fixed.CATEGORY_VARIABLES_10 + [v for v in fixed.CATEGORY_VARIABLES_9 if v not in fixed.CATEGORY_VARIABLES_10]
+    _, train, _, features = _features(spark, sf_dir, variables, plain=True)
+    labelled = features.where(F.col("LOAN_AMOUNT").isNotNull()).withColumn("is_holdout", M.holdout_flag(F.col("LOAN_ID")))
+    labelled = write_and_read(labelled, "grid-rows")
+    shared = Pipeline(stages=MD.grid_stages(MD.id_columns(variables))).fit(labelled.where("is_holdout = 0")).transform(labelled)
+    wanted = {c for v in MD.VARIANT_GRID.values() for c in MD.variant_columns(v)}
+    shared = write_and_read(shared.select("LOAN_ID", "LOAN_AMOUNT", "is_holdout", *sorted(wanted)), "grid-features")
+    out = MD.evaluate_grid(shared.where("is_holdout = 0"), shared.where("is_holdout = 1"), train)
+    return out.select("variant", _r("mae").alias("mae"))

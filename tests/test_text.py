@@ -110,3 +110,30 @@ def test_amount_at_sentence_end_gets_its_trailing_space(spark):
     df = spark.createDataFrame([("Total PHP 100. Thanks", "PHP"), ("Total PHP 100", "PHP")], "t string, c string")
     got = [r["m"] for r in df.select(T.max_stated_amount(T.sentences_v2(F.col("t")), F.col("c")).alias("m")).collect()]
     assert got == [100.0, 100.0]
+
+
+def test_amounts_by_the_marked_code_equal_those_by_its_own_pattern(spark):
+    import random
+    from lendframe.functions.fixed import AMOUNT_NUMBER_FORMS
+    rng = random.Random(3)
+    numbers = ["1,234,567", "12 , 345", "77", "1234567890", "1,234,567.25", "12, 345.50", "9.99", "1000.5", "3,4"]
+    rows = []
+    for i in range(3000):
+        cur = rng.choice(["UGX", "KES", "USD", "AAA", "XAX", "ABAB", "usd", "E"])
+        parts = [rng.choice([cur, cur + " ", " " + cur, rng.choice(numbers), " ", ". ", "x", "\x01", "\x02", cur[:2], cur[-1]]) for _ in range(rng.randint(1, 12))]
+        rows.append((i, "".join(parts) + " ", cur))
+    rows += [(9000 + k, f"{c}{n} or {n} {c} ", c) for k, (c, n) in enumerate((c, n) for c in ("KES", "XAX") for n in numbers)]
+    df = spark.createDataFrame(rows, "i long, s string, c string")
+    own = F.transform(F.regexp_extract_all("s", T.amount_pattern("c"), 0), lambda m: F.regexp_replace(m, "[^0-9.]", "").cast("double"))
+    both = df.select("i", T.amounts_v2(F.col("s"), F.col("c")).alias("a"), F.when(F.contains(F.col("s"), F.col("c")), own).otherwise(
+        F.array().cast("array<double>")).alias("b"))
+    assert both.where("a <> b").count() == 0 and both.where("size(a) > 0").count() > 500
+    assert len(AMOUNT_NUMBER_FORMS) == 6
+
+
+def test_the_amount_search_sorts_nothing(spark):
+    from conftest import SF_SMALL
+    from lendframe.operators import amount as A
+    from lendframe.sources import fixtures as fx
+    plan = A.extract_local_amount(fx.loan(spark, SF_SMALL), version=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan

@@ -60,6 +60,12 @@ def release(some: list | None = None) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def forget_shuffles(df: DataFrame) -> None:
+    """Have the driver's JVM collect the plans of steps that are done, so that Spark's cleaner
+    deletes their shuffle files now and not at its next turn (every 30 minutes)."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def keep_until_exit(spark: SparkSession, path: str) -> None:
     _SCRATCH.append((spark, path))
     _OWNER[path] = threading.get_ident()
@@ -141,9 +147,9 @@ def unit_hash(*cols: Column) -> Column:
     return (bits + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 18, rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds at most ``limit`` bytes of
-    text, or one row."""
+    text (and ``rows`` rows), or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -152,6 +158,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         start, base = 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(stop, start + rows) if rows else stop
             yield batch.slice(start, stop - start)
             start, base = stop, int(ends[stop - 1])
 

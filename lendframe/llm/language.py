@@ -31,6 +31,8 @@ DIM = 1 << 13
 ORDERS = (1, 2, 3)
 #: Bound on the labelled rows the weights are fitted on.
 MAX_TRAIN_ROWS = 6000
+#: Texts whose n-grams are counted at once (each is a row of DIM numbers, however short).
+BATCH_TEXTS = 256
 UNKNOWN = "und"
 _MULT = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _CHARS = 1 << 18
@@ -98,7 +100,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in slices(batches):
+        for batch in slices(batches, rows=BATCH_TEXTS):
             seen = (gram_counts(_lowered(batch)) > 0).sum(axis=0)
             seen = np.append(seen, batch.num_rows).astype(np.int64)
             total = seen if total is None else total + seen
@@ -181,7 +183,7 @@ def fit_language_model(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 12) / F.lit(float(1 << 52))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows=BATCH_TEXTS):
             counts = gram_counts(_lowered(batch))
             where = [np.flatnonzero(c) for c in counts]
             yield pa.RecordBatch.from_pydict({
@@ -226,7 +228,7 @@ def predict_language(docs: DataFrame, model: dict | None) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array(m["langs"], dtype=object)
-        for batch in slices(batches):
+        for batch in slices(batches, rows=BATCH_TEXTS):
             p = _chances(m, batch)
             known = np.asarray(col(batch, "letters").to_pylist(), bool)
             yield pa.RecordBatch.from_pydict({
@@ -249,7 +251,7 @@ def keep_identified(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(shared.value["langs"], dtype=object)
-        for batch in slices(batches):
+        for batch in slices(batches, rows=BATCH_TEXTS):
             found = names[_chances(shared.value, batch).argmax(axis=1)]
             yield batch.filter(pa.array(found != UNKNOWN)).select(columns)
 

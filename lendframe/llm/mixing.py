@@ -104,10 +104,12 @@ def mix_sources(docs: DataFrame, quality: DataFrame | None = None, weights: tupl
     cut = cut.groupBy("source").agg(F.max("bucket").alias("cut"), F.max_by("before", "bucket").alias("before"))
     cut = cut.withColumnRenamed("source", "cs")
     plan = targets.join(cut, F.col("source").eqNullSafe(F.col("cs")), "left").drop("cs").withColumnRenamed("source", "s")
+    # one row a source, written: read twice, and broadcast only if its measured size allows
+    plan = stage(plan, "mixing-plan")
 
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     inside = F.col("bucket") == F.col("cut")
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", "row_hash")
     edge = placed.where(inside).withColumn("upto", F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("budget")))
     rest = placed.where(~F.coalesce(inside, F.lit(False))).withColumn(

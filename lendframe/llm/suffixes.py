@@ -8,9 +8,10 @@ every byte; here only suffixes that can have an earlier match are sorted:
 1. Every window has an anchor: of its ``GRAM``-byte strings the one with the
    smallest hash (the leftmost of equals).  Equal windows have equal anchors, about one
    byte in 14 begins one.  The run of windows with one anchor, and its bytes, is a snippet.
-2. (anchor, text) pairs are range-partitioned and streamed in order: what is left
-   are the anchors that two different texts have.  A hot anchor is spread over
-   partitions; a run that touches a partition's end is kept, which only adds work.
+2. (anchor, text) pairs are partitioned by anchor and streamed in order: what is left
+   are the anchors that two different texts have.  Where a task has an anchor from two texts,
+   all but one of its pairs are settled before the shuffle, and spread by text: a hot
+   anchor sends one pair from each ``HELD_ANCHORS`` anchors.
 3. Texts meet their shared anchors again and give out snippets, by 64-bit hash
    and bytes.  Equal snippets combine before the shuffle, with their smallest doc_id:
    a later copy of a snippet goes whole.
@@ -37,11 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
-from lendframe.llm.common import col, list_array, release, slices, stage, staged, texts
+from lendframe.llm.common import col, forget_shuffles, list_array, release, slices, stage, staged, texts
 
 WINDOW = 50
 #: Bytes of an anchor, a multiple of 8.  Longer ones are shared by chance less often, and lie closer together.
@@ -52,6 +54,8 @@ SNIPPET = 2 * WINDOW - GRAM
 BUCKET_ROWS = 4096
 #: Suffixes sorted at once (whole buckets).
 SUFFIXES = 1 << 16
+#: Anchors that a task looks through at once for repeats.
+HELD_ANCHORS = 1 << 21
 _BLOCK = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 _LAST = (1 << 63) - 1
@@ -165,21 +169,43 @@ def _windows(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _shared_anchors(rows: DataFrame) -> DataFrame:
-    """anchor, h: the anchors that texts of different hash h have in common (a few others may be among them)."""
+    """anchor, h: the anchors that texts of different hash h have in common."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            value, h = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((h, value))
+            value, h = value[order], h[order]
+            new = np.ones(len(value), bool)
+            new[1:] = (value[1:] != value[:-1]) | (h[1:] != h[:-1])
+            value, h = value[new], h[new]
+            # two texts here have it: known to be shared; the first goes on as well, to meet those of other tasks
+            like = np.concatenate(([False], value[1:] == value[:-1]))
+            known = like | np.append(like[1:], False)
+            value, h = np.concatenate((value[known], value[~like])), np.concatenate((h[known], h[~like]))
+            return pa.RecordBatch.from_pydict({
+                "anchor": pa.array(value.view(np.int64)), "h": pa.array(h), "known": pa.array(np.arange(len(value)) < known.sum())})
+
         for batch in slices(batches):
             owner, _, _, value = anchors(texts(batch))
-            order = np.lexsort((value, owner))
-            owner, value = owner[order], value[order]
-            new = np.ones(len(owner), bool)
-            new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
-            at = pa.array(owner[new])
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(value[new].view(np.int64)), "h": col(batch, "h").take(at), "salt": col(batch, "salt").take(at)})
+            held.append((value, col(batch, "h").to_numpy()[owner]))
+            n += len(value)
+            if n >= HELD_ANCHORS:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last pair read, and whether the pair before has its anchor
         for batch in batches:
+            direct = pc.equal(col(batch, "known"), True)
+            if pc.any(direct).as_py():
+                yield batch.filter(direct).select(["anchor", "h"])
+                batch = batch.filter(pc.invert(direct))
             a, h = col(batch, "anchor").to_numpy(), col(batch, "h").to_numpy()
             if not len(a):
                 continue
@@ -188,7 +214,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
             a, h = a[new], h[new]
-            like = np.ones(len(a), bool)  # a partition's first pair may go on with the partition before
+            like = np.zeros(len(a), bool)
             like[1:] = a[1:] == a[:-1]
             if held is not None:
                 like[0] = held[2]
@@ -196,13 +222,13 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(a[:-1][keep]), "h": pa.array(h[:-1][keep])})
             held = a[-1], h[-1], like[-1]
-        if held is not None:
+        if held is not None and held[2]:
             yield pa.RecordBatch.from_pydict({"anchor": pa.array([held[0]], pa.int64()), "h": pa.array([held[1]], pa.int64())})
 
-    salt = F.xxhash64(F.lit(3), "d").bitwiseAND(0xFF).cast("int").alias("salt")
-    pairs = rows.select("h", salt, "text").mapInArrow(emit, "anchor long, h long, salt int")
-    ordered = pairs.repartitionByRange("anchor", "h", "salt").sortWithinPartitions("anchor", "h")
-    return ordered.mapInArrow(repeated, "anchor long, h long")
+    pairs = rows.select("h", "text").mapInArrow(emit, "anchor long, h long, known boolean")
+    # what is known already goes by its text: of an anchor that a third of all texts have, a task sees one pair for each that made some
+    met = pairs.repartition(F.when(F.col("known"), F.col("h")).otherwise(F.col("anchor"))).sortWithinPartitions("known", "anchor", "h")
+    return met.mapInArrow(repeated, "anchor long, h long")
 
 
 def _snippets(candidates: DataFrame) -> DataFrame:
@@ -362,11 +388,13 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     copies = stage(copies, "copies")
 
     shared = stage(_shared_anchors(rows.where(F.octet_length("text") >= WINDOW)), "shared-anchors")
+    forget_shuffles(rows)
     lists = shared.groupBy("h").agg(F.collect_set("anchor").alias("anchors"))
     # texts are streamed past the lists, without a sort
     wanted = same.join(lists, "h").select("h", "h2", F.col("first").alias("d"), "anchors")
     found = stage(_snippets(rows.join(wanted.hint("shuffle_hash"), ["h", "h2", "d"])), "snippets")
     release([x for x in staged() if "shared-anchors" in x[1] and x not in known])
+    forget_shuffles(rows)
 
     key = ["anchor", "snippet", "size"]
     distinct = stage(found.groupBy(*key).agg(
@@ -382,6 +410,7 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     verdicts = stage(distinct.drop("bytes").join(matches, key, "left").where("first < last or starts is not null").drop("last"), "verdicts")
     release([x for x in staged() if x not in known and any(n in x[1] for n in ("distinct-snippets", "buckets", "matches"))])
 
+    forget_shuffles(rows)
     begin = F.col("start")
     whole = F.array(F.struct(begin.alias("s"), (begin + F.col("size")).alias("e")))
     some = F.transform("starts", lambda x: F.struct((begin + x).alias("s"), (begin + x + WINDOW).alias("e")))

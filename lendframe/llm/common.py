@@ -193,9 +193,10 @@ def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: i
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["v"])
 
-    folded = parts.select(F.col(column).alias("v")).repartition(groups, F.xxhash64("v")).mapInArrow(fold, "v binary")
+    # dealt round-robin: at most ``groups`` vectors come back, in one job
+    folded = parts.select(F.col(column).alias("v")).repartition(groups).mapInArrow(fold, "v binary")
     total = None
-    for row in folded.toLocalIterator():
+    for row in folded.collect():
         v = np.frombuffer(row.v, dtype=dtype)
         total = v.copy() if total is None else (np.add if how == "sum" else np.bitwise_or)(total, v, out=total)
     return total

@@ -28,9 +28,9 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    from lendframe.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written once below the shared checkpoint folder and read back (deleted when the program ends)."""
+    from lendframe.sources.tables import write_and_read
+    return write_and_read(df, "ranked")
 
 
 def _cols(cols) -> list[Column]:

@@ -498,7 +498,8 @@ def detection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def join_additional_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans left-joined with the face counts and the stated-amount feature."""
-    loans = fx.loan(spark, sf_dir)
+    # read by four branches, each for its own columns
+    loans = write_and_read(fx.loan(spark, sf_dir).drop(*fx.HELPER_COLUMNS), "loans")
     faces = IMG.detection_count(loans, fx.images(spark, sf_dir, loans), fx.detections(spark, sf_dir))
     feat = _amount_feature(spark, sf_dir, loans)
     out = loans.select("LOAN_ID").join(faces, "LOAN_ID", "left").join(feat, "LOAN_ID", "left")

@@ -213,6 +213,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFra
     return links
 
 
+def star_pairs(posts: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs (u, v) of doc_ids in different components: of each prefix shingle, the document whose prefix is most
+    common with each other one that the length and position bounds let reach the threshold.
+
+    ``posts``: doc_id, n, matches, weight, pos, token, component."""
+    centres = posts.groupBy("token").agg(F.max(F.struct("weight", "doc_id", "n", "pos", "matches", "component")).alias("c"), F.count("*").alias("held"))
+    c = F.col("c")
+    near = _within(F.col("n"), c["n"], F.col("pos"), c["pos"], F.least("matches", c["matches"]) - 1, t)
+    found = posts.join(centres.where("held > 1").select("token", "c"), "token").where((F.col("component") != c["component"]) & near)
+    return found.select(F.least("doc_id", c["doc_id"]).alias("u"), F.greatest("doc_id", c["doc_id"]).alias("v")).distinct()
+
+
 def open_pairs(posts: DataFrame, t: Fraction) -> DataFrame:
     """Pairs (u, v) of doc_ids in different components that share enough of their prefix shingles, by
     length and position bounds, to reach the threshold; no other pair can.

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import threading
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -61,9 +63,13 @@ def release(some: list | None = None) -> None:
 
 
 def forget_shuffles(df: DataFrame) -> None:
-    """Have the driver's JVM collect the plans of steps that are done, so that Spark's cleaner
-    deletes their shuffle files now and not at its next turn (every 30 minutes)."""
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Have the driver collect the plans of steps that are done, so that Spark's cleaner
+    deletes their shuffle files now and not at its next turn (every 30 minutes).  Plans are
+    let go by Python first, and reach the JVM's collector a moment later."""
+    gc.collect()
+    for _ in range(2):
+        time.sleep(0.3)
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def keep_until_exit(spark: SparkSession, path: str) -> None:

@@ -55,7 +55,7 @@ BUCKET_ROWS = 4096
 #: Suffixes sorted at once (whole buckets).
 SUFFIXES = 1 << 16
 #: Anchors that a task looks through at once for repeats.
-HELD_ANCHORS = 1 << 21
+HELD_ANCHORS = 1 << 19
 _BLOCK = 1 << 19
 _POS = np.uint64((1 << 20) - 1)
 _LAST = (1 << 63) - 1
@@ -232,7 +232,7 @@ def _shared_anchors(rows: DataFrame) -> DataFrame:
 
 
 def _snippets(candidates: DataFrame) -> DataFrame:
-    """anchor, snippet (hash), size, d, h, h2, start, bytes of every snippet whose anchor is in the row's list."""
+    """anchor, snippet (hash), size, d, h, start, bytes of every snippet whose anchor is in the row's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -249,11 +249,11 @@ def _snippets(candidates: DataFrame) -> DataFrame:
             at = pa.array(owner)
             yield pa.RecordBatch.from_pydict({
                 "anchor": pa.array(value.view(np.int64)), "snippet": pa.array(_slice_hashes(np.frombuffer(b"".join(raw), np.uint8), base[owner] + start, base[owner] + stop).view(np.int64)),
-                "size": pa.array((stop - start).astype(np.int32)), "d": col(batch, "d").take(at), "h": col(batch, "h").take(at), "h2": col(batch, "h2").take(at),
+                "size": pa.array((stop - start).astype(np.int32)), "d": col(batch, "d").take(at), "h": col(batch, "h").take(at),
                 "start": pa.array(start), "bytes": pa.array(bytes_, type=pa.binary())})
 
-    return candidates.select("d", "h", "h2", "anchors", "text").mapInArrow(
-        run, "anchor long, snippet long, size int, d long, h long, h2 long, start long, bytes binary")
+    return candidates.select("d", "h", "anchors", "text").mapInArrow(
+        run, "anchor long, snippet long, size int, d long, h long, start long, bytes binary")
 
 
 def _slice_hashes(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     # equal texts are one
     ids = rows.where(F.octet_length("text") >= WINDOW).select("d", "h", "h2")
     same = stage(ids.groupBy("h", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last")), "texts")
-    copies = ids.join(same.where("first < last").drop("last"), ["h", "h2"]).where(F.col("d") > F.col("first")).select("h", "h2", "d").distinct()
+    copies = ids.join(same.where("first < last").drop("last"), ["h", "h2"]).where(F.col("d") > F.col("first")).select("h", "d").distinct()
     copies = stage(copies, "copies")
 
     shared = stage(_shared_anchors(rows.where(F.octet_length("text") >= WINDOW)), "shared-anchors")
@@ -399,6 +399,7 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     key = ["anchor", "snippet", "size"]
     distinct = stage(found.groupBy(*key).agg(
         F.min("d").alias("first"), F.max("d").alias("last"), F.first("bytes").alias("bytes")), "distinct-snippets")
+    forget_shuffles(rows)
     spread = distinct.groupBy("anchor").agg(F.count("*").alias("held"), F.min("first").alias("low"), F.max("first").alias("high")).where("held > 1 and low < high")
     buckets = stage(distinct.join(spread.select("anchor", "held"), "anchor"), "buckets")
     few = F.col("held") <= bucket_rows
@@ -407,6 +408,7 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
         matches = matches.unionByName(_window_matches(buckets.where(~few)))
     matches = stage(matches, "matches")
     # written, so that the join below sees two shuffles and a hot snippet's side is split
+    forget_shuffles(rows)
     verdicts = stage(distinct.drop("bytes").join(matches, key, "left").where("first < last or starts is not null").drop("last"), "verdicts")
     release([x for x in staged() if x not in known and any(n in x[1] for n in ("distinct-snippets", "buckets", "matches"))])
 
@@ -415,8 +417,10 @@ def remove_repeats(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame
     whole = F.array(F.struct(begin.alias("s"), (begin + F.col("size")).alias("e")))
     some = F.transform("starts", lambda x: F.struct((begin + x).alias("s"), (begin + x + WINDOW).alias("e")))
     hits = found.drop("bytes").join(verdicts, key).withColumn("ranges", F.when(F.col("d") > F.col("first"), whole).otherwise(some)).where("ranges is not null")
-    ranges = hits.groupBy("h", "h2", "d").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    # a document's text is known by (doc_id, hash) from here on
+    ranges = hits.groupBy("h", "d").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     marks = ranges.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     marks = stage(marks, "marks")
     release([x for x in staged()[:-1] if x not in known])
-    return _cut(rows.join(marks.hint("shuffle_hash"), ["h", "h2", "d"], "left"), kind)
+    forget_shuffles(rows)
+    return _cut(rows.drop("h2").join(marks.hint("shuffle_hash"), ["h", "d"], "left"), kind)

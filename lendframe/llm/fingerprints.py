@@ -203,6 +203,27 @@ def _parity(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, PARITY_BITS), axis=1, bitorder="little").reshape(-1).view(np.int64)
 
 
+def _may_reach(threshold: float, x: str, y: str) -> Column:
+    """Whether two sets, by their sizes ``n`` and parities ``p`` (columns with endings x and y), differ in few
+    enough members: Jaccard = (total - differing) / (total + differing)."""
+    n, m = F.col(f"n{x}"), F.col(f"n{y}")
+    cells = F.aggregate(F.zip_with(f"p{x}", f"p{y}", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, c: total + c)
+    return F.greatest(cells, F.abs(n - m)) * (1 + threshold) <= (n + m) * (1 - threshold + 1e-9)
+
+
+def _parities(rows: DataFrame) -> DataFrame:
+    """doc_id, p (see ``_parity``) of every text."""
+    kind, longs = dict(rows.dtypes)["doc_id"], PARITY_BITS // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = S.Words(S.SPACE)
+        for batch in slices(batches):
+            values, offsets = S.distinct(*S.shingles(*words_of(texts(batch)), SHINGLE))
+            yield pa.RecordBatch.from_pydict({"doc_id": col(batch, "doc_id"), "p": list_array(_parity(values, offsets), np.arange(len(offsets)) * longs)})
+
+    return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, p array<long>").dropDuplicates(["doc_id", "p"])
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs u, v of doc_ids that reach the threshold, with their jaccard.
     Pairs that differ in too many members by their sizes or parities go before
@@ -292,7 +313,8 @@ def _linked(docs: DataFrame, prints: DataFrame, threshold: float) -> tuple[DataF
     token_stars = stage(N.star_pairs(placed_posts(component), t), "band-token-stars")
     token_links = _verified(rows, token_stars.join(stars, ["u", "v"], "left_anti"), threshold)
     component = stage(merged_components(component, token_links.select("u", "v")), "band-second-components")
-    asked = N.open_pairs(placed_posts(component).drop("weight"), t).join(token_stars, ["u", "v"], "left_anti")
+    parted = placed_posts(component).drop("weight").join(_parities(rows), "doc_id")
+    asked = N.open_pairs(parted, t, lambda x, y: _may_reach(threshold, x, y)).join(token_stars, ["u", "v"], "left_anti")
     side = lambda x: open_docs.select(F.col("doc_id").alias(x), F.col("buckets").alias(f"buckets_{x}"))
     agree = asked.join(side("u"), "u").join(side("v"), "v").where(F.arrays_overlap("buckets_u", "buckets_v")).select("u", "v")
     cross = _verified(rows, agree.join(stars, ["u", "v"], "left_anti"), threshold).unionByName(token_links)

@@ -38,13 +38,13 @@ their set size and a null class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
@@ -225,21 +225,24 @@ def star_pairs(posts: DataFrame, t: Fraction) -> DataFrame:
     return found.select(F.least("doc_id", c["doc_id"]).alias("u"), F.greatest("doc_id", c["doc_id"]).alias("v")).distinct()
 
 
-def open_pairs(posts: DataFrame, t: Fraction) -> DataFrame:
+def open_pairs(posts: DataFrame, t: Fraction, also: Callable[[str, str], Column] | None = None) -> DataFrame:
     """Pairs (u, v) of doc_ids in different components that share enough of their prefix shingles, by
     length and position bounds, to reach the threshold; no other pair can.
 
-    ``posts``: doc_id, n, matches, pos, token, component."""
+    ``posts``: doc_id, n, matches, pos, token, component, and what ``also`` reads: a further condition that
+    every pair which reaches the threshold meets, given the two sides' column endings."""
     # how many shingles ahead of this one any other document has at all
     ahead = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     mixed = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     found = stage(posts.withColumn("ahead", ahead).join(mixed, "token", "left_semi"), "open-postings")
-    side = lambda x: found.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "matches", "pos", "ahead", "component")])
+    side = lambda x: found.select("token", *[F.col(c).alias(f"{c}_{x}") for c in found.columns if c != "token"])
     a, b = side("a"), side("b")
+    if also is None:
+        also = lambda x, y: F.lit(True)
     # the first m shared shingles (m = matches asked for) all pass these bounds in a linked pair
     shared_before = F.least("ahead_a", "ahead_b", F.least("matches_a", "matches_b") - 1)
     bounds = _within(*[F.col(f"{c}_{x}") for c in ("n", "pos") for x in ("a", "b")], shared_before, t)
-    pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds)
+    pairs = a.join(b, "token").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("component_a") != F.col("component_b")) & bounds & also("_a", "_b"))
     asked = stage(pairs.groupBy(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v")).agg(
         F.count("*").alias("shared"), F.min(F.least("matches_a", "matches_b")).alias("needed")).where("shared >= needed").select("u", "v"), "open-pairs")
     release([x for x in staged()[:-1] if x[1].split("/")[-1].startswith("lendframe-open-postings")])

@@ -149,7 +149,9 @@ def fit_forest(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS, trees: int =
     rate = F.when(F.col("label") == 1, min(1.0, max_rows / 2 / per_label[1.0])).otherwise(min(1.0, max_rows / 2 / per_label[0.0]))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(known.where(chance < rate))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features", probabilityCol="chances")
-    return forest.fit(rows.select("features", "label"))
+    # A copy has no training summary.  The summary holds the session, which Spark can't send to
+    # the executors once an ``Observation`` was used in it.
+    return forest.fit(rows.select("features", "label")).copy()
 
 
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:

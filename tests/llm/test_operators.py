@@ -387,6 +387,17 @@ def test_forest_trained_on_given_findings(make):
     assert all(r.is_secret != r.value.startswith("/usr") for r in out)
 
 
+def test_secrets_found_in_a_session_that_observed_metrics(spark, make):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 3}
+    docs = make([(i, f"path /usr/share/lib{i}/python/module and id {i:032x} here", "en", "s", 0) for i in range(200)])
+    found = secret_scan.findings(docs).withColumn("label", F.when(F.col("value").startswith("/usr"), 0.0).otherwise(1.0))
+    assert not secret_scan.fit_forest(found).hasSummary
+    assert all(r.is_secret != r.value.startswith("/usr") for r in secret_scan.scan_secrets(docs, found).collect())
+
+
 def test_token_counts_equal_the_library_around_every_change_of_class(vocabulary):
     from tokenizers import Tokenizer
     spec = tokens.load_vocabulary(vocabulary)

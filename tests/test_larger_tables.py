@@ -17,3 +17,18 @@ from lendframe.sources import fixtures as fx
 def test_vector_size_spreads_nothing_out(spark):
     df = spark.createDataFrame([(Vectors.sparse(2_000_000_000, [5], [1.0]),), (Vectors.dense([1.0, 2.0, 3.0]),)], ["v"])
     assert sorted(r[0] for r in df.select(MD.vector_size("v")).collect()) == [3, 2_000_000_000]
+
+
+def test_images_share_their_blocks_and_no_file_is_listed_by_the_driver(spark, scratch):
+    ids = spark.range(995, 25_005).select(F.col("id").alias("IMAGE_ID")).unionByName(spark.range(1000, 1003).select(F.col("id").alias("IMAGE_ID")))
+    folder = os.path.join(scratch, "images")
+    assert fx.write_image_files(ids.repartition(4), folder) == 24_013
+    names = glob.glob(os.path.join(folder, "**", "*.jpg"), recursive=True)
+    assert len(names) == 24_010 and len({os.stat(n).st_ino for n in names}) <= 24
+    assert all(os.path.getsize(n) == 4 for n in names[:50])
+    assert [n for n in os.listdir(folder) if n.startswith(".")] == []
+    files = FILES.list_image_files(spark, folder)
+    assert "binaryFile" not in files._jdf.queryExecution().toString()
+    assert {os.path.dirname(r.path) for r in files.collect()} == {f"file:{folder}/{i}" for i in (0, 1, 2)}
+    found = IMG.image_ids_from_files(files)
+    assert sorted(r.IMAGE_ID for r in found.collect()) == list(range(995, 25_005))

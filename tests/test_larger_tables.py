@@ -32,3 +32,16 @@ def test_images_share_their_blocks_and_no_file_is_listed_by_the_driver(spark, sc
     assert {os.path.dirname(r.path) for r in files.collect()} == {f"file:{folder}/{i}" for i in (0, 1, 2)}
     found = IMG.image_ids_from_files(files)
     assert sorted(r.IMAGE_ID for r in found.collect()) == list(range(995, 25_005))
+
+
+def test_sketch_store_has_no_folder_for_each_part(spark, scratch):
+    base = spark.range(30_000).select(F.col("id").alias("LOAN_ID"), F.lit("PHP").alias("CURRENCY"), (F.col("id") % 100).cast("double").alias("rate"))
+    path = os.path.join(scratch, "sketches")
+    for rows in (base.where("LOAN_ID < 15000"), base.where("LOAN_ID >= 15000")):
+        A.write_rate_sketches(A.rate_sketches(rows, 500), path)
+    files = glob.glob(os.path.join(path, "**", "*.parquet"), recursive=True)
+    assert 0 < len(files) <= 16 and not glob.glob(os.path.join(path, "part=*"))
+    store = spark.read.parquet(path)
+    assert store.count() == 60  # each part is one sketch
+    assert A.sketched_median_rate(store).first().n == 30_000
+    assert A.sketched_median_rate(store, min_part=30).first().n == 15_000

@@ -34,6 +34,25 @@ def test_images_share_their_blocks_and_no_file_is_listed_by_the_driver(spark, sc
     assert sorted(r.IMAGE_ID for r in found.collect()) == list(range(995, 25_005))
 
 
+def test_prediction_files_are_written_batch_by_batch(spark, scratch, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin
+
+    def whole(*_):
+        raise AssertionError("a model's predictions in one piece")
+
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInArrow", whole)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        preds = spark.range(300).select((F.col("id") % 3).cast("int").alias("model_id"), F.col("id").alias("LOAN_ID"), (F.col("id") * 0.5).alias("LOAN_AMOUNT"))
+        paths = fx.write_prediction_files(preds, os.path.join(scratch, "named"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert [os.path.basename(p) for p in paths] == ["model_00.csv", "model_01.csv", "model_02.csv"]
+    back = FILES.read_predictions(spark, paths).collect()
+    assert sorted((r.LOAN_ID, r.model_id, r.LOAN_AMOUNT) for r in back) == [(i, f"model_{i % 3:02d}", i * 0.5) for i in range(300)]
+
+
 def test_sketch_store_has_no_folder_for_each_part(spark, scratch):
     base = spark.range(30_000).select(F.col("id").alias("LOAN_ID"), F.lit("PHP").alias("CURRENCY"), (F.col("id") % 100).cast("double").alias("rate"))
     path = os.path.join(scratch, "sketches")

@@ -19,6 +19,26 @@ def test_vector_size_spreads_nothing_out(spark):
     assert sorted(r[0] for r in df.select(MD.vector_size("v")).collect()) == [3, 2_000_000_000]
 
 
+def test_regressor_reads_written_vectors_without_slot_names(spark, monkeypatch):
+    seen = []
+
+    class Recorder:
+        def fit(self, rows):
+            seen.append(rows)
+            return MD.HashingTF(inputCol="x", outputCol="y")
+
+    def rows(n):
+        base = spark.range(n).withColumn("cat", F.col("id") % 7)
+        base = base.select("cat", (F.exp(F.col("id") % 5)).alias("LOAN_AMOUNT"), F.lit(1.0).alias("n"),
+                           *[F.split(F.lit("a b c"), " ").alias(f"words_{t}") for t in MD.TEXT_FIELDS])
+        return base.withColumns({MD.TAGS.flag_name(t): F.lit(0) for t in MD.MASTER_TAGS})
+
+    monkeypatch.setattr(MD, "_regressor", lambda kind: Recorder())
+    MD.fit_regressor(rows(50), ["cat"], ["n"], text_dim=16)
+    assert seen[0].schema["features"].metadata == {} and seen[0].count() == 50
+    assert seen[0].inputFiles()
+
+
 def test_images_share_their_blocks_and_no_file_is_listed_by_the_driver(spark, scratch):
     ids = spark.range(995, 25_005).select(F.col("id").alias("IMAGE_ID")).unionByName(spark.range(1000, 1003).select(F.col("id").alias("IMAGE_ID")))
     folder = os.path.join(scratch, "images")

@@ -84,3 +84,25 @@ def test_sketch_store_has_no_folder_for_each_part(spark, scratch):
     assert store.count() == 60  # each part is one sketch
     assert A.sketched_median_rate(store).first().n == 30_000
     assert A.sketched_median_rate(store, min_part=30).first().n == 15_000
+
+
+def test_a_value_of_most_rows_is_no_hot_task(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    loans = spark.range(16_000).select(F.col("id").alias("LOAN_ID"), F.when(F.col("id") % 10 > 0, "most").when(F.col("id") % 20 == 0, F.concat(
+        F.lit("v"), F.col("id").cast("string"))).alias("SECTOR_NAME"), F.lit("unseen").alias("ACTIVITY_NAME"))
+    variables = ["SECTOR_NAME", "ACTIVITY_NAME"]
+    dictionary = C.fit_dictionary(loans.where("LOAN_ID < 12000"), ["SECTOR_NAME"])
+    try:
+        for n, v in zip(names, ("-1", "false")):
+            spark.conf.set(n, v)
+        encoded = C.encode_long(loans, dictionary, variables)
+        per_task = [r["count"] for r in encoded.groupBy(F.spark_partition_id()).count().collect()]
+        got = {(r.LOAN_ID, r.variable): r.id for r in encoded.collect()}
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert max(per_task) < 32_000 / 4
+    ids = {r.value: r.id for r in dictionary.collect()}
+    want = {(i, "SECTOR_NAME"): ids.get("most" if i % 10 else f"v{i}" if i % 20 == 0 else None, 0) for i in range(16_000)}
+    assert got == {**want, **{(i, "ACTIVITY_NAME"): 0 for i in range(16_000)}}

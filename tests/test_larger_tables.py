@@ -39,6 +39,35 @@ def test_regressor_reads_written_vectors_without_slot_names(spark, monkeypatch):
     assert seen[0].inputFiles()
 
 
+def test_linear_fits_of_the_grid_read_written_vectors_without_slot_names(spark, monkeypatch):
+    from pyspark.ml.feature import SQLTransformer
+    seen = {}
+
+    class Recorder:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def setParams(self, **params):
+            self.params = params
+            return self
+
+        def fit(self, rows):
+            seen[self.kind] = (rows, self.params)
+            return SQLTransformer(statement="SELECT *, 0.5 AS prediction FROM __THIS__")
+
+    variants = {"all": (MD.TEN, True, ("faces",), "linear", {"regParam": 0.5}), "trees": (MD.NINE, False, ("stated",), "gbt", {"maxIter": 2})}
+    columns = sorted({c for v in variants.values() for c in MD.variant_columns(v)})
+    rows = spark.range(40).select(F.col("id").alias("LOAN_ID"), F.exp(F.col("id") % 5).alias("LOAN_AMOUNT"), *[F.lit(1.0).alias(c) for c in columns])
+    monkeypatch.setattr(MD, "_regressor", Recorder)
+    got = MD.evaluate_grid(rows.where("LOAN_ID < 30"), rows.where("LOAN_ID >= 30"), rows, variants).collect()
+    assert sorted(r.variant for r in got) == ["all", "constant", "trees"]
+    linear, params = seen["linear"]
+    assert params == {"regParam": 0.5} and linear.count() == 30 and linear.columns == ["features", "y_log_z"]
+    assert linear.schema["features"].metadata == {} and all("grid-vectors" in f for f in linear.inputFiles())
+    trees, params = seen["gbt"]  # these need to know which slots are flags
+    assert params == {"maxIter": 2} and trees.count() == 30 and trees.schema["features"].metadata
+
+
 def test_images_share_their_blocks_and_no_file_is_listed_by_the_driver(spark, scratch):
     ids = spark.range(995, 25_005).select(F.col("id").alias("IMAGE_ID")).unionByName(spark.range(1000, 1003).select(F.col("id").alias("IMAGE_ID")))
     folder = os.path.join(scratch, "images")

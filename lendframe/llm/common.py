@@ -64,8 +64,9 @@ def release(some: list | None = None) -> None:
 
 def forget_shuffles(df: DataFrame) -> None:
     """Have the driver collect the plans of steps that are done, so that Spark's cleaner
-    deletes their shuffle files now and not at its next turn (every 30 minutes).  Plans are
-    let go by Python first, and reach the JVM's collector a moment later."""
+    deletes their shuffle files now and not at its next turn (every 30 minutes), and its heap
+    shrinks to what is still in use.  Plans are let go by Python first, and reach the JVM's
+    collector a moment later."""
     gc.collect()
     for _ in range(2):
         time.sleep(0.3)
@@ -187,8 +188,8 @@ def list_array(values: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:
 
 def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: int = 12) -> np.ndarray | None:
     """Sum or OR equally long binary vectors (one row per partition) in two
-    levels, so that a task sees a ``groups``-th of them and the driver
-    ``groups``.  The result has the vectors' fixed size."""
+    levels, so that a task sees a ``groups``-th of them, another one ``groups``,
+    and the driver one.  The result has the vectors' fixed size."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -199,13 +200,10 @@ def merge_vectors(parts: DataFrame, column: str, dtype: str, how: str, groups: i
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["v"])
 
-    # dealt round-robin: at most ``groups`` vectors come back, in one job
-    folded = parts.select(F.col(column).alias("v")).repartition(groups).mapInArrow(fold, "v binary")
-    total = None
-    for row in folded.collect():
-        v = np.frombuffer(row.v, dtype=dtype)
-        total = v.copy() if total is None else (np.add if how == "sum" else np.bitwise_or)(total, v, out=total)
-    return total
+    # dealt round-robin; the driver gets no vector but the result
+    groups_of = parts.select(F.col(column).alias("v")).repartition(groups).mapInArrow(fold, "v binary")
+    found = groups_of.repartition(1).mapInArrow(fold, "v binary").collect()
+    return np.frombuffer(found[0].v, dtype=dtype).copy() if found else None
 
 
 def bitmap_of(cells: DataFrame, n_bits: int) -> np.ndarray:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendframe.llm import shingles as S
-from lendframe.llm.common import bitmap_of, col, keyed, list_array, marked, merge_vectors, release, slices, stage, staged, texts
+from lendframe.llm.common import bitmap_of, col, forget_shuffles, keyed, list_array, marked, merge_vectors, release, slices, stage, staged, texts
 from lendframe.llm.components import connected_components, merged_components
 
 ORDER_BITS = 19
@@ -281,18 +281,22 @@ def jaccard_classes(docs: DataFrame, k: int = 4, threshold: Fraction = Fraction(
         F.least("doc_id", c["doc_id"]).alias("u"), F.greatest("doc_id", c["doc_id"]).alias("v")).distinct()
     stars = stage(stars, "stars")
     star_links = _verified(docs, stars, k, t)
+    forget_shuffles(docs)
     # a doc_id with several rows of different texts holds their classes together
     twice = member.groupBy("doc_id").agg(F.min("rep").alias("u"), F.count("*").alias("sets")).where("sets > 1")
     same_id = member.join(twice, "doc_id").where("rep <> u").select("u", F.col("rep").alias("v"))
     component = stage(connected_components(star_links.unionByName(same_id)), "star-components")
 
     # 3. pairs of different components
+    forget_shuffles(docs)
     posts = crowded.drop("c", "weight").join(component.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
     asked = open_pairs(posts, t)
     drop("crowded-postings")
+    forget_shuffles(docs)
     cross = _verified(docs, asked.join(stars, ["u", "v"], "left_anti"), k, t)
     drop("open-pairs", "stars")
+    forget_shuffles(docs)
     final = stage(merged_components(component, cross), "components")
 
     home = member.groupBy("doc_id").agg(F.min("rep").alias("vertex")).join(final, "vertex", "left").select(

@@ -108,3 +108,29 @@ def test_secrets_behind_hyphens_and_short_or_broken_values_are_found(make):
     assert secret_scan.spans(text) == [(6, 26)]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(cases)]
     assert {(r.doc_id, r.value) for r in secret_scan.findings(make(rows)).collect()} >= set(enumerate(cases.values()))
+
+
+def test_the_driver_gets_one_merged_vector(spark, monkeypatch):
+    import pyarrow as pa
+    from lendframe.llm.common import merge_vectors
+
+    def vectors(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([np.full(1000, i, np.int64).tobytes()], type=pa.binary())], names=["v"])
+
+    parts, seen = spark.range(0, 40, 1, 40).mapInArrow(vectors, "v binary"), []
+    collect = type(parts).collect
+    monkeypatch.setattr(type(parts), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    assert merge_vectors(parts, "v", "int64", "sum").tolist() == [sum(range(40))] * 1000
+    assert merge_vectors(parts, "v", "int64", "or").tolist() == [63] * 1000
+    assert merge_vectors(parts.where("v is null"), "v", "int64", "sum") is None
+    assert [len(rows) for rows in seen] == [1, 1, 0]
+
+
+def test_finished_plans_are_let_go_between_the_phases_of_the_join(make, monkeypatch):
+    from lendframe.llm import ngram_join
+    seen = []
+    monkeypatch.setattr(ngram_join, "forget_shuffles", lambda df: seen.append(df))
+    found = ngram_join.jaccard_classes(make(dense_family(random.Random(7), size=20, pairs=5)), k=5)
+    assert found.count() == 30 and len(seen) >= 3

@@ -44,6 +44,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,26 +190,34 @@ def _within(n_a, n_b, pos_a, pos_b, before, t: Fraction):
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, t: Fraction) -> DataFrame:
     """The pairs (u, v) of doc_ids whose sets reach the threshold.  Only the
     documents of the pairs are read for their sets: a bitmap of fixed size
-    thins the corpus, the joins with the pairs are exact."""
+    thins the corpus, the joins with the pairs are exact.  Of rows with one
+    doc_id and one text the first one's set is joined: copies of a text under
+    one id don't multiply the pairs."""
     kind, known = dict(docs.dtypes)["doc_id"], staged()
     pairs = stage(pairs, "pairs")
     ids = stage(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "pair-ids")
     shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(_spot()), MARK_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = S.Words(S.SPACE)
+        words_of, at = S.Words(S.SPACE), TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(iter([batch.filter(pa.array(marked(shared.value, col(batch, "spot").to_numpy())))])):
                 values, offsets = S.distinct(*S.shingles(*words_of(texts(part)), k))
-                yield pa.RecordBatch.from_pydict({"id": col(part, "doc_id"), "s": list_array(values.view(np.int64), offsets)})
-
-    rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", _spot().alias("spot"), "text")
-    found = stage(rows.mapInArrow(sets, f"id {kind}, s array<long>"), "pair-sets")
-    left, right = found.select(F.col("id").alias("u"), F.col("s").alias("su")), found.select(F.col("id").alias("v"), F.col("s").alias("sv"))
+                yield pa.RecordBatch.from_pydict({
+                    "id": col(part, "doc_id"), "row_hash": col(part, "row_hash"), "place": pa.array(np.arange(at, at + part.num_rows)),
+                    "s": list_array(values.view(np.int64), offsets)})
+                at += part.num_rows
+
+    rows = keyed(docs).where(F.col("doc_id").isNotNull()).select("doc_id", "row_hash", _spot().alias("spot"), "text")
+    found = stage(rows.mapInArrow(sets, f"id {kind}, row_hash long, place long, s array<long>"), "pair-sets")
+    once = found.groupBy("id", "row_hash").agg(F.min("place").alias("place"))
+    at_place = lambda x: once.select(F.col("id").alias(x), F.col("place").alias(f"p{x}"))
+    set_of = lambda x: found.select(F.col("place").alias(f"p{x}"), F.col("s").alias(f"s{x}"))
+    placed = pairs.join(at_place("u"), "u").join(at_place("v"), "v")
     shared_n = F.size(F.array_intersect("su", "sv"))
     union = F.size("su") + F.size("sv") - shared_n
     ok = (shared_n > 0) & (shared_n.cast("long") * t.denominator >= union.cast("long") * t.numerator)
-    links = stage(pairs.join(left, "u").join(right, "v").where(ok).select("u", "v").distinct(), "verified")
+    links = stage(placed.join(set_of("u"), "pu").join(set_of("v"), "pv").where(ok).select("u", "v").distinct(), "verified")
     release([x for x in staged()[:-1] if x not in known])
     return links
 

@@ -134,3 +134,29 @@ def test_finished_plans_are_let_go_between_the_phases_of_the_join(make, monkeypa
     monkeypatch.setattr(ngram_join, "forget_shuffles", lambda df: seen.append(df))
     found = ngram_join.jaccard_classes(make(dense_family(random.Random(7), size=20, pairs=5)), k=5)
     assert found.count() == 30 and len(seen) >= 3
+
+
+def test_copies_under_one_id_do_not_multiply_the_verified_pairs(make, monkeypatch):
+    from fractions import Fraction
+
+    from lendframe.llm import ngram_join
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-2]), " ".join(reversed(words))]
+    rows = [(1, texts[0]), (2, texts[1])] * 50 + [(2, texts[2]), (3, texts[2])]
+    docs, made, stage = make([(i, t, "en", "s", 0) for i, t in rows]), {}, ngram_join.stage
+    # links without the last step, that makes them distinct
+    distinct = type(docs).distinct
+    monkeypatch.setattr(type(docs), "distinct", lambda df: df if df.columns == ["u", "v"] else distinct(df))
+
+    def counted(df, name):
+        out = stage(df, name)
+        if name == "verified":
+            made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    pairs = docs.sparkSession.createDataFrame([(1, 2), (2, 3), (1, 3)], "u long, v long")
+    links = ngram_join._verified(docs, pairs, 4, Fraction(85, 100))
+    assert sorted(tuple(r) for r in links.collect()) == [(1, 2), (2, 3)]
+    # the rows that the verified links are made distinct of: one for each link, whatever the copies
+    assert made == {"verified": [2]}
